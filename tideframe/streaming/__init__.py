@@ -1,0 +1,5 @@
+"""Intentionally empty: every job of this library is a batch job over full history.
+
+Order-dependent state (EMA, hysteresis, episodes, allocation) lives in
+``tideframe.operators.folds`` as batch folds.
+"""
