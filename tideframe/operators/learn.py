@@ -12,3 +12,11 @@ def one_hot(df: DataFrame, name: str, levels: list[str]) -> DataFrame:
 
 def interactions(df: DataFrame, flags: list[str], axes: list[str]) -> DataFrame:
     return df.withColumns({f"{f}_x_{a}": F.col(f) * F.coalesce(F.col(a), F.lit(0.0)) for f in flags for a in axes})
+
+
+def feature_matrix(df: DataFrame, numeric: list[str], dummies: dict[str, list[str]] | None = None) -> DataFrame:
+    """Numeric features with null as 0 and the dummy columns of training time."""
+    out = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric})
+    for name, levels in (dummies or {}).items():
+        out = one_hot(out, name, levels)
+    return out

@@ -23,14 +23,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidef
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the cluster.
-
-    ``spark.checkpoint.dir`` names a shared folder there; only when the session has
-    none (tests on one machine) a fresh local folder is set.
-    """
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; where the session has none (tests on
+    one machine) a fresh local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideframe-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the session."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
