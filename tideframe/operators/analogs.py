@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideframe.functions.scalar import col, ratio
@@ -25,3 +27,46 @@ def embedding_drift(df: DataFrame, pos: str, vector: str, n: int, width: int = 4
     c = c.withColumn("step", distance(F.col(vector), prev)).drop(vector)
     f = w.rangeBetween(-(n - 1), 0)
     return c.select(pos, "home", "step", F.when(F.count("step").over(f) >= n, F.avg("step").over(f)).alias("drift")).filter("home").drop("home")
+
+
+def _block_nearest(k: int, exclude: int):
+    def run(queries: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(queries) and len(history):
+            h = np.stack(history["hx"].to_numpy()).astype(float)
+            hi = history["hist_idx"].to_numpy()
+            scale = np.stack(queries["scale"].to_numpy()).astype(float)
+            for qi, q, s in zip(queries["idx"].to_numpy(), np.stack(queries["x"].to_numpy()).astype(float), scale):
+                ok = hi < qi - exclude
+                if not ok.any():
+                    continue
+                diff = (h[ok] - q) / np.where(s > 0, s, np.nan)
+                used = (s > 0) & ~np.isnan(q)
+                if not used.any():
+                    continue
+                dist = np.sqrt(np.nanmean(np.where(used, diff, np.nan) ** 2, axis=1))
+                near = np.lexsort((hi[ok], dist))[:k]
+                rows += [(int(qi), int(hi[ok][j]), float(dist[j])) for j in near if not np.isnan(dist[j])]
+        return pd.DataFrame(rows, columns=["idx", "hist_idx", "distance"])
+    return run
+
+
+def nearest_history(queries: DataFrame, history: DataFrame, k: int, exclude: int, block: int = 2048) -> DataFrame:
+    """Exact k nearest earlier rows by RMS distance of scaled vectors: idx, hist_idx, distance, rn.
+
+    ``queries``: idx, x array[, scale array]; ``history``: idx, x.  Eligible rows have
+    ``hist_idx < idx - exclude``.  Both sides are cut into index blocks; a pair of blocks is one
+    task with at most ``block`` rows on either side and hands on k rows per query, never the
+    pairs.  The second step keeps the best k over the blocks.
+    """
+    if "scale" not in queries.columns:
+        queries = queries.withColumn("scale", F.transform("x", lambda _: F.lit(1.0)))
+    qb = F.floor(F.col("idx") / block)
+    q = queries.select("idx", "x", "scale", qb.alias("qb")).withColumn("hb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb"))))
+    span = queries.agg(F.max(qb).alias("__top"))
+    h = history.select(F.col("idx").alias("hist_idx"), F.col("x").alias("hx"), qb.alias("hb")).join(span).filter(F.col("hb") <= F.col("__top"))
+    h = h.withColumn("qb", F.explode(F.sequence(F.col("hb"), F.col("__top")))).drop("__top")
+    local = q.groupBy("qb", "hb").cogroup(h.groupBy("qb", "hb")).applyInPandas(
+        _block_nearest(k, exclude), "idx bigint, hist_idx bigint, distance double")
+    w = Window.partitionBy("idx").orderBy("distance", "hist_idx")
+    return local.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)

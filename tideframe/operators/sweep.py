@@ -42,3 +42,13 @@ def sweep(df: DataFrame, by: list[str], score: str, grid: list[float], measures:
 def confusion(label, extra: dict[str, Column] | None = None) -> dict[str, Column]:
     """Measures for ``sweep``: ``n`` rows and ``tp`` positives at or above the threshold."""
     return {"n": F.lit(1.0), "tp": col(label).cast("double"), **(extra or {})}
+
+
+def over_grid(df: DataFrame, grid: dict[str, list]) -> DataFrame:
+    """Every row once per combination of a literal parameter grid (fixed size, known at plan
+    time).  Meant for date-level tables, where objectives need the ordered rows; row-level
+    counts use ``sweep`` instead."""
+    out = df
+    for name, values in grid.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
