@@ -162,6 +162,8 @@ def row_weighted_mean(df: DataFrame, weights: dict[str, float], skip_null: bool
     ``skip_null`` False counts null as 0 with its weight; True leaves the column out of both sums.
     """
     have = {c: w for c, w in weights.items() if c in df.columns}
+    if not have:
+        return F.lit(None).cast("double") if skip_null else F.lit(0.0)
     val = lambda c: clip(c, *bound) if bound else F.col(c)
     if skip_null:
         num = total([F.coalesce(val(c), F.lit(0.0)) * w for c, w in have.items()])

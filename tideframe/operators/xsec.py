@@ -37,18 +37,18 @@ def winsorized_z(df: DataFrame, cols: list[str], min_group: int | None = 20, pre
     """Per-date z-scores after clipping to the 1% and 99% quantiles.
 
     ``min_group`` clips only dates with at least that many values, None clips every date.
-    The quantiles come from an aggregate joined back by date.
+    Quantiles, means and deviations of all columns share one partitioning by date, so the
+    panel below is computed once; whole-partition frames are evaluated once per date.
     """
-    q = df.groupBy("date").agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"__q_{c}") for c in cols],
-                               *[F.count(c).alias(f"__n_{c}") for c in cols])
-    out = df.join(q, "date", "left")
+    w = by_date()
+    q = {c: F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).over(w) for c in cols}
+    out = df.withColumns({f"__q_{c}": q[c] for c in cols} | ({f"__n_{c}": F.count(c).over(w) for c in cols} if min_group is not None else {}))
     clipped = {}
     for c in cols:
         inside = F.least(F.greatest(F.col(c), F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[1])
         keep = F.lit(True) if min_group is None else F.col(f"__n_{c}") >= min_group
         clipped[f"__c_{c}"] = F.when(F.col(c).isNotNull() & keep, inside).otherwise(F.col(c))
     out = out.withColumns(clipped)
-    w = by_date()
     out = out.withColumns({f"{prefix}{c}": z(f"__c_{c}", w) for c in cols})
     return out.drop(*[f"__{k}_{c}" for c in cols for k in "qnc"])
 

@@ -69,3 +69,13 @@ def weekly_rank_summary(rows: DataFrame) -> DataFrame:
         F.avg("universe_return").alias("avg_universe_return"), F.avg("actual_topk_return").alias("avg_actual_topk_return"),
         F.avg("overlap").alias("topk_overlap_rate"), F.avg("top1_exact").alias("top1_exact_rate"),
         F.avg("actual_top1_in_topk").alias("actual_top1_in_topk_rate"))
+
+
+def fast_weekly_panel(prices: DataFrame) -> DataFrame:
+    """Weekly momentum score, two probabilities and realised returns; rows without both returns drop out."""
+    d = momentum_scores(prices, {5: 0.24, 20: 0.34, 60: 0.28, 120: 0.14}, -0.18)
+    day = S.by_date()
+    slow = 0.45 * S.z("ret_20", day) + 0.35 * S.z("ret_60", day) + 0.20 * S.z("ret_120", day)
+    d = d.withColumns({"p1": clip(0.50 + 0.10 * F.col("score"), 0.05, 0.95), "p4": clip(0.50 + 0.12 * slow, 0.05, 0.95), "raw": F.col("score")})
+    d = d.withColumn("score", clip(50.0 + 12.0 * F.col("raw"), 0, 100))
+    return P.at_rebalance(d, "W").filter(F.col("fwd_1w").isNotNull() & F.col("fwd_1m").isNotNull())
