@@ -26,7 +26,7 @@ def running(counts: DataFrame, by: list[str], measures: list[str], ranges: int =
     output of ``value_counts``."""
     probs = [i / ranges for i in range(1, ranges)]
     splits = counts.groupBy(*by).agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), F.lit(ranges * 50)).alias("__s"))
-    cut = (counts.join(splits, by) if by else counts.crossJoin(splits)).withColumn(
+    cut = (counts.join(splits, by) if by else counts.join(splits)).withColumn(
         "__b", F.size(F.filter("__s", lambda s: s < F.col("v")))).drop("__s")
     # One row per (group, range): at most ``ranges`` rows per group.
     part = cut.groupBy(*by, "__b").agg(*[F.sum(m).alias(f"__p_{m}") for m in measures])
@@ -78,6 +78,21 @@ def mean_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return r.select(*by, F.col("v").alias(value), rank.alias("rank"), (rank / F.col("n_all")).alias("rank_pct"))
 
 
+def row_ranks(df: DataFrame, by: list[str], value: str, date: str = "date", entity: str = "symbol", out: str = "rank") -> DataFrame:
+    """First-come rank (1-based) of every row of the pool by (value, date, entity), and ``pool`` rows.
+
+    Three levels: counts per value in ranges, dates inside a value, entities inside (value, date);
+    a value that holds a large share of the pool is split by its dates.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    per_day = known.groupBy(*by, F.col(value).alias("v"), date).agg(F.count(F.lit(1)).alias("__c"))
+    levels = running(per_day.groupBy(*by, "v").agg(F.sum("__c").alias("n")), by, ["n"])
+    w = Window.partitionBy(*by, "v").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    days = per_day.join(levels, [*by, "v"]).select(*by, F.col("v").alias(value), date, (F.col("n_below") + F.coalesce(F.sum("__c").over(w), F.lit(0))).alias("__o"), F.col("n_all").alias("pool"))
+    inner = Window.partitionBy(*by, value, date).orderBy(entity)
+    return known.join(days, [*by, value, date]).withColumn(out, F.col("__o") + F.row_number().over(inner)).drop("__o")
+
+
 def with_halo(df: DataFrame, pos: str, width: int, halo: int) -> DataFrame:
     """Cut a long series into chunks of ``width`` positions, each preceded by the last ``halo``
     positions of the chunk before; ``home`` marks the rows a chunk owns.

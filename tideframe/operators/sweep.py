@@ -16,26 +16,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tideframe.functions.scalar import col
 
 
-def reached(score, grid: list[float]) -> Column:
-    """Index (1-based) of the largest grid value <= score, 0 when none."""
-    g = F.array(*[F.lit(float(x)) for x in sorted(grid)])
+def reached(score, grid) -> Column:
+    """Index (1-based) of the largest grid value <= score, 0 when none.  ``grid``: list or array column."""
+    g = F.array(*[F.lit(float(x)) for x in sorted(grid)]) if isinstance(grid, list) else col(grid)
     s = col(score)
     return F.when(s.isNull(), F.lit(0)).otherwise(F.size(F.filter(g, lambda x: x <= s)))
 
 
-def sweep(df: DataFrame, by: list[str], score: str, grid: list[float], measures: dict[str, Column]) -> DataFrame:
+def sweep(df: DataFrame, by: list[str], score: str, grid, measures: dict[str, Column]) -> DataFrame:
     """Per group and threshold: every measure summed over rows with score >= threshold, and
-    ``<measure>_all`` summed over all rows of the group."""
-    grid = sorted(float(x) for x in grid)
-    bins = df.select(*by, reached(score, grid).alias("__b"), *[col(m).alias(k) for k, m in measures.items()]).groupBy(*by, "__b").agg(
-        *[F.sum(k).alias(k) for k in measures])
-    # One row per group and threshold even when a bin is empty: the grid is a literal array.
-    parts = bins.groupBy(*by).agg(F.collect_list(F.struct("__b", *measures)).alias("__p"))
-    long = parts.withColumn("__t", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(x).alias("threshold")) for i, x in enumerate(grid)])))
+    ``<measure>_all`` summed over all rows of the group.  ``grid`` is a list, or the name of a
+    sorted array column that is constant inside the group (its own grid per fold)."""
+    fixed = isinstance(grid, list)
+    own = [] if fixed else [F.first(grid).alias("__grid")]
+    bins = df.select(*by, reached(score, grid).alias("__b"), *([] if fixed else [grid]), *[col(m).alias(k) for k, m in measures.items()]).groupBy(*by, "__b").agg(
+        *[F.sum(k).alias(k) for k in measures], *own)
+    # At most |grid| + 1 rows per group remain; the grid itself gives one row per threshold even for empty bins.
+    parts = bins.groupBy(*by).agg(F.collect_list(F.struct("__b", *measures)).alias("__p"), *([] if fixed else [F.first("__grid").alias("__grid")]))
+    g = F.array(*[F.lit(float(x)) for x in sorted(grid)]) if fixed else F.col("__grid")
+    long = parts.select(*by, "__p", F.posexplode(g).alias("__i", "threshold"))
     add = lambda k, cond: F.aggregate(F.filter("__p", cond), F.lit(0.0), lambda s, p: s + F.coalesce(p[k].cast("double"), F.lit(0.0)))
-    i = F.col("__t.i")
-    return long.select(*by, F.col("__t.threshold").alias("threshold"),
-                       *[add(k, lambda p: p["__b"] >= i).alias(k) for k in measures],
+    return long.select(*by, "threshold", *[add(k, lambda p: p["__b"] > F.col("__i")).alias(k) for k in measures],
                        *[add(k, lambda p: F.lit(True)).alias(f"{k}_all") for k in measures])
 
 
