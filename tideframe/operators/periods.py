@@ -51,7 +51,7 @@ def performance(df: DataFrame, by: list[str], ret: str, per_year: float, benchma
         F.count(F.lit(1)).alias("periods"), F.sum("__i").alias("invested_periods"), F.min("date").alias("start_date"), F.max(end or "date").alias("end_date"),
         F.product(1 + F.col("__r")).alias("__total"), (F.product(1 + F.col("__b")) - 1).alias("benchmark_return"), F.avg("__r").alias("avg_return"), F.stddev_samp("__r").alias("__sd"),
         F.sqrt(F.avg(F.pow(F.least(F.col("__r"), F.lit(0.0)), 2))).alias("__down"), F.min("__dd").alias("MDD"),
-        F.avg(F.when(live, (F.col("__r") > 0).cast("double"))).alias("hit_positive"), F.avg(F.when(live, (F.col("__r") > F.col("__b")).cast("double"))).alias("hit_excess"),
+        F.avg(F.when(live, (F.round("__r", 12) > 0).cast("double"))).alias("hit_positive"), F.avg(F.when(live, (F.round(F.col("__r") - F.col("__b"), 12) > 0).cast("double"))).alias("hit_excess"),
         F.avg(F.when(live, F.col("__r") - F.col("__b"))).alias("avg_excess"))
     years = F.greatest(F.datediff("end_date", "start_date") / 365.25, F.lit(1e-9)) if calendar_years else F.col("periods") / per_year
     root = F.lit(float(per_year)) ** 0.5

@@ -142,13 +142,19 @@ def expanding_thresholds(df: DataFrame, prob: str, label: str, min_train: int, g
     return t.groupBy("date").agg(F.coalesce(first, best, F.lit(default)).alias("threshold"))
 
 
-def fold_table(days: DataFrame, min_train: int, step: int, purge: int, embargo: int) -> DataFrame:
-    """fold, train_end (exclusive row), test_from, test_to (exclusive) over a date-level series of
-    known length; ``days`` has one row with ``n``."""
+def train_folds(row, n, min_train: int, step: int, purge: int, embargo: int) -> Column:
+    """Folds that train on a row of a date-level series: fold k tests rows from
+    min_train + purge + embargo + k step and trains on the rows before min_train + k step."""
     start = min_train + purge + embargo
-    d = days.filter(F.col("n") > start).select("n", F.explode(F.sequence(F.lit(start), F.col("n").cast("int") - 1, F.lit(step))).alias("test_from"))
-    return d.select(((F.col("test_from") - start) / step).cast("int").alias("fold"), (F.col("test_from") - purge - embargo).alias("train_end"), "test_from",
-                    F.least(F.col("test_from") + step, F.col("n")).alias("test_to"))
+    last = F.floor((col(n) - 1 - start) / step).cast("int")
+    first = F.greatest(F.lit(0), F.floor((col(row) - min_train) / step).cast("int") + 1)
+    return F.when((last >= 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def test_fold(row, min_train: int, step: int, purge: int, embargo: int) -> Column:
+    """The fold that tests a row, null before the first one."""
+    start = min_train + purge + embargo
+    return F.when(col(row) >= start, F.floor((col(row) - start) / step).cast("int"))
 
 
 def walkforward_thresholds(df: DataFrame, scores: list[str], targets: list[str], min_train: int, step: int, purge: int, embargo: int) -> DataFrame:
@@ -163,14 +169,14 @@ def walkforward_thresholds(df: DataFrame, scores: list[str], targets: list[str],
     long = df.select("date", pairs.alias("p")).select("date", "p.*").filter(F.col("score").isNotNull() & F.col("target").isNotNull())
     key = ["score_name", "target_name"]
     w = Window.partitionBy(*key).orderBy("date")
-    long = long.withColumn("row", F.row_number().over(w) - 1)
-    folds = fold_table(long.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.max("n").alias("n")), min_train, step, purge, embargo)
-    train = long.join(folds.select("fold", "train_end"), F.col("row") < F.col("train_end"))
+    long = long.withColumns({"row": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*key))})
+    cut = (min_train, step, purge, embargo)
+    train = long.withColumn("fold", F.explode(train_folds("row", "n", *cut)))
     qs = F.array(*[F.lit(0.45 + 0.01 * i) for i in range(51)])
     grids = train.groupBy(*key, "fold").agg(F.array_sort(F.array_distinct(F.percentile("score", qs))).alias("grid"))
-    t = train.join(grids, [*key, "fold"])
+    t = train.drop("n").join(grids, [*key, "fold"])
     s = sweep_rates(SW.sweep(t, [*key, "fold"], "score", "grid", {"n": F.lit(1.0), "tp": F.col("target").cast("double")}))
     best = best_threshold(s, [*key, "fold"], benchmark_objective(), F.lit(True), float("inf")).drop("objective")
-    test = long.join(folds.select("fold", "test_from", "test_to"), (F.col("row") >= F.col("test_from")) & (F.col("row") < F.col("test_to")))
+    test = long.withColumn("fold", test_fold("row", *cut)).filter(F.col("fold").isNotNull())
     out = test.join(best, [*key, "fold"])
-    return out.withColumn("signal", (F.col("score") >= F.col("threshold")).cast("int")).drop("row", "test_from", "test_to")
+    return out.withColumn("signal", (F.col("score") >= F.col("threshold")).cast("int")).drop("row", "n")

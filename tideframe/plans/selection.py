@@ -79,3 +79,14 @@ def fast_weekly_panel(prices: DataFrame) -> DataFrame:
     d = d.withColumns({"p1": clip(0.50 + 0.10 * F.col("score"), 0.05, 0.95), "p4": clip(0.50 + 0.12 * slow, 0.05, 0.95), "raw": F.col("score")})
     d = d.withColumn("score", clip(50.0 + 12.0 * F.col("raw"), 0, 100))
     return P.at_rebalance(d, "W").filter(F.col("fwd_1w").isNotNull() & F.col("fwd_1m").isNotNull())
+
+
+def basket_evaluation(baskets: DataFrame, score: str, ret: str, basket: str) -> DataFrame:
+    """Over dates with at least three baskets: return of the best-scored basket, mean, exact hit,
+    actual best among the three best scored, overlap of the two top threes."""
+    day = Window.partitionBy("date")
+    d = baskets.withColumns({"n_b": F.count(F.lit(1)).over(day), "p": F.row_number().over(day.orderBy(F.desc(score), basket)), "a": F.row_number().over(day.orderBy(F.desc_nulls_last(ret), basket))})
+    p, a = F.col("p"), F.col("a")
+    g = d.filter("n_b >= 3").groupBy("date").agg(F.max(F.when(p == 1, F.col(ret))).alias("x"), F.avg(ret).alias("m"), F.count_if((p == 1) & (a == 1)).alias("h"),
+                                                F.count_if((a == 1) & (p <= 3)).alias("i3"), (F.count_if((p <= 3) & (a <= 3)) / 3.0).alias("o"))
+    return g.agg(F.count(F.lit(1)).alias("weeks"), F.avg("x").alias("pred_return"), F.avg("m").alias("mean_return"), F.avg("h").alias("top1_hit"), F.avg("i3").alias("in_top3"), F.avg("o").alias("overlap3"))
