@@ -208,4 +208,4 @@ def _(t):
 def _(t):
     from tideframe.catalog.composites import panel
     from tideframe.plans.runs import leadership_run
-    return leadership_run(panel(t), t.etf.select("symbol", "grp").distinct(), "1999-01-01", "2000-01-01", [1, 3])
+    return leadership_run(panel(t), "1999-01-01", "2000-01-01", [1, 3])

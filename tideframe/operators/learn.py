@@ -68,7 +68,8 @@ def forest(label: str, features: str = "features", trees: int = 30, depth: int =
 
 
 def boosted(label: str, features: str = "features", rounds: int = 15, depth: int = 3, seed: int = 42, prob: str = "prob") -> GBTClassifier:
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, probabilityCol=f"__{prob}", rawPredictionCol=f"__raw_{prob}", predictionCol=f"__pred_{prob}")
+    g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, predictionCol=f"__pred_{prob}")
+    return g.setProbabilityCol(f"__{prob}").setRawPredictionCol(f"__raw_{prob}")
 
 
 def up_probability(df: DataFrame, prob: str = "prob") -> DataFrame:
@@ -284,7 +285,7 @@ def oversample(df: DataFrame, label: str, vector: str, ids: list[str], seed: int
     n = df.agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__z"))
     m = checkpointed(dense_index(df.filter(F.col(label) == 1).select(label, vector, *ids), F.xxhash64(F.lit(seed), *ids)))
     need = m.join(n.select((F.col("__z") - F.col("__p")).alias("__need"))).filter("__need > 0 and __m > 1")
-    copies = need.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__need") - 1 - F.col("__i")) / F.col("__m"))))).filter(F.col("__i") + F.col("__s") * F.col("__m") < F.col("__need"))
+    copies = need.filter("__i < __need").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__need") - 1 - F.col("__i")) / F.col("__m"))))).filter(F.col("__i") + F.col("__s") * F.col("__m") < F.col("__need"))
     h = lambda k: F.xxhash64(F.lit(seed + k), "__i", "__s")
     copies = copies.withColumns({"__j": F.pmod(F.col("__i") + 1 + F.pmod(h(1), F.col("__m") - 1), F.col("__m")), "__l": F.pmod(h(2), F.lit(1000000)) / 1e6})
     other = m.select(F.col("__i").alias("__j"), F.col(vector).alias("__o"))

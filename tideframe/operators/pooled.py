@@ -48,9 +48,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -
     holds = lambda p: (F.col("n_below") <= p) & (p < F.col("n_below") + F.col("n"))
     lo, hi = F.floor(pos), F.ceil(pos)
     hit = r.withColumn("pos", pos).filter(holds(lo) | holds(hi))
-    g = hit.groupBy(*by, "q").agg(F.max(F.when(holds(lo), F.col("v"))).alias("a"), F.max(F.when(holds(hi), F.col("v"))).alias("b"),
-                                  F.max(pos - F.floor(pos)).alias("f"))
-    return g.select(*by, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
+    g = hit.groupBy(*by, "q").agg(F.max(F.when(holds(lo), F.col("v"))).alias("__a"), F.max(F.when(holds(hi), F.col("v"))).alias("__z"),
+                                  F.max(pos - F.floor(pos)).alias("__f"))
+    return g.select(*by, "q", (F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__f")).alias("value"))
 
 
 def roc_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
