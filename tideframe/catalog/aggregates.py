@@ -8,7 +8,6 @@ from tideframe.functions.scalar import ratio
 from tideframe.operators import aggregates as G, asof as A, panel as P, pooled as PO, setops as O, topk as T, xsec as S
 from tideframe.plans.fixtures import BARS, BRAND, ETF, HOLDINGS, MARKET, RISK, WEEKLY
 
-W = R.by_entity()
 UP = "(ret_1w>0)"
 
 
@@ -87,7 +86,7 @@ _H = f"(SELECT h.date, etf, component, weight, r FROM {HOLDINGS} h LEFT JOIN (SE
 
 
 def held(t):
-    r = t.brand.select("date", F.col("symbol").alias("component"), R.step_return("close", 20, W).alias("r"))
+    r = t.brand.select("date", F.col("symbol").alias("component"), R.step_return("close", 20, R.by_entity()).alias("r"))
     return t.holdings.join(r, ["date", "component"], "left")
 
 
@@ -132,14 +131,14 @@ _XV = f"""(SELECT date, symbol, grp, y, CASE WHEN count(r1) OVER f>=60 THEN stdd
  m AS (SELECT date, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, count(*) AS n FROM v GROUP BY date)
  SELECT v.date, any_value(n) AS n, CASE WHEN any_value(n)>=12 THEN sum(w*(x-mx)*(y-my))/nullif(sum(w*(x-mx)*(x-mx)),0) END AS slope FROM v JOIN m ON v.date=m.date GROUP BY v.date"""))
 def _(t):
-    d = t.etf.withColumns({"y": R.step_return("close", 126, W), "r1": R.step_return("close", 1, W)})
-    d = d.withColumn("x", R.annual_vol("r1", 252, W, 60))
+    d = t.etf.withColumns({"y": R.step_return("close", 126, R.by_entity()), "r1": R.step_return("close", 1, R.by_entity())})
+    d = d.withColumn("x", R.annual_vol("r1", 252, R.by_entity(), 60))
     return G.weighted_slope(d, "y", "x", "grp", 12)
 
 
 @query("ag18_component_regression")
 def _(t):
-    px = t.brand.select("date", F.col("symbol").alias("component"), R.step_return("close", 20, W).alias("y"), ratio("close", R.high("close", 252, W, 120)).alias("hp"), R.step_return("close", 60, W).alias("ret60"))
+    px = t.brand.select("date", F.col("symbol").alias("component"), R.step_return("close", 20, R.by_entity()).alias("y"), ratio("close", R.high("close", 252, R.by_entity(), 120)).alias("hp"), R.step_return("close", 60, R.by_entity()).alias("ret60"))
     bench = t.market.select("date", R.step_return("close", 60, Window.partitionBy(F.lit(0)).orderBy("date")).alias("b60"))
     days = P.at_rebalance(t.etf, "M").select("date", F.col("symbol").alias("etf"))
     h = A.snapshot_join(days, t.holdings, "etf").join(px, ["date", "component"]).join(bench, "date").withColumn("rs60", F.col("ret60") - F.col("b60"))
@@ -149,7 +148,7 @@ def _(t):
 @query("ag19_basket_index", fin("date grp ret index", f"SELECT date, grp, ret, exp(sum(ln(1+ret)) OVER (PARTITION BY grp ORDER BY date)) AS index FROM (SELECT date, grp, coalesce(avg(r),0) AS ret FROM (SELECT date, grp, CASE WHEN x IS NOT NULL THEN least(0.05,greatest(-0.05,x)) END AS r FROM (SELECT *, close/lag(close,1) OVER (PARTITION BY symbol ORDER BY date)-1 AS x FROM {ETF})) GROUP BY 1,2)", 4))
 def _(t):
     from tideframe.functions.scalar import clip
-    r = t.etf.select("date", "grp", clip(R.step_return("close", 1, W), -0.05, 0.05).alias("ret"))
+    r = t.etf.select("date", "grp", clip(R.step_return("close", 1, R.by_entity()), -0.05, 0.05).alias("ret"))
     b = G.basket_index(r, ("grp",)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
     r4 = lambda c: F.floor(F.col(c) * 1e4 + 0.5) / 1e4
     return b.select("date", "grp", r4("ret").alias("ret"), r4("index").alias("index"))

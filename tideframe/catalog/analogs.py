@@ -8,7 +8,6 @@ from tideframe.functions import rolling as R
 from tideframe.operators import analogs as A
 from tideframe.plans.fixtures import ETF, MARKET
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 FEATS = ["VIX", "HY_OAS", "NASDAQ100", "DXY", "WTI", "GOLD"]
 _P = f"p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date)-1 AS idx, {', '.join(f'avg({f}) OVER h AS m_{f}, stddev_pop({f}) OVER h AS s_{f}, count({f}) OVER h AS c_{f}' for f in FEATS)} FROM {WIDE} WINDOW h AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 21 PRECEDING))"
 _ok = lambda f: f"(q.{f} IS NOT NULL AND q.c_{f}/(q.idx-20.0)>0.8 AND q.s_{f}>1e-12)"
@@ -33,7 +32,7 @@ _OUT = f"(SELECT date, idx AS hist_idx, r1, r2, lo, coalesce(r1<0,false)::INT AS
 @query("nn02_neighbour_outcomes", fin("idx:i k:i neighbours:i distance_mean down_prob_1w tail_prob_1m avg_return_1m tail_return_p10_1m", NEAR + f" SELECT idx, k, count(*) AS neighbours, avg(distance) AS distance_mean, avg(d1) AS down_prob_1w, avg(tl) AS tail_prob_1m, avg(r2) AS avg_return_1m, quantile_cont(least(r2,lo),0.1::DOUBLE) AS tail_return_p10_1m FROM n JOIN {_OUT} o ON o.hist_idx=n.hist_idx, (SELECT unnest([10,30]) AS k) WHERE rn<=k GROUP BY 1,2"))
 def _(t):
     lab = lambda c: F.coalesce(c, F.lit(False))
-    o = t.market.select((F.row_number().over(DAY) - 1).cast("bigint").alias("hist_idx"), R.forward_return("close", 5, DAY).alias("ret_1w"), R.forward_return("close", 20, DAY).alias("ret_1m"), R.forward_min_any("close", 20, DAY).alias("min_1m"))
+    o = t.market.select((F.row_number().over(R.day()) - 1).cast("bigint").alias("hist_idx"), R.forward_return("close", 5, R.day()).alias("ret_1w"), R.forward_return("close", 20, R.day()).alias("ret_1m"), R.forward_min_any("close", 20, R.day()).alias("min_1m"))
     o = o.withColumns({"down_1w": lab(F.col("ret_1w") < 0).cast("int"), "down_1m": lab(F.col("ret_1m") < 0).cast("int"), "tail": (lab(F.col("ret_1m") < -0.05) | lab(F.col("min_1m") < -0.07)).cast("int")})
     return A.neighbour_stats(near(t), o, [10, 30]).select("idx", "k", "neighbours", "distance_mean", "down_prob_1w", "tail_prob_1m", "avg_return_1m", "tail_return_p10_1m")
 

@@ -8,7 +8,6 @@ from tideframe.functions.scalar import finite, number
 from tideframe.operators import panel as P, quality as Q, topk as T
 from tideframe.plans.fixtures import BARS, BRAND, ETF, HOLDINGS, MARKET, REGIME, WEEKLY
 
-W = R.by_entity()
 
 
 @query("prj01_numeric_coercion", fin("id:i v", "SELECT o_orderkey AS id, CASE WHEN o_orderkey%3=0 THEN NULL ELSE o_totalprice END AS v FROM orders"))

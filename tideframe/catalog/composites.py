@@ -12,7 +12,6 @@ from tideframe.operators.thresholds import stage_of
 from tideframe.plans import assets as AS, leadership as L, risk_vector as RV, safe as SF, sentinel as SE
 from tideframe.plans.fixtures import BRAND, DRIVERS, ETF, HOLDINGS, MARKET, REGIME, RISK, WEEKDAYS, WEEKLY
 
-W, DAY = R.by_entity(), Window.partitionBy(F.lit(0)).orderBy("date")
 # Stand-ins: part type -> (driver role, component, mode, direction).
 ROLES = {"ECONOMY": ("VIX", "volatility", "diff", 1.0), "STANDARD": ("HY_OAS", "credit", "diff", 1.0), "PROMO": ("NASDAQ100", "equity", "return", -1.0),
          "MEDIUM": ("DXY", "fx", "return", 1.0), "SMALL": ("WTI", "supply_shock", "return", 1.0), "LARGE": ("GOLD", "hedge_bid", "return", 1.0)}
@@ -375,8 +374,8 @@ def nmean(ws, have):
  (SELECT s.date, {nmean(RV.AXIS_3D['axis1_vol_credit_stress'], _have)} AS a1, {nmean(RV.AXIS_3D['axis2_fx_liquidity_stress'], _have)} AS a2, r.score AS a3, m, nh, am, vl FROM {SHOCKS} s JOIN {RISK} r ON r.date=s.date JOIN (SELECT date, close/{lag('close', 60, '')}-1 AS m, close/({g('max', 'close', 252, 60, '')})-1 AS nh, close/({g('avg', 'close', 200, 60, '')})-1 AS am, ({g('stddev_samp', 'r1', 20, 10, '')})*sqrt(252.0) AS vl FROM (SELECT *, close/{lag('close', 1, '')}-1 AS r1 FROM {MARKET})) k ON k.date=s.date)
  WHERE a1 IS NOT NULL AND a2 IS NOT NULL AND am IS NOT NULL AND m IS NOT NULL AND nh IS NOT NULL AND vl IS NOT NULL""".replace("PARTITION BY  ", "")))
 def _(t):
-    m = t.market.withColumn("r1", R.step_return("close", 1, DAY))
-    m = m.select("date", R.step_return("close", 60, DAY).alias("m"), (ratio("close", R.high("close", 252, DAY, 60)) - 1).alias("nh"), (ratio("close", R.mean("close", 200, DAY, 60)) - 1).alias("am"), R.annual_vol("r1", 20, DAY, 10).alias("vl"))
+    m = t.market.withColumn("r1", R.step_return("close", 1, R.day()))
+    m = m.select("date", R.step_return("close", 60, R.day()).alias("m"), (ratio("close", R.high("close", 252, R.day(), 60)) - 1).alias("nh"), (ratio("close", R.mean("close", 200, R.day(), 60)) - 1).alias("am"), R.annual_vol("r1", 20, R.day(), 10).alias("vl"))
     d = RV.axes_3d(shocks(t).join(t.risk.select("date", F.col("score").alias("peak_fragility_score_0_100")), "date"))
     d = d.join(m, "date").withColumn("calm", RV.complacency("m", "nh", "am", "vl", "axis1_vol_credit_stress"))
     d = d.select("date", F.col("axis1_vol_credit_stress").alias("a1"), F.col("axis2_fx_liquidity_stress").alias("a2"), F.col("risk_3d_max_axis").alias("mx"), F.col("risk_3d_mean_axis").alias("mean"),
@@ -405,10 +404,10 @@ _PK = ["near", "ext", "decel", "calm", "gap"]
  (SELECT date, (coalesce(f/({g('max', 'f', 60, 20, '')})-1>=-0.03,false))::INT AS near, f/({g('avg', 'f', 60, 20, '')})-1 AS ext, -((f/lag(f,20) OVER (ORDER BY date)-1)-(f/lag(f,60) OVER (ORDER BY date)-1)) AS decel, -({zs('v', 252, 84, '')}) AS calm, (f/lag(f,20) OVER (ORDER BY date)-1)-(o/lag(o,20) OVER (ORDER BY date)-1) AS gap
  FROM (SELECT date, {_ff('NASDAQ100')} AS f, {_ff('VIX')} AS v, {_ff('GOLD')} AS o FROM {WIDE})))"""))
 def _(t):
-    w = wide(t).select("date", *[R.padded(c, DAY).alias(a) for c, a in (("NASDAQ100", "f"), ("VIX", "v"), ("GOLD", "o"))])
-    w = w.select("date", F.coalesce((ratio("f", R.high("f", 60, DAY, 20)) - 1 >= -0.03).cast("int"), F.lit(0)).alias("near"), (ratio("f", R.mean("f", 60, DAY, 20)) - 1).alias("ext"),
-                 (-(R.step_return("f", 20, DAY) - R.step_return("f", 60, DAY))).alias("decel"), (-R.zscore("v", 252, DAY, 84)).alias("calm"), (R.step_return("f", 20, DAY) - R.step_return("o", 20, DAY)).alias("gap"))
-    p = {c: R.percentile_rank(c, 252, DAY, 60) for c in ("ext", "decel", "calm", "gap")}
+    w = wide(t).select("date", *[R.padded(c, R.day()).alias(a) for c, a in (("NASDAQ100", "f"), ("VIX", "v"), ("GOLD", "o"))])
+    w = w.select("date", F.coalesce((ratio("f", R.high("f", 60, R.day(), 20)) - 1 >= -0.03).cast("int"), F.lit(0)).alias("near"), (ratio("f", R.mean("f", 60, R.day(), 20)) - 1).alias("ext"),
+                 (-(R.step_return("f", 20, R.day()) - R.step_return("f", 60, R.day()))).alias("decel"), (-R.zscore("v", 252, R.day(), 84)).alias("calm"), (R.step_return("f", 20, R.day()) - R.step_return("o", 20, R.day())).alias("gap"))
+    p = {c: R.percentile_rank(c, 252, R.day(), 60) for c in ("ext", "decel", "calm", "gap")}
     terms = {"near_high": F.col("near"), "extended": p["ext"], "decel": p["decel"], "calm": p["calm"], "gap_a": p["gap"], "gap_b": p["gap"], "credit": p["calm"], "dollar": p["ext"], "rate": p["decel"]}
     return w.select("date", "near", RV.peak_rule(terms).alias("s"))
 
@@ -536,7 +535,7 @@ _EP = lambda c: f"(CASE WHEN len(l_{c})>=26 THEN len(list_filter(l_{c}, lambda q
  (SELECT date, max(score) AS a, round(avg(score) FILTER (rn<=3),8) AS b, round(max(score)-median(score),8) AS c FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rn FROM {WEEKLY}) GROUP BY date))"""))
 def _(t):
     d = candidates(t).withColumns({c: F.round(c, 8) for c in ("topk_score_mean", "score_spread")})
-    d = d.withColumns({f"{c}_pctile": R.share_not_above(c, None, DAY, 26) for c in ("top1_score", "topk_score_mean", "score_spread")})
+    d = d.withColumns({f"{c}_pctile": R.share_not_above(c, None, R.day(), 26) for c in ("top1_score", "topk_score_mean", "score_spread")})
     return d.select("date", SF.confidence(d).alias("s"))
 
 
@@ -563,4 +562,4 @@ def _(t):
 @query("cp35_market_panel", fin("date composite VIX GOLD close", VECTOR + f" SELECT v.date, composite_vector_risk AS composite, {_ff('w.VIX').replace('ORDER BY date', 'ORDER BY v.date')} AS VIX, {_ff('w.GOLD').replace('ORDER BY date', 'ORDER BY v.date')} AS GOLD, m.close FROM vec v LEFT JOIN {WIDE} w ON w.date=v.date LEFT JOIN {MARKET} m ON m.date=v.date"))
 def _(t):
     d = vector(t).select("date", F.col("composite_vector_risk").alias("composite")).join(wide(t), "date", "left").join(t.market, "date", "left")
-    return d.select("date", "composite", R.padded("VIX", DAY).alias("VIX"), R.padded("GOLD", DAY).alias("GOLD"), "close")
+    return d.select("date", "composite", R.padded("VIX", R.day()).alias("VIX"), R.padded("GOLD", R.day()).alias("GOLD"), "close")

@@ -8,7 +8,6 @@ from tideframe.functions.scalar import ratio
 from tideframe.operators import asof as A, joins as J, panel as P, statements as ST, topk as T
 from tideframe.plans.fixtures import BRAND, DRIVERS, ETF, HOLDINGS, MARKET, REGIME, RISK, WEEKLY
 
-W = R.by_entity()
 _MON = f"(SELECT max(date) AS date, arg_max(score,date) AS rs FROM {RISK} GROUP BY date_trunc('month',date))"
 
 
@@ -145,7 +144,7 @@ def _(t):
 
 @query("jn18_positional_join", fin("date symbol pos:i score", f"SELECT date, symbol, row_number() OVER (PARTITION BY symbol ORDER BY date)-1 AS pos, score FROM {WEEKLY}"))
 def _(t):
-    pos = F.row_number().over(W) - 1
+    pos = F.row_number().over(R.by_entity()) - 1
     a = t.weekly.select("date", "symbol", pos.alias("pos"))
     return a.join(t.weekly.select("date", "symbol", pos.alias("pos"), "score"), ["date", "symbol", "pos"])
 

@@ -10,7 +10,6 @@ from tideframe.functions.scalar import clip
 from tideframe.operators import aggregates as G, labels as L
 from tideframe.plans.fixtures import BRAND, ETF, MARKET, WEEKLY
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 _o = "OVER (ORDER BY date)"
 _f = lambda c, h: f"lead({c},{h}) {_o}/{c}-1"
 _m = lambda c, h: f"min({c}) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)/{c}-1"
@@ -19,7 +18,7 @@ _b = lambda c: f"coalesce({c},false)"
 
 @query("lb01_drop_labels", fin("date drop_1w_2pct:i correction_1m:i delayed_1m:i tail_1m:i", f"SELECT date, {_b('w<=-0.02')} AS drop_1w_2pct, {_b('m<=-0.035')} OR {_b('lo<=-0.055')} AS correction_1m, {_b('w>-0.01')} AND ({_b('m<=-0.03')} OR {_b('lo<=-0.055')}) AS delayed_1m, {_b('m<-0.05')} OR {_b('lo<-0.07')} AS tail_1m FROM (SELECT date, {_f('close', 5)} AS w, {_f('close', 20)} AS m, {_m('close', 20)} AS lo FROM {MARKET})"))
 def _(t):
-    d = L.forward_stats(t.market, "close", "f", DAY)
+    d = L.forward_stats(t.market, "close", "f", R.day())
     return d.select("date", *[c.alias(k) for k, c in L.drop_labels("f_1w", "f_1m", "f_min_1m").items()])
 
 
@@ -35,7 +34,7 @@ def _pl(h, n):
 def _(t):
     r = t.etf.select("date", "grp", clip(R.step_return("close", 1, R.by_entity()), -0.0517, 0.0517).alias("ret"))
     b = G.basket_index(r, ("grp",)).groupBy("date").pivot("grp", ["AMERICA", "ASIA"]).agg(F.first("index")).dropna()
-    d = L.forward_stats(L.forward_stats(b, "AMERICA", "risk", DAY), "ASIA", "safe", DAY)
+    d = L.forward_stats(L.forward_stats(b, "AMERICA", "risk", R.day()), "ASIA", "safe", R.day())
     return L.practical_loss(d, "risk", "safe").select("date", "practical_loss_1w", "rotation_1w", "practical_loss_1m", "rotation_1m")
 
 

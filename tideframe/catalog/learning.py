@@ -10,7 +10,6 @@ from tideframe.functions.scalar import clip
 from tideframe.operators import bubble as B, labels as LB, learn as LE, metrics as M, panel as P, pooled as PO, thresholds as TH, topk as T, xsec as S
 from tideframe.plans.fixtures import BRAND, RISK, WEEKLY
 
-W, DAY = R.by_entity(), Window.partitionBy(F.lit(0)).orderBy("date")
 FEATS = [r[0] for r in ROLES.values()]
 A, Z = "1998-06-01", "2000-01-01"
 
@@ -18,7 +17,7 @@ A, Z = "1998-06-01", "2000-01-01"
 def risk_panel(t):
     """Date-level features and label with a row number."""
     d = labelled(t).withColumn("deep", (F.col("m20") <= -0.5).cast("int")).join(riskon(t), "date")
-    return d.withColumn("row", F.row_number().over(DAY) - 1)
+    return d.withColumn("row", F.row_number().over(R.day()) - 1)
 
 
 RF = ["score"] + [f"r_{f}" for f in FEATS]
@@ -128,7 +127,7 @@ def _(t):
 
 
 def windows(t, n=10):
-    d = t.brand.select("date", "symbol", clip(R.step_return("close", 1, W), -1, 1).alias("r1"), clip(R.step_return("close", 5, W), -1, 1).alias("r5")).dropna()
+    d = t.brand.select("date", "symbol", clip(R.step_return("close", 1, R.by_entity()), -1, 1).alias("r1"), clip(R.step_return("close", 5, R.by_entity()), -1, 1).alias("r5")).dropna()
     st = LE.robust_stats(d.filter(F.col("date") <= F.lit(A).cast("date")), ["r1", "r5"])
     return LE.sliding_windows(LE.robust_scale(d, st, ["r1", "r5"]), ["r1", "r5"], n)
 
@@ -188,7 +187,7 @@ def _(t):
 
 @query("ml21_fit_reliability_and_ensemble")
 def _(t):
-    y = t.brand.select("symbol", F.col("date").alias("asof"), F.col("close").alias("c0"), R.forward_min_any("close", 60, W).alias("lo"))
+    y = t.brand.select("symbol", F.col("date").alias("asof"), F.col("close").alias("c0"), R.forward_min_any("close", 60, R.by_entity()).alias("lo"))
     f = fits(t).join(y, ["symbol", "asof"]).withColumn("y", F.when(F.col("lo").isNotNull(), (F.col("lo") < -0.9).cast("int"))).drop("c0", "lo")
     return B.ensemble(B.learned_reliability(f, "y", min_rows=100))
 
@@ -196,7 +195,7 @@ def _(t):
 @query("ml22_driver_screening")
 def _(t):
     m = P.at_rebalance(t.drivers, "M").select("date", "driver", F.col("level").alias("value"))
-    tg = P.at_rebalance(t.market, "M").select("date", R.step_return("close", 12, DAY).alias("target"))
+    tg = P.at_rebalance(t.market, "M").select("date", R.step_return("close", 12, R.day()).alias("target"))
     return B.driver_screen(m.join(tg, "date"))
 
 

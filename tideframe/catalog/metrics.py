@@ -10,7 +10,6 @@ from tideframe.functions.scalar import ratio
 from tideframe.operators import labels as L, metrics as M, pooled as PO, sweep as SW, thresholds as T
 from tideframe.plans.fixtures import ETF, MARKET, RISK, WEEKLY
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 UP = f"(SELECT *, (ret_1w>0)::INT AS y FROM {WEEKLY} WHERE ret_1w IS NOT NULL)"
 
 
@@ -53,7 +52,7 @@ _LAB = f"(SELECT date, score, close, r20, coalesce(m20<=-0.05,false)::INT AS y,
 
 
 def labelled(t):
-    d = t.risk.withColumns({"r20": R.forward_return("close", 20, DAY), "m20": R.forward_min_any("close", 20, DAY)}).filter("m20 is not null")
+    d = t.risk.withColumns({"r20": R.forward_return("close", 20, R.day()), "m20": R.forward_min_any("close", 20, R.day())}).filter("m20 is not null")
     return d.withColumn("y", L.label(F.col("m20") <= -0.05))
 
 
@@ -110,7 +109,7 @@ def _best(a, e):
 def loss_rows(t):
     from tideframe.catalog.composites import wide
     e = L.event_labels(wide(t).select("date", "VIX", "GOLD", "DXY"), ["VIX", "GOLD", "DXY"]).select("date", "label_event_loss_1m", "severity_1m")
-    d = t.risk.withColumn("f", R.forward_return("close", 20, DAY))
+    d = t.risk.withColumn("f", R.forward_return("close", 20, R.day()))
     return d.join(e, "date")
 
 

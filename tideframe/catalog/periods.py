@@ -13,7 +13,6 @@ from tideframe.operators import allocation as AL, asof as A, folds as FO, panel
 from tideframe.plans import safe as SF, selection as SE
 from tideframe.plans.fixtures import ETF, MARKET, RISK, WEEKDAYS, WEEKLY
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 _RN = "row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol)"
 # Returns of the fixture are wild; periods use a tenth of the clipped weekly return.
 _SC = "least(0.3,greatest(-0.3,ret_1w))*0.1"

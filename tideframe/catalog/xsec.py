@@ -8,12 +8,11 @@ from tideframe.functions.scalar import ratio, tanh_score
 from tideframe.operators import xsec as S
 from tideframe.plans.fixtures import ETF, WEEKLY
 
-W = R.by_entity()
 _R20 = f"(SELECT date, symbol, grp, close/lag(close,20) OVER (PARTITION BY symbol ORDER BY date)-1 AS r FROM {ETF})"
 
 
 def r20(t):
-    return t.etf.select("date", "symbol", "grp", R.step_return("close", 20, W).alias("r"))
+    return t.etf.select("date", "symbol", "grp", R.step_return("close", 20, R.by_entity()).alias("r"))
 
 
 def zsql(x="r", part="date", fn="stddev_samp"):

@@ -18,6 +18,11 @@ def by_entity(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy(order)
 
 
+def day(order: str = "date") -> WindowSpec:
+    """Order of a date-level table (one row per day); never used on asset rows or facts."""
+    return Window.partitionBy(F.lit(0)).orderBy(order)
+
+
 def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 

@@ -56,9 +56,6 @@ def last_bars(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame
     return T.last_rows(daily(bars, keys), KEEP, keys)
 
 
-N = F.max("rn")
-
-
 def enough(n: int, x: Column) -> Column:
     return F.when(F.max("rn") >= n, x)
 

@@ -127,7 +127,7 @@ def year_folds(years: list[int], valid_years: int, embargo_days: int, min_train_
 def isotonic(train: DataFrame, test: DataFrame, prob: str, label: str, out: str = "calibrated") -> DataFrame:
     """Isotonic calibration learnt on ``train``; predictions outside its range are clipped by the model."""
     m = IsotonicRegression(featuresCol=prob, labelCol=label, predictionCol=out).fit(train.filter(F.col(prob).isNotNull() & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
-    return m.transform(test).withColumn(out, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
+    return m.transform(test).withColumn(out, clip(out, 0, 1))
 
 
 def platt(train: DataFrame, test: DataFrame, score: str, label: str, out: str = "calibrated") -> DataFrame:

@@ -80,7 +80,7 @@ def grade_floor(pct) -> Column:
 
 def grade_ceil(pct) -> Column:
     """Label 0..4 as ceil(pct * 5) - 1; missing stays missing."""
-    return F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(col(pct) * 5) - 1)).cast("int")
+    return clip(F.ceil(col(pct) * 5) - 1, 0, 4).cast("int")
 
 
 def inverted_score(pct, lower_is_better: bool) -> Column:

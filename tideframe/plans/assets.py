@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, clip100, col, ladder, logit, ratio, sigmoid, total
 from tideframe.operators import asof as A, factors as FA, panel as P, topk as T, xsec as S
+from tideframe.session import checkpointed
 
 
 def driver_features(drivers: DataFrame, specs: DataFrame) -> DataFrame:
@@ -93,7 +94,9 @@ def blend_probability(win_rate, technical, driver, beta, horizon: str) -> Column
 
 def asset_scores(prices: DataFrame, drivers: DataFrame, specs: DataFrame, expected: DataFrame, regimes: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Point-in-time asset score table for the given dates (all dates when None): every window is
-    computed once over the panel and the rows are then limited by a semi join."""
+    computed once over the panel and the rows are then limited by a semi join.  The aggregated
+    inputs are read by several branches and are therefore staged."""
+    prices, drivers, regimes, expected = (checkpointed(x) for x in (prices, drivers, regimes, expected))
     tech = FA.technical_panel(prices).select("date", "symbol", "technical_score", "risk_penalty", "ret_20", "vol20", "dd252")
     feats = driver_features(drivers, specs).select("date", "driver", "riskon_score")
     betas = driver_betas(prices, drivers, expected)
@@ -113,6 +116,7 @@ def asset_scores(prices: DataFrame, drivers: DataFrame, specs: DataFrame, expect
 def weekly_panel(prices: DataFrame, drivers: DataFrame, specs: DataFrame, expected: DataFrame, regimes: DataFrame) -> DataFrame:
     """The score table on the last date of every week with realised returns."""
     w = R.by_entity()
+    prices = checkpointed(prices)
     weeks = P.rebalance_dates(prices, "W")
     real = prices.select("date", "symbol", R.forward_return("close", 5, w).alias("realized_1w"), R.forward_return("close", 20, w).alias("realized_4w"))
     d = asset_scores(prices, drivers, specs, expected, regimes, weeks).join(real, ["date", "symbol"])

@@ -100,8 +100,9 @@ class Tables:
         p = self.etf.select("date", "symbol", "grp", "close", R.step_return("close", 5, w).alias("r5"),
                             R.step_return("close", 20, w).alias("r20"),
                             R.forward_return("close", 5, w).alias("ret_1w"), R.forward_return("close", 20, w).alias("ret_4w"))
+        # Week ends come from the facts' dates alone, not from the joined panel.
         wk = F.date_add(F.date_trunc("week", F.date_add("date", 2)).cast("date"), 4)
-        days = p.select("date").distinct().groupBy(wk.alias("wk")).agg(F.max("date").alias("date")).select("date")
+        days = self.facts.groupBy(wk.alias("wk")).agg(F.max("date").alias("date")).select("date")
         p = p.join(days, "date", "left_semi").filter(F.col("r20").isNotNull())
         d = Window.partitionBy("date")
         z = F.coalesce(ratio(F.col("r20") - F.avg("r20").over(d), F.stddev_samp("r20").over(d)), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, ladder, ratio, tanh_score, weighted_sum
 from tideframe.operators import aggregates as G, asof as A, panel as P, xsec as S
+from tideframe.session import checkpointed
 
 MIN_HISTORY, AHEAD = 260, 20
 COMPONENT_COLUMNS = [
@@ -76,8 +77,13 @@ def component_features(dates: DataFrame, holdings: DataFrame, components: DataFr
 
 
 def leadership_panel(funds: DataFrame, benchmark: DataFrame, holdings: DataFrame, component_prices: DataFrame, frequency: str = "W", targets: bool = True) -> DataFrame:
-    """Price, constituent and concentration features with forward targets per (date, etf)."""
-    rows = fund_rows(funds, benchmark, frequency, targets)
+    """Price, constituent and concentration features with forward targets per (date, etf).
+
+    Each input is read several times (calendar, spine, values), so the aggregated panels are
+    staged once; the facts below them are scanned once each.
+    """
+    funds, benchmark, holdings, component_prices = (checkpointed(x) for x in (funds, benchmark, holdings, component_prices))
+    rows = checkpointed(fund_rows(funds, benchmark, frequency, targets))
     comp = price_windows(component_prices).withColumnRenamed("symbol", "component")
     f = component_features(rows.select("date", "etf", "b_ret20", "b_ret60"), holdings, comp)
     out = rows.join(f, ["date", "etf"], "left").withColumn("holding_count", F.coalesce("holding_count", F.lit(0)))

@@ -8,7 +8,6 @@ from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, clip100, col, ladder, ratio, total
 from tideframe.operators import xsec as S
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 # Base boost of each safe group and its boost per dominant stress component.
 STRESS_BOOST = {
     "Cash/short bonds": (15.0, {"credit": 8.0, "volatility": 8.0, "equity": 8.0, "supply_shock": -4.0, "hedge_bid": -4.0}),
@@ -81,20 +80,20 @@ def macro_overlay(df: DataFrame, category: str = "category") -> Column:
 
 def macro_panel(wide: DataFrame, levels: dict[str, str], diffs: dict[str, str], returns: dict[str, str]) -> DataFrame:
     """Levels, 5/20-row differences and padded 20-row returns of a date-level wide table."""
-    p = wide.withColumns({f"__{c}": R.padded(c, DAY) for c in returns.values()})
+    p = wide.withColumns({f"__{c}": R.padded(c, R.day()) for c in returns.values()})
     return p.select("date", *[F.col(c).alias(f"{k}_level") for k, c in levels.items()],
-                    *[R.difference(c, n, DAY).alias(f"{k}_{n}d_chg") for k, c in diffs.items() for n in (5, 20)],
-                    *[R.step_return(f"__{c}", 20, DAY).alias(f"{k}_20d_ret") for k, c in returns.items()])
+                    *[R.difference(c, n, R.day()).alias(f"{k}_{n}d_chg") for k, c in diffs.items() for n in (5, 20)],
+                    *[R.step_return(f"__{c}", 20, R.day()).alias(f"{k}_20d_ret") for k, c in returns.items()])
 
 
 def proxy_returns(wide: DataFrame, risk: dict[str, float], short: str, long: str, fx: str, dollar: str, gold: str) -> DataFrame:
     """Weighted risk return and synthetic cash, bond, dollar, gold and equal-weight safe returns."""
-    ret = lambda c: F.coalesce(R.step_return(f"__p_{c}", 1, DAY), F.lit(0.0))
+    ret = lambda c: F.coalesce(R.step_return(f"__p_{c}", 1, R.day()), F.lit(0.0))
     names = set(risk) | {fx, dollar, gold}
-    d = wide.withColumns({f"__p_{c}": R.padded(c, DAY) for c in names} | {"__s": R.padded(short, DAY), "__l": R.padded(long, DAY)})
+    d = wide.withColumns({f"__p_{c}": R.padded(c, R.day()) for c in names} | {"__s": R.padded(short, R.day()), "__l": R.padded(long, R.day())})
     day = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / 100 / 252
     d = d.withColumns({"risk_return": total([ret(c) * w for c, w in risk.items()]) / sum(risk.values()), "cash_return": clip(day("__s"), -0.001, 0.001),
-                       "bond_return": clip(-12.0 * F.coalesce(R.difference("__l", 1, DAY), F.lit(0.0)) / 100 + day("__l"), -0.08, 0.08), "gold_return": clip(ret(gold) + 0.5 * ret(fx), -0.10, 0.10),
+                       "bond_return": clip(-12.0 * F.coalesce(R.difference("__l", 1, R.day()), F.lit(0.0)) / 100 + day("__l"), -0.08, 0.08), "gold_return": clip(ret(gold) + 0.5 * ret(fx), -0.10, 0.10),
                        "__usd": 0.7 * ret(fx) + 0.3 * ret(dollar)})
     d = d.withColumn("usd_return", clip(F.col("__usd") + F.col("cash_return"), -0.08, 0.08))
     return d.withColumn("safe_equal_return", 0.35 * F.col("cash_return") + 0.30 * F.col("bond_return") + 0.20 * F.col("gold_return") + 0.15 * F.col("usd_return")).select(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, ratio
 from tideframe.operators import panel as P, topk as T, xsec as S
+from tideframe.session import checkpointed
 
 
 def basket_scores(df: DataFrame, score: str, basket: str, top_means: dict[str, str], n: int = 5, keys=("date",), tie: str = "symbol") -> DataFrame:
@@ -40,8 +41,10 @@ MOMENTUM = {5: 0.20, 20: 0.35, 60: 0.30, 120: 0.15}
 def weekly_rank_rows(prices: DataFrame, risk: DataFrame, k: int, block: float = 55.0) -> DataFrame:
     """Per week and horizon: gated momentum selection against what happened.
 
-    ``risk``: one row per date (date, risk, regime), already known at the date.
+    ``risk``: one row per date (date, risk, regime), already known at the date.  The price panel
+    gives both the week ends and the rows, so it is staged.
     """
+    prices = checkpointed(prices)
     scored = P.at_rebalance(momentum_scores(prices, MOMENTUM), "W").join(risk, "date")
     scored = scored.withColumn("gate", 1 - clip(F.coalesce("risk", F.lit(0.0)) / 140.0, 0, 0.55)).filter(F.coalesce("risk", F.lit(0.0)) < block)
     scored = scored.withColumn("score", F.round(F.col("score") * F.col("gate"), 10))

@@ -10,7 +10,6 @@ from tideframe.operators import aggregates as G, folds, xsec as S
 from tideframe.operators.stress import shock
 from tideframe.plans.risk_vector import dominant
 
-DAY = Window.partitionBy(F.lit(0)).orderBy("date")
 # Component weights and per-state budgets.
 COMPONENT_WEIGHTS = {"volatility": 1.25, "credit": 1.25, "fx": 1.05, "equity": 1.20, "cyclical": 0.95, "supply_shock": 0.55, "hedge_bid": 0.35, "liquidity": 0.75,
                      "rai": 0.95, "breadth": 1.10, "safe_rotation": 0.65}
@@ -45,8 +44,8 @@ def rai(prices: DataFrame, group: str, min_names: int = 20, w_ret: int = 126, w_
     w = R.by_entity()
     d = prices.withColumns({"y": R.step_return("close", w_ret, w), "r1": R.step_return("close", 1, w)}).withColumn("x", R.annual_vol("r1", w_vol, w, min_vol))
     s = G.weighted_slope(d, "y", "x", group, min_names)
-    z = R.zscore("slope", z_window, DAY, R.loose_min_periods(z_window, 20))
-    s = s.withColumn("RAI_z", z).withColumn("RAI_20d_change", R.difference("RAI_z", 20, DAY))
+    z = R.zscore("slope", z_window, R.day(), R.loose_min_periods(z_window, 20))
+    s = s.withColumn("RAI_z", z).withColumn("RAI_20d_change", R.difference("RAI_z", 20, R.day()))
     s = s.withColumns({"RAI_raw": F.col("slope"), "RAI_level_0_100": clip100(50 + 15 * F.col("RAI_z")),
                        "RAI_fear_score": clip100(28 * clip(-F.col("RAI_z") - 0.5, 0)), "RAI_collapse_score": clip100(24 * clip(-F.col("RAI_20d_change") - 0.75, 0)),
                        "RAI_overheat_score": clip100(25 * clip(F.col("RAI_z") - 1.0, 0))})
@@ -58,9 +57,9 @@ def breadth_scores(prices: DataFrame, risk: Column, safe: Column) -> DataFrame:
     """Breadth damage and safe-rotation scores from the per-date shares."""
     b = G.breadth(prices, risk, safe)
     damage = clip100(0.35 * F.col("below_ma60") + 0.25 * F.col("below_ma20") + 0.25 * F.col("loss20") + 0.15 * F.col("large_loss20"))
-    accel = clip100(160 * clip(F.lag("risk_breadth", 10).over(DAY) - F.col("risk_breadth"), 0))
+    accel = clip100(160 * clip(F.lag("risk_breadth", 10).over(R.day()) - F.col("risk_breadth"), 0))
     b = b.withColumns({"damage": damage, "accel": accel, "rotation": F.col("safe_ret") - F.col("risk_ret")})
-    z = R.zscore("rotation", 252, DAY, R.loose_min_periods(252, 20))
+    z = R.zscore("rotation", 252, R.day(), R.loose_min_periods(252, 20))
     return b.withColumns({"breadth_score": clip100(0.7 * F.col("damage") + 0.3 * F.col("accel")), "safe_rotation_score": clip100(30 * clip(z, 0))}).drop("damage", "accel")
 
 
@@ -74,7 +73,7 @@ def sentinel(scores: DataFrame, components: list[str], watch: float, derisk: flo
     d = scores.withColumns({"raw": raw, "boost": ladder([(n >= 4, 16.0), (n >= 3, 10.0), (n >= 2, 5.0)], 0.0)})
     d = folds.ema(d.withColumn("__s", F.lit(0)), "raw", 3, "persistence", ("__s",)).drop("__s")
     d = d.withColumns({"risk_off_score_raw": clip100("raw"), "risk_off_score": F.round(clip100(0.65 * F.col("raw") + 0.35 * F.col("persistence") + F.col("boost")), 8)})
-    d = d.withColumns({"risk_off_momentum_5d": R.difference("risk_off_score", 5, DAY), "dominant_component": F.regexp_replace(dominant(cols), "_score$", "")})
+    d = d.withColumns({"risk_off_momentum_5d": R.difference("risk_off_score", 5, R.day()), "dominant_component": F.regexp_replace(dominant(cols), "_score$", "")})
     d = folds.hysteresis(d, "risk_off_score", watch, derisk, cash, "sentinel_state")
     return d.withColumns({"risk_budget_pct": by_state("sentinel_state", BUDGET), "equity_penalty": by_state("sentinel_state", EQUITY_PENALTY),
                           "safe_asset_boost": by_state("sentinel_state", SAFE_BOOST)}).drop("raw", "boost", "persistence")
