@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideframe.functions.scalar import ratio
+from tideframe.session import checkpointed
 
 RANGES = 64
 
@@ -23,11 +24,17 @@ def value_counts(df: DataFrame, by: list[str], value: str, measures: dict[str, C
 
 def running(counts: DataFrame, by: list[str], measures: list[str], ranges: int = RANGES) -> DataFrame:
     """Adds ``<m>_below`` (sum of m over smaller values) and ``<m>_all`` (group total) to the
-    output of ``value_counts``."""
+    output of ``value_counts``.
+
+    The counts and their cut into ranges are staged: the approximate splits may come out slightly
+    different when recomputed, and both branches below must see the same ranges (the totals are
+    exact for any ranges).  It also keeps the panel below from being computed once per branch.
+    """
+    counts = checkpointed(counts)
     probs = [i / ranges for i in range(1, ranges)]
     splits = counts.groupBy(*by).agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), F.lit(ranges * 50)).alias("__s"))
-    cut = (counts.join(splits, by) if by else counts.join(splits)).withColumn(
-        "__b", F.size(F.filter("__s", lambda s: s < F.col("v")))).drop("__s")
+    cut = checkpointed((counts.join(splits, by) if by else counts.join(splits)).withColumn(
+        "__b", F.size(F.filter("__s", lambda s: s < F.col("v")))).drop("__s"))
     # One row per (group, range): at most ``ranges`` rows per group.
     part = cut.groupBy(*by, "__b").agg(*[F.sum(m).alias(f"__p_{m}") for m in measures])
     w_all = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -85,7 +92,7 @@ def row_ranks(df: DataFrame, by: list[str], value: str, date: str = "date", enti
     a value that holds a large share of the pool is split by its dates.
     """
     known = df.filter(F.col(value).isNotNull())
-    per_day = known.groupBy(*by, F.col(value).alias("v"), date).agg(F.count(F.lit(1)).alias("__c"))
+    per_day = checkpointed(known.groupBy(*by, F.col(value).alias("v"), date).agg(F.count(F.lit(1)).alias("__c")))
     levels = running(per_day.groupBy(*by, "v").agg(F.sum("__c").alias("n")), by, ["n"])
     w = Window.partitionBy(*by, "v").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     days = per_day.join(levels, [*by, "v"]).select(*by, F.col("v").alias(value), date, (F.col("n_below") + F.coalesce(F.sum("__c").over(w), F.lit(0))).alias("__o"), F.col("n_all").alias("pool"))
