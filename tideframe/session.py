@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,24 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidef
     return spark
 
 
+def shared_folder(master: str, configured: str | None) -> str:
+    """The folder for staged data: the configured one, or on a local master a fresh folder that goes
+    when the process ends. Another master without a configured folder is an error, since executors
+    would write to their own disks."""
+    if configured:
+        return configured
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"master {master}: set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="tideframe-staged-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where the session has none (tests on
-    one machine) a fresh local folder."""
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` at first use."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideframe-ckpt-"))
+        sc.setCheckpointDir(shared_folder(sc.master, spark.conf.get("spark.checkpoint.dir", None)))
     return sc.getCheckpointDir()
 
 
@@ -36,3 +50,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the session."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder through the file system it lives in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back.
+
+    Cheaper than a checkpoint where several branches read few columns; survives lost executors.
+    The folder goes when the process ends."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    STAGED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+STAGED: list[tuple[SparkSession, str]] = []
+
+
+def drop_staged() -> None:
+    """Delete all folders of ``staged``; those of a stopped session are skipped."""
+    while STAGED:
+        spark, path = STAGED.pop()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop_folder(spark, path)
