@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tideframe.llm.words import OTHER_SPACE, Memo, blocks
+from tideframe.llm.words import OTHER_SPACE, Memo, blocks, bounded_batches, kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,10 +153,12 @@ class Encoder:
         self.pieces, self.pattern = splitter(), regex.compile(pattern)
         self.memo = Memo(self.encode_pieces)
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as packed 32-bit integers."""
+    def encode_pieces(self, keys: list[str]) -> list[bytes]:
+        """The ids of each piece as packed 32-bit integers.  A key is a piece without its leading space;
+        the first piece of a text, which has none, is marked by a space."""
         words: dict[str, int] = {}
-        split = [[words.setdefault(w, len(words)) for w in self.pattern.findall(p)] for p in pieces]
+        find = self.pattern.findall
+        split = [[words.setdefault(w, len(words)) for w in find(k[1:] if k[:1] == " " else " " + k)] for k in keys]
         ids, starts = self.table.replay([w.encode("utf-8", "replace") for w in words])
         packed, at = ids.astype("<i4").tobytes(), (starts * 4).tolist()
         of = [packed[lo:hi] for lo, hi in zip(at, at[1:])]
@@ -167,12 +169,12 @@ class Encoder:
             keys: set[str] = set()
             for text in block:
                 head, *rest = self.pieces(text)
-                keys.add(head)
-                keys.update([" " + x for x in rest])
+                keys.add(" " + head)
+                keys.update(rest)
             known = self.memo.table(keys)
             for text in block:
                 head, *rest = self.pieces(text)
-                yield known[head] + b"".join([known[" " + x] for x in rest])
+                yield known[" " + head] + b"".join(map(known.__getitem__, rest))
 
 
 def id_arrays(packed: list[bytes | None]) -> pa.ListArray:
@@ -187,11 +189,11 @@ def id_arrays(packed: list[bytes | None]) -> pa.ListArray:
 def encoder(spark: SparkSession, path: str, pattern: str):
     """A column function text -> array<int> of ids by the rank file at ``path`` (read on the driver
     and broadcast: a vocabulary, of fixed size)."""
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    shared = bounded_batches(spark).sparkContext.broadcast({"ranks": read_ranks(path)})
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = Encoder(ranks.value, pattern)
+        enc = kept(shared, lambda value: Encoder(value["ranks"], pattern))
         for batch in batches:
             texts = batch.to_pylist()
             got = enc.encode([t for t in texts if t is not None])
@@ -202,7 +204,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
 
 def decoder(spark: SparkSession, path: str):
     """A column function array<int> -> binary: the bytes of the tokens, one after the other."""
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    ranks = bounded_batches(spark).sparkContext.broadcast(read_ranks(path))
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

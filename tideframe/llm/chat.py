@@ -21,11 +21,11 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideframe.llm.bpe import Encoder, id_arrays, read_ranks
+from tideframe.llm.words import bounded_batches, kept
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -50,18 +50,16 @@ def format_chat(turns: DataFrame, path: str, pattern: str, block: int = 1024) ->
     """One row per turn: conv_id, turn, place (number of the turn in its conversation, from 0), ids,
     at (position of its first id in the conversation), loss_from and loss_to (positions under the
     loss mask; equal where there is none).  Reserved ids: the two after the last id of the vocabulary."""
-    spark = turns.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    shared = bounded_batches(turns.sparkSession).sparkContext.broadcast({"ranks": read_ranks(path)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
-        reserved = max(ranks.value.values()) + 1
+        encoder = kept(shared, lambda value: Encoder(value["ranks"], pattern))
+        reserved = encoder.table.size - 1
         start, end = (int(reserved + k).to_bytes(4, "little") for k in (0, 1))
         newline = next(encoder.encode(["\n"]))
         for batch in batches:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            heads = encoder.encode([escape_role(r) for r in roles])
-            heads = list(heads)
+            heads = list(encoder.encode([escape_role(r) for r in roles]))
             bodies = list(encoder.encode([escape(t) for t in texts]))
             packed = [start + h + newline + b + end + newline for h, b in zip(heads, bodies)]
             lead = [(len(start) + len(h) + len(newline)) // 4 for h in heads]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession, functions as F
 
 from tideframe.llm.bpe import read_ranks
-from tideframe.llm.words import Memo, blocks
+from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
 
 def split_vocabulary(tokens) -> tuple[set[bytes], set[bytes]]:
@@ -81,17 +81,20 @@ class Automaton:
 
 def token_counter(spark: SparkSession, path: str):
     """A column function text -> bigint; the vocabulary is read on the driver and broadcast (fixed size)."""
-    tokens = spark.sparkContext.broadcast(list(read_ranks(path)))
+    shared = bounded_batches(spark).sparkContext.broadcast({"tokens": list(read_ranks(path))})
+
+    def memo_of(value: dict) -> Memo:
+        automaton = Automaton(*split_vocabulary(value["tokens"]))
+        return Memo(lambda words: [automaton.count(w) for w in words])
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = Automaton(*split_vocabulary(tokens.value))
-        memo = Memo(lambda words: [automaton.count(w) for w in words])
+        memo = kept(shared, memo_of)
         for batch in batches:
-            out = [None if t is None else 0 for t in batch.cast(pa.binary()).to_pylist()]
-            filled = (t for t in batch.cast(pa.binary()).to_pylist() if t is not None)
+            texts = batch.cast(pa.binary()).to_pylist()
+            out = [None if t is None else 0 for t in texts]
             at = (k for k, v in enumerate(out) if v is not None)
-            for block in blocks(filled):
+            for block in blocks(t for t in texts if t is not None):
                 words: set[bytes] = set()
                 for text in block:
                     words.update(text.split())

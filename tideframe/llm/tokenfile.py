@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from tideframe.llm.words import Memo, blocks
+from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
 MAGIC, HEAD, STEP = b"TIDS1", "<BqqqqqQ", 512
 
@@ -132,7 +132,7 @@ class LibraryEncoder:
 
     def __init__(self, definition: str, width: int):
         self.tokenizer, self.width = Tokenizer.from_str(definition), width
-        self.memo = Memo(self.encode_words, limit=600_000)
+        self.memo = Memo(self.encode_words)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         out = []
@@ -150,16 +150,16 @@ class LibraryEncoder:
                 keys.update(text.replace("\n", " ").split(" "))
             known = self.memo.table(keys)
             for text in block:
-                yield b"".join([known[w] for w in text.replace("\n", " ").split(" ")])
+                yield b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def write_token_files(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, tokens_per_segment: int = 4_000_000) -> None:
     """Encode every text of ``docs`` and write token-id files below ``path`` in ascending id order."""
-    spec = docs.sparkSession.sparkContext.broadcast(definition)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast({"definition": definition})
     close = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(spec.value, width)
+        encoder = kept(shared, lambda value: LibraryEncoder(value["definition"], width))
         part, number, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def segment() -> pa.RecordBatch:
@@ -210,7 +210,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                         lists = pa.ListArray.from_arrays(pa.array(np.append(starts[lo:hi], top) - base, type=pa.int32()), pa.array(wide[base:top].astype(np.int32)))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], type=pa.int64()), pa.array([s.part] * (hi - lo), type=pa.int64()), pa.array([s.number] * (hi - lo), type=pa.int64()), pa.array(starts[lo:hi]), pa.array((ends - starts)[lo:hi]), pa.array(crc[lo:hi], type=pa.int64()), lists], ["doc_id", "part", "number", "at", "n_tokens", "ids_crc32", "ids"])
 
-    files = read_files(spark, path)
+    files = read_files(bounded_batches(spark), path)
     # one row per segment
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.mapInArrow(heads, "part long, number long, tokens long").select("part", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
