@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideframe.llm import bpe, chat, pieces, tokenfile
+from tideframe.llm import bpe, chat, collisions, pieces, simhash, tokenfile
 from tideframe.session import STAGED, checkpoint_root
 
 
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", count(whole()).alias("n_tokens"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encode, decode = bpe.encoder(spark, path, public_tokenizers.PATTERN), bpe.decoder(spark, path)
@@ -33,6 +37,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,6 +58,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_chat_format, op9_byte_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_near_vectors, op5_chat_format, op6_simhash, op9_byte_bpe, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
