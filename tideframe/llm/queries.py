@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideframe.llm import bpe, chat, collisions, pieces, simhash, tokenfile
+from tideframe.llm import bpe, chat, collisions, mixing, order_minhash, pieces, sharding, simhash, tokenfile
 from tideframe.session import STAGED, checkpoint_root
 
 
@@ -30,6 +30,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return placed.select("doc_id", "size", F.crc32(whole().cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encode, decode = bpe.encoder(spark, path, public_tokenizers.PATTERN), bpe.decoder(spark, path)
@@ -37,6 +42,33 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
 
 
+#: Production target weights of the mix by domain, language and source; nodes not named have weight 1.
+MIX_WEIGHTS = {
+    ("web",): 6, ("books",): 4,
+    ("web", "en"): 6, ("web", "de"): 2, ("web", "fr"): 2, ("web", "es"): 2,
+    ("books", "en"): 8, ("books", "de"): 1, ("books", "fr"): 1, ("books", "es"): 1,
+    ("web", "en", "src0"): 3,
+}
+MIX_EPOCHS = 2
+
+
+def domain():
+    """Sources numbered below 10 are the web, the others books."""
+    return F.when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10, "web").when(F.col("source").isNotNull(), "books")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs.withColumn("mix_domain", domain()), ["mix_domain", "lang", "source"], MIX_WEIGHTS, mixing.word_tokens(F.col("text")), epochs=MIX_EPOCHS)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "mix_domain", "lang", "source", "mix_tokens", F.col("mix_epoch").cast("long").alias("mix_epoch"))
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -58,6 +90,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_near_vectors, op5_chat_format, op6_simhash, op9_byte_bpe, op10_token_files)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op9_byte_bpe, op10_token_files)}
+
+
+def mix_oracle() -> str:
+    """The mix as SQL: levels dealt from the root down, then the prefix of one more epoch per leaf."""
+    paths = [["mix_domain"], ["mix_domain", "lang"], ["mix_domain", "lang", "source"]]
+    parts = ["""sized AS (SELECT doc_id, lang, source, CASE WHEN TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) < 10 THEN 'web' WHEN source IS NOT NULL THEN 'books' END AS mix_domain,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS mix_tokens FROM documents)"""]
+    budget = "(SELECT CAST(coalesce(sum(mix_tokens), 0) AS BIGINT) FROM sized)"
+    for depth, path in enumerate(paths):
+        names, parent = ", ".join(path), path[:-1]
+        cases = " ".join("WHEN " + " AND ".join(f"{c} = '{v}'" for c, v in zip(path, key)) + f" THEN {w}" for key, w in MIX_WEIGHTS.items() if len(key) == len(path))
+        above = budget if not depth else f"(SELECT n.budget FROM n{depth - 1} n WHERE " + " AND ".join(f"n.{c} IS NOT DISTINCT FROM r.{c}" for c in parent) + ")"
+        over = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        order = f"{over} ORDER BY full_at, {path[-1]} NULLS FIRST"
+        parts += [
+            f"r{depth} AS (SELECT {names}, CAST(sum(mix_tokens) * {MIX_EPOCHS} AS BIGINT) AS room, CASE {cases} ELSE 1 END AS weight FROM sized GROUP BY {names})",
+            f"b{depth} AS (SELECT *, CAST(room AS HUGEINT) * 1000000 // weight AS full_at, least({above}, sum(room) OVER ({over})) AS budget FROM r{depth} r)",
+            f"s{depth} AS (SELECT *, budget - coalesce(sum(room) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM b{depth})",
+            f"f{depth} AS (SELECT *, min(CASE WHEN CAST(room AS HUGEINT) * weights <= CAST(left_over AS HUGEINT) * weight THEN 1 ELSE 0 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS is_full FROM s{depth})",
+            f"h{depth} AS (SELECT *, CASE WHEN is_full = 1 THEN room ELSE least(room, CAST(budget - coalesce(sum(CASE WHEN is_full = 1 THEN room END) OVER ({over}), 0) AS HUGEINT) * weight // sum(CASE WHEN is_full = 0 THEN weight END) OVER ({over})) END AS given FROM f{depth})",
+            f"n{depth} AS (SELECT {names}, room, CASE WHEN is_full = 0 AND row_number() OVER ({over} ORDER BY is_full, full_at, {path[-1]} NULLS FIRST) <= budget - sum(given) OVER ({over}) THEN least(given + 1, room) ELSE given END AS budget FROM h{depth})",
+        ]
+    leaf = ", ".join(paths[-1])
+    return f"""WITH {", ".join(parts)},
+    plan AS (SELECT {leaf}, CASE WHEN room > 0 THEN budget // (room // {MIX_EPOCHS}) ELSE 0 END AS whole, CASE WHEN room > 0 THEN budget % (room // {MIX_EPOCHS}) ELSE 0 END AS more FROM n2),
+    dealt AS (SELECT s.*, p.whole, p.more, md5('1|' || CAST(CAST(p.whole AS BIGINT) AS VARCHAR) || '|' || CAST(s.doc_id AS VARCHAR)) AS place FROM sized s JOIN plan p ON {" AND ".join(f"s.{c} IS NOT DISTINCT FROM p.{c}" for c in paths[-1])}),
+    placed AS (SELECT *, whole + CASE WHEN coalesce(sum(mix_tokens) OVER (PARTITION BY {leaf} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < more THEN 1 ELSE 0 END AS times FROM dealt)
+    SELECT doc_id, mix_domain, lang, source, mix_tokens, unnest(range(CAST(times AS BIGINT))) AS mix_epoch FROM placed"""
+
+
+ORACLES: dict[str, str] = {"op2_mixing": mix_oracle()}
