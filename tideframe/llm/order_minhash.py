@@ -27,37 +27,51 @@ def fingerprints(rows: DataFrame, texts: dict[str, str], k: int = 3, sketches: i
         raise ValueError("sketches: a power of two, at least 2")
     kept, names = [F.col(f"`{c}`") for c in rows.columns], list(texts)
 
-    def step(df: DataFrame, make) -> DataFrame:
-        return df.select(*kept, *[make(n).alias(n) for n in names])
-
-    def packed(hash_: Column, occurrence: Column, place: Column) -> Column:
-        return F.xxhash64(hash_, occurrence).bitwiseAND(F.lit(~PLACE)).bitwiseOR(place.bitwiseAND(F.lit(PLACE)))
-
-    def numbered(hashes: Column) -> Column:
-        """Packed k-mers with occurrence numbers: equal hashes are brought together by sorting."""
-        marked = F.sort_array(F.transform(hashes, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))))
-
-        def of(s: Column) -> Column:
-            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), 23) != F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), 23)))
-            runs = F.transform(F.array(first), lambda at: F.flatten(F.transform(at, lambda b, r: F.transform(F.slice(s, b + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - b), lambda x, j: packed(F.shiftright(x, 23), j, x)))))
-            return F.get(runs, F.lit(0))
-
-        return F.get(F.transform(F.array(marked), of), F.lit(0))
-
-    def tuples(low: Column) -> Column:
-        """One hash per filled bin, keyed by bin; low: the selected k-mers in order of hash."""
-        bin_ = lambda x: F.shiftright(x, 64 - bits)
-        first = F.filter(F.sequence(F.lit(0), F.size(low) - 1), lambda i: (i == 0) | (bin_(F.get(low, i)) != bin_(F.get(low, F.greatest(i - 1, F.lit(0))))))
-        in_text_order = lambda part: F.transform(F.sort_array(F.transform(part, lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, 24)))), lambda y: y.bitwiseAND(F.lit((1 << 40) - 1)))
-        return F.transform(F.array(first), lambda at: F.map_from_arrays(F.transform(at, lambda b: bin_(F.get(low, b)).cast("int")), F.transform(at, lambda b, r: F.xxhash64(in_text_order(F.slice(low, b + 1, F.coalesce(F.get(at, r + 1), F.size(low)) - b))))))[0]
-
-    words = lambda n: F.split(F.btrim(F.col(texts[n]), F.lit(" \t\n\x0b\f\r")), SPACE)
-    out = step(rows, words)
-    out = step(out, lambda n: F.slice(F.transform(n, lambda w, i: F.xxhash64(w, *[F.get(n, i + j) for j in range(1, k)])), F.lit(1), F.greatest(F.size(n) - (k - 1), F.lit(1))))
-    out = step(out, lambda n: F.sort_array(F.when(F.size(F.array_distinct(n)) == F.size(n), F.transform(n, lambda x, i: packed(F.shiftright(x, 23), F.lit(0), i.cast("long")))).otherwise(numbered(F.col(n)))))
-    out = step(out, lambda n: F.filter(n, lambda x, i: (i < take) | (F.shiftright(x, 64 - bits) != F.shiftright(F.get(n, F.greatest(i - take, F.lit(0))), 64 - bits))))
-    out = step(out, lambda n: tuples(F.col(n)))
-    return step(out, lambda n: F.transform(F.sequence(F.lit(-(sketches // 2)), F.lit(sketches // 2 - 1)), lambda b: F.element_at(n, b)))
+    def step(df: DataFrame, **make) -> DataFrame:
+        """A projection with, for each text, one column per part; every part is a column of its own, so no
+        array is computed again for each of its elements."""
+        return df.select(*kept, *[f(n).alias(f"{n}_{part}") for n in names for part, f in make.items()])
+
+    def of(part: str):
+        return lambda n: F.col(f"{n}_{part}")
+
+    def get(n: str, part: str, i: Column) -> Column:
+        return F.get(F.col(f"{n}_{part}"), i)
+
+    def starts(part: str, shift: int):
+        """Places in a sorted array at which the bits above ``shift`` change."""
+        def make(n: str) -> Column:
+            before = lambda i: get(n, part, F.greatest(i - 1, F.lit(0)))
+            return F.filter(F.sequence(F.lit(0), F.size(f"{n}_{part}") - 1), lambda i: (i == 0) | (F.shiftright(get(n, part, i), shift) != F.shiftright(before(i), shift)))
+        return make
+
+    def run(n: str, part: str, begin: Column, number: Column) -> Column:
+        """The elements from one start to the next."""
+        return F.slice(F.col(f"{n}_{part}"), begin + 1, F.coalesce(get(n, "at", number + 1), F.size(f"{n}_{part}")) - begin)
+
+    def marked(x: Column, place: Column) -> Column:
+        return x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(place.bitwiseAND(F.lit(PLACE)))
+
+    def in_text_order(part: Column) -> Column:
+        moved = F.transform(part, lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, 24)))
+        return F.transform(F.sort_array(moved), lambda y: y.bitwiseAND(F.lit((1 << 40) - 1)))
+
+    top = 64 - bits
+    words = step(rows, words=lambda n: F.split(F.btrim(F.col(texts[n]), F.lit(" \t\n\x0b\f\r")), SPACE))
+    hashes = step(words, hashes=lambda n: F.slice(F.transform(f"{n}_words", lambda w, i: F.xxhash64(w, *[get(n, "words", i + j) for j in range(1, k)])), F.lit(1), F.greatest(F.size(f"{n}_words") - (k - 1), F.lit(1))))
+    # occurrences: equal hashes are brought together by sorting and numbered in text order
+    alike = step(hashes, alike=lambda n: F.sort_array(F.transform(f"{n}_hashes", lambda x, i: marked(x, i.cast("long")))))
+    alike = step(alike, alike=of("alike"), at=starts("alike", 23))
+    numbered = step(alike, all=lambda n: F.flatten(F.transform(f"{n}_at", lambda b, r: F.transform(run(n, "alike", b, r), lambda x, j: marked(F.xxhash64(F.shiftright(x, 23), j), x)))))
+    ordered = step(numbered, all=lambda n: F.sort_array(f"{n}_all"))
+    low = step(ordered, low=lambda n: F.filter(f"{n}_all", lambda x, i: (i < take) | (F.shiftright(x, top) != F.shiftright(get(n, "all", F.greatest(i - take, F.lit(0))), top))))
+    low = step(low, low=of("low"), at=starts("low", top))
+    bins = step(low, bins=lambda n: F.transform(f"{n}_at", lambda b: F.shiftright(get(n, "low", b), top).cast("int")), tuples=lambda n: F.transform(f"{n}_at", lambda b, r: F.xxhash64(in_text_order(run(n, "low", b, r)))))
+    every = F.sequence(F.lit(-(sketches // 2)), F.lit(sketches // 2 - 1))
+    filled = step(bins, map=lambda n: F.map_from_arrays(f"{n}_bins", f"{n}_tuples"))
+    # the map is named twice, so that it stays a column and isn't built again for every bin
+    sketch = lambda n: F.when(F.size(f"{n}_map") > 0, F.transform(every, lambda b: F.element_at(f"{n}_map", b)))
+    return filled.select(*kept, *[sketch(n).alias(n) for n in names])
 
 
 def likeness(a: Column, b: Column) -> Column:
