@@ -28,6 +28,11 @@ def odd_texts(n=3_000):
     return ["".join(rnd.choice(" \n\t\x1c　\xa0ab'sé1!=") for _ in range(rnd.randrange(40))) for _ in range(n)]
 
 
+def punctuated(n=3_000):
+    rnd = random.Random(6)
+    return ["".join(rnd.choice(" ,.!_'aAsé3É\n\u0301") for _ in range(rnd.randrange(40))) for _ in range(n)]
+
+
 def greedy(word, starts, inner):
     at = count = 0
     while at < len(word):

@@ -19,9 +19,12 @@ Null texts are empty; every document gets the end id.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from tokenizers import Tokenizer
 
 from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
+WORD_END, MARK_IN_RUN = "</w>", re.compile(r"(?:[^\w ]|_)[,.] ")
 MAGIC, HEAD, STEP = b"TIDS1", "<BqqqqqQ", 512
 
 
@@ -131,26 +135,54 @@ class LibraryEncoder:
     normalisation does not reach over a space, so a text's ids are those of its words in turn."""
 
     def __init__(self, definition: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.width = Tokenizer.from_str(definition), width
-        self.memo = Memo(self.encode_words)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.memo = Memo(self.encode_words, limit=500_000)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(words), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 20_000], add_special_tokens=False)]
-            packed = np.array([i for ids in got for i in ids], dtype=f"<u{self.width}").tobytes()
-            at = np.concatenate([[0], np.cumsum([len(ids) for ids in got]) * self.width]).astype(int).tolist()
-            out += [packed[a:b] for a, b in zip(at, at[1:])]
-        return out
+        """Words of letters only are one match each, which the last token's word end shows: they are
+        encoded many to a text and cut apart there."""
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = [w for w in words if w.isalpha()]
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(letters), 500):
+            some = letters[lo : lo + 500]
+            ids = np.array(encode([" ".join(some)])[0], dtype=f"<u{self.width}")
+            at = [0, *((np.flatnonzero(self.word_end[ids]) + 1) * self.width).tolist()]
+            if len(at) == len(some) + 1:
+                packed = ids.tobytes()
+                out.update(zip(some, [packed[a:b] for a, b in zip(at, at[1:])]))
+        rest = [w for w in words if w not in out]
+        for lo in range(0, len(rest), 20_000):
+            out.update(zip(rest[lo : lo + 20_000], [np.array(ids, dtype=f"<u{self.width}").tobytes() for ids in encode(rest[lo : lo + 20_000])]))
+        return [out[w] for w in words]
+
+    def prepared(self, text: str) -> str:
+        """The text with fewer different words and the same ids: in lower case, and with commas and full stops
+        before a space set apart, where both are certain not to change an id."""
+        text = text.replace("\n", " ")
+        if "<|" in text:  # may be a control string, which is matched as it stands
+            return text
+        if text.isascii():
+            text = text.lower()
+        elif "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower := text.lower()):
+            text = lower
+        if not MARK_IN_RUN.search(text):  # a mark after another one is in one match with it
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for block in blocks(texts):
+            block = [self.prepared(t) for t in block]
             keys: set[str] = set()
             for text in block:
-                keys.update(text.replace("\n", " ").split(" "))
+                keys.update(text.split(" "))
             known = self.memo.table(keys)
             for text in block:
-                yield b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
+                yield b"".join(map(known.__getitem__, text.split(" ")))
 
 
 def write_token_files(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, tokens_per_segment: int = 4_000_000) -> None:
