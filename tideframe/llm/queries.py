@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideframe.llm import bpe, chat, collisions, mixing, order_minhash, pieces, sharding, simhash, tokenfile
+from tideframe.llm import bpe, chat, collisions, mixing, order_minhash, pieces, sharding, simhash, tokenfile, weak_labels
 from tideframe.session import STAGED, checkpoint_root
 
 
@@ -35,6 +35,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.crc32(whole().cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, score = weak_labels.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", score.alias("junk_score"), (score < weak_labels.JUNK_FROM).alias("kept"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encode, decode = bpe.encoder(spark, path, public_tokenizers.PATTERN), bpe.decoder(spark, path)
@@ -90,7 +95,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op9_byte_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op8_quality, op9_byte_bpe, op10_token_files)}
 
 
 def mix_oracle() -> str:
