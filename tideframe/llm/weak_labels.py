@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import sqrt
+from itertools import chain, islice
 from operator import eq
 from zlib import crc32
 
@@ -46,53 +46,62 @@ def word_facts(word: str) -> tuple[int, int, int, int, int]:
     return crc32(shape.encode("utf-8", "replace")) % (SIZE - 3) + 3, symbols, sum(map(str.isupper, word)), int(word[-1] in ".,"), int(symbols > (not word[-1].isalnum()))
 
 
-def vote(value: float, good: tuple[float, float], junk: tuple[float, float]) -> int:
+def vote(value: np.ndarray, good: tuple[float, float], junk: tuple[float, float]) -> np.ndarray:
     """0 within the first bounds, 1 outside the second, 2 between."""
-    return 0 if good[0] <= value <= good[1] else 1 if not junk[0] <= value <= junk[1] else 2
-
-
-def read(text: str, facts: dict) -> tuple[list[int], dict[int, float]]:
-    """Votes and features of one text."""
-    words = text.split()
-    n, chars = len(words), max(len(text), 1)
-    if not n:
-        return [2] * len(LABELLERS), {0: 1.0}
-    counts, shapes = Counter(words), {}
-    symbols = capitals = ends = marks = 0
-    for word, c in counts.items():
-        shape, s, u, e, m = facts[word]
-        shapes[shape] = shapes.get(shape, 0) + c
-        symbols += s * c
-        capitals += u * c
-        ends += e * c
-        marks += m * c
-    same = sum(map(eq, words, words[1:])) / n
-    seen = 1 - len(counts) / n
-    long_enough = n >= FEW
-    votes = [
-        vote(symbols / chars, (0, 0.045), (0, 0.075)),
-        vote(capitals / chars, (0, 0.06), (0, 0.2)),
-        vote(1 - seen, (0.55, 1), (0.4, 1)),
-        vote(same, (0, 0.02), (0, 0.1)),
-        vote(marks / n, (0, 0.03), (0, 0.15)),
-        vote(ends / n, (0.06, 0.25), (0.03, 0.4)),
-        vote(chars / n, (5, 7), (4.2, 8)),
-    ] if long_enough else [2] * len(LABELLERS)
-    return votes, {0: 1.0, 1: seen if long_enough else 0.0, 2: sqrt(same)} | {k: sqrt(v / n) for k, v in shapes.items()}
+    return np.where((good[0] <= value) & (value <= good[1]), 0, np.where((value < junk[0]) | (value > junk[1]), 1, 2))
+
+
+class Facts:
+    """Numbers of the distinct facts of words, and their table; one per Python worker."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.memo = Memo(lambda words: [self.numbers.setdefault(word_facts(w), len(self.numbers)) for w in words], limit=300_000)
+
+    def table(self) -> np.ndarray:
+        return np.array(list(self.numbers), dtype=np.int64).reshape(-1, 5)
+
+
+class Read:
+    """Votes of some texts, and their features as (text, feature, value)."""
+
+    def __init__(self, texts: list[str], facts: Facts):
+        split = [t.split() for t in texts]
+        counters = [Counter(words) for words in split]
+        known = facts.memo.table(set().union(*counters))
+        number = np.fromiter((k for c in counters for k in map(known.__getitem__, c)), dtype=np.int64)
+        count = np.fromiter(chain.from_iterable(c.values() for c in counters), dtype=np.int64)
+        distinct, n = np.array([len(c) for c in counters]), np.array([len(w) for w in split])
+        same = np.array([sum(map(eq, w, islice(w, 1, None))) for w in split])
+        chars, some = np.maximum([len(t) for t in texts], 1), np.maximum(n, 1)
+        text = np.repeat(np.arange(len(texts)), distinct)
+        found = facts.table()[number] if len(number) else np.zeros((0, 5), dtype=np.int64)
+        symbols, capitals, ends, marks = (np.bincount(text, weights=found[:, k] * count, minlength=len(texts)) for k in range(1, 5))
+        variety, enough = distinct / some, n >= FEW
+        votes = np.stack([
+            vote(symbols / chars, (0, 0.045), (0, 0.075)),
+            vote(capitals / chars, (0, 0.06), (0, 0.2)),
+            vote(variety, (0.55, 1), (0.4, 1)),
+            vote(same / some, (0, 0.02), (0, 0.1)),
+            vote(marks / some, (0, 0.03), (0, 0.15)),
+            vote(ends / some, (0.06, 0.25), (0.03, 0.4)),
+            vote(chars / some, (5, 7), (4.2, 8)),
+        ], axis=1)
+        self.patterns = np.where(enough[:, None], votes, 2) @ 3 ** np.arange(len(LABELLERS))
+        cell, at = np.unique(text * SIZE + found[:, 0], return_inverse=True)
+        shares = np.sqrt(np.bincount(at, weights=count, minlength=len(cell)) / some[cell // SIZE])
+        every = np.arange(len(texts))
+        self.text = np.concatenate([every, every, every, cell // SIZE])
+        self.feature = np.concatenate([np.repeat([0, 1, 2], len(texts)), cell % SIZE])
+        self.value = np.concatenate([np.ones(len(texts)), np.where(enough, 1 - variety, 0), np.sqrt(same / some), shares])
 
 
 def reader(shared):
-    """texts -> (votes, features) by blocks, with the facts of each distinct word found once."""
-    def run(texts: list[str]) -> Iterator[tuple[list[int], dict[int, float]]]:
-        memo = kept(shared, lambda _: Memo(lambda words: map(word_facts, words), limit=300_000))
+    """texts -> ``Read`` of a few hundred at a time, with the facts of each distinct word found once."""
+    def run(texts: list[str | None]) -> Iterator[Read]:
+        facts = kept(shared, lambda _: Facts())
         for lo in range(0, len(texts), 500):
-            some = texts[lo : lo + 500]
-            words: set[str] = set()
-            for t in some:
-                words.update(t.split())
-            facts = memo.table(words)
-            for t in some:
-                yield read(t, facts)
+            yield Read([t or "" for t in texts[lo : lo + 500]], facts)
     return run
 
 
@@ -151,13 +160,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     @F.arrow_udf("int")
     def pattern(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sum(v * 3**j for j, v in enumerate(votes)) for votes, _ in run([t or "" for t in batch.to_pylist()])], type=pa.int32())
+            yield pa.array(np.concatenate([np.zeros(0), *(r.patterns for r in run(batch.to_pylist()))]).astype(np.int32))
 
     @F.arrow_udf("struct<pattern: int, at: array<int>, value: array<double>>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("pattern", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
         for batch in batches:
-            yield pa.array([{"pattern": sum(v * 3**j for j, v in enumerate(votes)), "at": list(f), "value": list(f.values())} for votes, f in run([t or "" for t in batch.to_pylist()])], type=kind)
+            rows = [{"pattern": p, "at": r.feature[r.text == k].tolist(), "value": r.value[r.text == k].tolist()} for r in run(batch.to_pylist()) for k, p in enumerate(r.patterns.tolist())]
+            yield pa.array(rows, type=kind)
 
     found = docs.select(pattern(F.col(text_col)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()
     if not found:
@@ -184,10 +194,10 @@ def scorer(spark: SparkSession, weights: np.ndarray):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w = shared.value["weights"].tolist()
+        w = shared.value["weights"]
         for batch in batches:
-            sums = [sum(w[k] * v for k, v in f.items()) for _, f in run([t or "" for t in batch.to_pylist()])]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -500, 500))))
+            sums = [np.bincount(r.text, weights=w[r.feature] * r.value, minlength=len(r.patterns)) for r in run(batch.to_pylist())]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *sums]), -500, 500))))
 
     return score
 
