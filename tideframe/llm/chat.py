@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideframe.llm.bpe import Encoder, id_arrays, read_ranks
 from tideframe.llm.words import bounded_batches, kept
+from tideframe.session import staged
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -68,7 +69,7 @@ def format_chat(turns: DataFrame, path: str, pattern: str, block: int = 1024) ->
 
     clean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = clean.withColumn("tie", F.concat("role", F.lit("\n"), "text").cast("binary")).withColumn("tie", F.sha2("tie", 256))
-    encoded = rows.mapInArrow(encode, "conv_id long, turn long, tie string, ids array<int>, lead long, taught long")
+    encoded = staged(rows.mapInArrow(encode, "conv_id long, turn long, tie string, ids array<int>, lead long, taught long"))
     # a block is a range of turn numbers, so a conversation of any length is numbered in parts
     blocked = encoded.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / block))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, -1)
