@@ -140,7 +140,7 @@ def _(t):
 def _(t):
     px = t.brand.select("date", F.col("symbol").alias("component"), R.step_return("close", 20, R.by_entity()).alias("y"), ratio("close", R.high("close", 252, R.by_entity(), 120)).alias("hp"), R.step_return("close", 60, R.by_entity()).alias("ret60"))
     bench = t.market.select("date", R.step_return("close", 60, Window.partitionBy(F.lit(0)).orderBy("date")).alias("b60"))
-    days = P.at_rebalance(t.etf, "M").select("date", F.col("symbol").alias("etf"))
+    days = P.at_rebalance(t.etf, "W").select("date", F.col("symbol").alias("etf"))
     h = A.snapshot_join(days, t.holdings, "etf").join(px, ["date", "component"]).join(bench, "date").withColumn("rs60", F.col("ret60") - F.col("b60"))
     return G.component_regression(h)
 

@@ -81,9 +81,14 @@ def _(t):
     return Q.valid_feature_dates(t.etf, t.market).select("date", "symbol")
 
 
-@query("prj13_feature_coverage", fin("name:s share", f"SELECT 'ret_1w' AS name, avg((ret_1w IS NOT NULL)::INT) AS share FROM {WEEKLY} UNION ALL SELECT 'ret_4w', avg((ret_4w IS NOT NULL)::INT) FROM {WEEKLY} UNION ALL SELECT 'score', 1.0"))
+PRJ13_SHARE = 0.99
+
+
+@query("prj13_feature_coverage", fin("name:s share kept:i", f"SELECT *, share>={PRJ13_SHARE} AS kept FROM (SELECT 'ret_1w' AS name, avg((ret_1w IS NOT NULL)::INT) AS share FROM {WEEKLY} UNION ALL SELECT 'ret_4w', avg((ret_4w IS NOT NULL)::INT) FROM {WEEKLY} UNION ALL SELECT 'score', 1.0)"))
 def _(t):
-    return Q.column_coverage(t.weekly, ["ret_1w", "ret_4w", "score"])
+    cols = ["ret_1w", "ret_4w", "score"]
+    kept = Q.covered_columns(t.weekly, cols, PRJ13_SHARE)
+    return Q.column_coverage(t.weekly, cols).withColumn("kept", F.col("name").isin(kept))
 
 
 @query("prj14_sanitise_cell", fin("event_id:i k", "SELECT event_id, CASE WHEN event_id%4=0 THEN NULL ELSE CAST(json_extract_string(props,'$.k') AS DOUBLE) END AS k FROM events"))

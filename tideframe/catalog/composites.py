@@ -160,32 +160,32 @@ def _(t):
 _CATS = ["Long Treasury", "TIPS", "Cash", "Dollar", "Gold", "Yen"]
 
 
-def macro(t):
-    m = SF.macro_panel(wide(t), {"vix": "VIX"}, {"rate": "HY_OAS", "vix": "VIX"}, {"dxy": "DXY", "gold": "GOLD", "equity": "NASDAQ100"})
+def economy(t):
+    m = SF.economy_panel(wide(t), {"vix": "VIX"}, {"rate": "HY_OAS", "vix": "VIX"}, {"dxy": "DXY", "gold": "GOLD", "equity": "NASDAQ100"})
     return m.select("date", (F.col("rate_20d_chg") / 1000).alias("rate_chg"), (F.col("vix_level") / 100).alias("vix_level"), (F.col("vix_20d_chg") / 100).alias("vix_chg"),
                     F.col("dxy_20d_ret").alias("dxy_ret"), F.col("gold_20d_ret").alias("gold_ret"), F.col("equity_20d_ret").alias("equity_ret"))
 
 
 _ff = lambda c: over(f"last_value({c} IGNORE NULLS)", "ROWS UNBOUNDED PRECEDING", "")
-MACRO = f"""(SELECT date, (HY_OAS-lag(HY_OAS,20) OVER (ORDER BY date))/1000 AS rate_chg, VIX/100 AS vix_level, (VIX-lag(VIX,20) OVER (ORDER BY date))/100 AS vix_chg, d/lag(d,20) OVER (ORDER BY date)-1 AS dxy_ret, gg/lag(gg,20) OVER (ORDER BY date)-1 AS gold_ret,
+ECONOMY = f"""(SELECT date, (HY_OAS-lag(HY_OAS,20) OVER (ORDER BY date))/1000 AS rate_chg, VIX/100 AS vix_level, (VIX-lag(VIX,20) OVER (ORDER BY date))/100 AS vix_chg, d/lag(d,20) OVER (ORDER BY date)-1 AS dxy_ret, gg/lag(gg,20) OVER (ORDER BY date)-1 AS gold_ret,
  e/lag(e,20) OVER (ORDER BY date)-1 AS equity_ret FROM (SELECT *, {_ff('DXY')} AS d, {_ff('GOLD')} AS gg, {_ff('NASDAQ100')} AS e FROM {WIDE}))"""
 
 
-@query("cp06_safe_score_with_overlay", fin("date symbol s", f"""WITH {_AF}, m AS (SELECT date, coalesce(rate_chg,0) AS rc, coalesce(dxy_ret,0) AS dx, coalesce(gold_ret,0) AS gr, coalesce(equity_ret,0) AS eq, least(2.5, greatest(0,coalesce(vix_level,0)-20)/20+greatest(0,coalesce(vix_chg,0))/15) AS st FROM {MACRO}),
+@query("cp06_safe_score_with_overlay", fin("date symbol s", f"""WITH {_AF}, m AS (SELECT date, coalesce(rate_chg,0) AS rc, coalesce(dxy_ret,0) AS dx, coalesce(gold_ret,0) AS gr, coalesce(equity_ret,0) AS eq, least(2.5, greatest(0,coalesce(vix_level,0)-20)/20+greatest(0,coalesce(vix_chg,0))/15) AS st FROM {ECONOMY}),
  o AS (SELECT af.*, CASE {_CATS}[(ascii(reverse(af.symbol))-48)%6+1] WHEN 'Long Treasury' THEN -2.4*rc+0.45*st WHEN 'TIPS' THEN -1.2*rc+0.25*st WHEN 'Cash' THEN 1.5*greatest(rc,0)+0.2*st WHEN 'Dollar' THEN 5.0*dx+0.15*st WHEN 'Gold' THEN 2.2*gr-1.2*dx-0.6*greatest(rc,0)+0.2*st ELSE -2.0*dx+0.25*st+greatest(-eq,0) END AS ov FROM af ASOF LEFT JOIN m ON af.date>=m.date)
  SELECT date, symbol, 0.55*round({wsum(L.LONG_SAFE)},10)+0.45*round(z_ov,10) AS s FROM {zc([*L.LONG_SAFE, 'ov'], None, 'o')}"""))
 def _(t):
     d = L.asset_features(t.etf, t.market)
     k = ((F.ascii(F.reverse("symbol")) - 48) % 6 + 1).cast("int")
-    d = A.asof_join(d, macro(t)).withColumn("category", F.element_at(F.array(*[F.lit(c) for c in _CATS]), k))
-    d = L.rule_over_z(d.withColumn("ov", SF.macro_overlay(d)), L.LONG_SAFE, "rule")
+    d = A.asof_join(d, economy(t)).withColumn("category", F.element_at(F.array(*[F.lit(c) for c in _CATS]), k))
+    d = L.rule_over_z(d.withColumn("ov", SF.economy_overlay(d)), L.LONG_SAFE, "rule")
     d = L.rule_over_z(d, {"ov": 1.0}, "zo")
     return d.select("date", "symbol", (0.55 * F.col("rule") + 0.45 * F.col("zo")).alias("s"))
 
 
-@query("cp07_macro_panel", fin("date rate_chg vix_level vix_chg dxy_ret gold_ret equity_ret", f"FROM {MACRO}"))
+@query("cp07_economy_panel", fin("date rate_chg vix_level vix_chg dxy_ret gold_ret equity_ret", f"FROM {ECONOMY}"))
 def _(t):
-    return macro(t)
+    return economy(t)
 
 
 _TR = "CASE driver " + " ".join(f"WHEN '{d}' THEN '{r[2]}'" for d, r in ROLES.items()) + " END"
@@ -349,15 +349,15 @@ _have = set(HAVE) | {"risk_off_score"}
 _c1 = ", ".join(f"round({wmean(w, _have)},8) AS {k}" for k, w in RV.COMPONENTS.items())
 _all = set(RV.VECTOR) | {"risk_off_score"}
 VECTOR = SENT + f""", v1 AS (SELECT sent.*, sent.v AS risk_off_score, r.score AS pk, {_c1.replace('risk_off_score', 'v')} FROM sent LEFT JOIN {RISK} r ON r.date=sent.date),
- v2 AS (SELECT *, round({wmean(RV.SAFE_ROTATION, {'hedge_demand'})},8) AS safe_rotation_stress, {clipped('pk')} AS peak_fragility, 0.0 AS analog_macro_risk, 0.0 AS correction_pressure FROM v1),
+ v2 AS (SELECT *, round({wmean(RV.SAFE_ROTATION, {'hedge_demand'})},8) AS safe_rotation_stress, {clipped('pk')} AS peak_fragility, 0.0 AS analog_history_risk, 0.0 AS correction_pressure FROM v1),
  v3 AS (SELECT *, {', '.join(f'round({psum(w, _all)},8) AS {k}' for k, w in RV.AXES.items())} FROM v2), v4 AS (SELECT *, round({psum(RV.COMPOSITE, _all | set(RV.AXES))},8) AS composite_vector_risk FROM v3),
  vec AS MATERIALIZED (SELECT *, CASE """ + " ".join(f"WHEN {c}=greatest({','.join(RV.VECTOR)}) THEN '{c}'" for c in RV.VECTOR) + """ END AS dominant_risk_vector, CASE WHEN composite_vector_risk>=70 THEN 'Crisis' WHEN composite_vector_risk>=55 THEN 'Risk-Off' WHEN composite_vector_risk>=40 THEN 'Warning' WHEN composite_vector_risk>=25 THEN 'Fragile' ELSE 'Normal' END AS risk_phase,
- CASE WHEN macro_liquidity_axis_x>=55 AND market_breakdown_axis_y>=55 THEN 'Full Risk-Off' WHEN peak_fragility>=60 AND market_breakdown_axis_y<45 AND macro_liquidity_axis_x<45 THEN 'Fragile Peak' WHEN liquidity_credit_stress>=55 AND volatility_stress>=45 THEN 'Credit/Liquidity Shock'
- WHEN fx_external_stress>=55 AND external_supply_axis_z>=45 THEN 'FX/External Stress' WHEN inflation_supply_stress>=55 AND equity_breakdown_stress<45 THEN 'Inflation/Supply Shock' WHEN equity_breakdown_stress>=50 AND macro_liquidity_axis_x<45 THEN 'Technical Equity Breakdown'
- WHEN peak_fragility>=48 THEN 'Peak Warning' WHEN greatest(macro_liquidity_axis_x,market_breakdown_axis_y,external_supply_axis_z)<30 THEN 'Calm Risk-On' ELSE 'Mixed/Transition' END AS risk_archetype FROM v4)"""
+ CASE WHEN liquidity_axis_x>=55 AND market_breakdown_axis_y>=55 THEN 'Full Risk-Off' WHEN peak_fragility>=60 AND market_breakdown_axis_y<45 AND liquidity_axis_x<45 THEN 'Fragile Peak' WHEN liquidity_credit_stress>=55 AND volatility_stress>=45 THEN 'Credit/Liquidity Shock'
+ WHEN fx_external_stress>=55 AND external_supply_axis_z>=45 THEN 'FX/External Stress' WHEN inflation_supply_stress>=55 AND equity_breakdown_stress<45 THEN 'Inflation/Supply Shock' WHEN equity_breakdown_stress>=50 AND liquidity_axis_x<45 THEN 'Technical Equity Breakdown'
+ WHEN peak_fragility>=48 THEN 'Peak Warning' WHEN greatest(liquidity_axis_x,market_breakdown_axis_y,external_supply_axis_z)<30 THEN 'Calm Risk-On' ELSE 'Mixed/Transition' END AS risk_archetype FROM v4)"""
 
 
-@query("cp18_risk_vector", fin("date macro_liquidity_axis_x market_breakdown_axis_y external_supply_axis_z composite_vector_risk dominant_risk_vector:s risk_archetype:s risk_phase:s", VECTOR + " SELECT * FROM vec"))
+@query("cp18_risk_vector", fin("date liquidity_axis_x market_breakdown_axis_y external_supply_axis_z composite_vector_risk dominant_risk_vector:s risk_archetype:s risk_phase:s", VECTOR + " SELECT * FROM vec"))
 def _(t):
     return vector(t).select("date", *RV.AXES, "composite_vector_risk", "dominant_risk_vector", "risk_archetype", "risk_phase")
 
@@ -466,16 +466,16 @@ def _(t):
     return d.select("date", "symbol", SF.stress_score("score", "sg", "dominant_component", "sentinel_state", "risk_off_score").alias("s"))
 
 
-_MWH = {k: {c: w for c, w in ws.items() if c in _all | set(RV.AXES) | {"risk_off_avoidance_score", "peak_correction_score"}} for k, ws in SF.MACRO_WEIGHTS.items()}
+_MWH = {k: {c: w for c, w in ws.items() if c in _all | set(RV.AXES) | {"risk_off_avoidance_score", "peak_correction_score"}} for k, ws in SF.ECONOMY_WEIGHTS.items()}
 
 
-@query("cp26_safe_macro_selector", fin("date symbol s", VECTOR + f""", c1 AS (SELECT *, round({_S['crash_sentinel_score']},8) AS crash_sentinel_score, round({_S['peak_correction_score']},8) AS peak_correction_score FROM vec), c2 AS (SELECT *, round({_S['risk_off_avoidance_score']},8) AS risk_off_avoidance_score FROM c1),
+@query("cp26_safe_economy_selector", fin("date symbol s", VECTOR + f""", c1 AS (SELECT *, round({_S['crash_sentinel_score']},8) AS crash_sentinel_score, round({_S['peak_correction_score']},8) AS peak_correction_score FROM vec), c2 AS (SELECT *, round({_S['risk_off_avoidance_score']},8) AS risk_off_avoidance_score FROM c1),
  x AS (SELECT w.date, symbol, score, CASE {_SG}[CAST(regexp_extract(symbol,'([0-9]+)$',1) AS INT)%7+1] """ + " ".join(f"WHEN '{k}' THEN ({'+'.join(f'{clipped(c)}/100*({w})' for c, w in ws.items())})/{sum(abs(x) for x in ws.values())}" for k, ws in _MWH.items() if k not in ("FX cash", "Korea bonds")) + f""" ELSE 0 END AS raw FROM {WEEKLY} w JOIN c2 ON c2.date=w.date)
  SELECT date, symbol, 0.58*{zsql('score')}+0.42*{zsql('raw')} AS s FROM x"""))
 def _(t):
     d = t.weekly.join(RV.composite_scores(vector(t)).drop("score"), "date").withColumn("sg", safe_groups())
-    d = SF.macro_score(d, "sg").withColumn("tech", S.z("score", S.by_date()))
-    return d.select("date", "symbol", SF.selector_score("tech", "macro_score").alias("s"))
+    d = SF.economy_score(d, "sg").withColumn("tech", S.z("score", S.by_date()))
+    return d.select("date", "symbol", SF.selector_score("tech", "economy_score").alias("s"))
 
 
 @query("cp27_policy_state", fin("date p st:s hw:i hd:i hc:i", SENT + f""", x AS (SELECT sent.date, v, st AS ss, CASE dom WHEN 'volatility' THEN 'VIX' WHEN 'credit' THEN 'HY_OAS' WHEN 'equity' THEN 'NASDAQ100' WHEN 'fx' THEN 'DXY' ELSE 'WTI' END AS d, coalesce(mom,0) AS m, r.score/100 AS p FROM sent JOIN {RISK} r ON r.date=sent.date),

@@ -149,11 +149,11 @@ def _(t):
     return a.join(t.weekly.select("date", "symbol", pos.alias("pos"), "score"), ["date", "symbol", "pos"])
 
 
-@query("jn19_proxy_prices", fin("etf:s component:s n:i proxied:i avg_close", f"""WITH h AS (SELECT DISTINCT etf, component, component IN ('Brand#3','Brand#8') AS proxied FROM {HOLDINGS} WHERE date<DATE '1997-01-01'),
+@query("jn19_proxy_prices", fin("etf:s component:s n:i proxied:i avg_close", f"""WITH h AS (SELECT DISTINCT etf, component, component IN ('Brand#3','Brand#8') AS proxied FROM {HOLDINGS}),
  p AS (SELECT symbol, close FROM {BRAND} UNION ALL SELECT symbol, close FROM {ETF})
  SELECT etf, component, count(*) AS n, bool_or(proxied) AS proxied, avg(close) AS avg_close FROM h JOIN p ON p.symbol=CASE WHEN proxied THEN etf ELSE component END GROUP BY 1,2"""))
 def _(t):
-    h = t.holdings.filter("date < date'1997-01-01'").select("etf", "component").distinct()
+    h = t.holdings.select("etf", "component").distinct()
     bad = t.part.filter("p_brand in ('Brand#3', 'Brand#8')").select(F.col("p_brand").alias("component"))
     px = t.brand.select("symbol", "close").unionByName(t.etf.select("symbol", "close"))
     stats = px.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("avg_close"))

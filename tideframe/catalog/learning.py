@@ -52,7 +52,8 @@ def _(t):
 @query("ml04_yearly_walk_forward")
 def _(t):
     d = risk_panel(t).withColumn("row", F.date_format("date", "yyyy-MM-dd"))
-    folds = LE.year_folds(list(range(1995, 2002)), 1, 30, 3)
+    span = d.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    folds = LE.year_folds(list(range(span[0], span[1] + 1)), 1, 30, 3)
     p = LE.walk_forward(d, RF, "deep", lambda y: LE.forest(y, trees=10), [(f["train_to"], f["valid_from"], f["test_to"]) for f in folds], ["date", "score"])
     years = {i: f for i, f in enumerate(folds)}
     test_from = F.create_map(*[F.lit(x) for i, f in years.items() for x in (i, f["test_from"])])[F.col("fold")]
@@ -121,7 +122,7 @@ def _(t):
 @query("ml13_mixture_regimes")
 def _(t):
     from tideframe.plans.assets import label_clusters
-    f = [f"r_{x}" for x in FEATS[:4]]
+    f = [f"r_{x}" for x in FEATS]
     m = LE.mixture_regimes(riskon(t), f)
     return m.groupBy("state").agg(F.count(F.lit(1)).alias("days"), F.avg(F.array_max("probabilities")).alias("confidence")).join(label_clusters(m, "state", f), "state")
 
@@ -189,7 +190,7 @@ def _(t):
 def _(t):
     y = t.brand.select("symbol", F.col("date").alias("asof"), F.col("close").alias("c0"), R.forward_min_any("close", 60, R.by_entity()).alias("lo"))
     f = fits(t).join(y, ["symbol", "asof"]).withColumn("y", F.when(F.col("lo").isNotNull(), (F.col("lo") < -0.9).cast("int"))).drop("c0", "lo")
-    return B.ensemble(B.learned_reliability(f, "y", min_rows=100))
+    return B.ensemble(B.learned_reliability(f, "y"))
 
 
 @query("ml22_driver_screening")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .scalar import col, finite
@@ -17,7 +19,7 @@ PAYLOAD_ERROR_WORDS = ["rate", "limit", "premium", "error", "invalid", "thank yo
 
 def any_of(tokens) -> str:
     """Regex alternation of literal tokens."""
-    return "|".join(t.replace("-", "[-]").replace(".", "[.]") for t in tokens)
+    return "|".join(map(re.escape, tokens))
 
 
 def asset_symbol(token) -> Column:

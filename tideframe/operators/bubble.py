@@ -80,6 +80,7 @@ def bubble_fits(windows: DataFrame, fits: int = 5, population: int = 40, generat
 
 def reliability(rmse, c, beta, omega) -> Column:
     """Closed-form reliability of a fit, used when there are too few labelled fits to learn one."""
+    # The coefficients below must match.
     shape = 0.35 + 0.25 * F.least(F.abs(col(c)), F.lit(1.0)) + 0.20 * (1 - F.abs(col(beta) - 0.5)) + 0.20 * (1 - F.least(F.abs(col(omega) - 9.5) / 5.0, F.lit(1.0)))
     return clip(shape * F.exp(-8 * F.greatest(col(rmse) - 0.015, F.lit(0.0))), 0, 1)
 
@@ -95,9 +96,11 @@ def ensemble(fits: DataFrame) -> DataFrame:
     return g.withColumn("label", ladder([(x > 0.6, "crash-alert"), (x >= 0.3, "caution")], "stable"))
 
 
-def learned_reliability(fits: DataFrame, label: str, min_rows: int = 200, min_positives: int = 3) -> DataFrame:
+def learned_reliability(fits: DataFrame, label: str, min_rows: int = 40, min_positives: int = 3) -> DataFrame:
     """Reliability from the best of forest, logistic and perceptron models on labelled fits (by
-    recall, then precision, on a held-out hash quarter); the closed form when labels are scarce."""
+    recall, then precision, on a held-out hash quarter).  With fewer than ``min_rows`` labelled fits or
+    ``min_positives`` positive ones no model can be learnt and the closed form is used; the column
+    ``lppl_model`` says which it was."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler
@@ -107,7 +110,7 @@ def learned_reliability(fits: DataFrame, label: str, min_rows: int = 200, min_po
     d = checkpointed(LE.assembled(fits.filter(F.col(label).isNotNull()), cols).withColumn("__h", F.pmod(F.xxhash64("symbol", "asof", "fit"), F.lit(4))))
     n = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p")).first()
     if n["n"] < min_rows or (n["p"] or 0) < min_positives or n["p"] == n["n"]:
-        return fits.withColumn("lppl_reliability", reliability("lppl_rmse", "lppl_c", "lppl_beta", "lppl_omega"))
+        return fits.withColumns({"lppl_reliability": reliability("lppl_rmse", "lppl_c", "lppl_beta", "lppl_omega"), "lppl_model": F.lit("closed form")})
     train, test = LE.class_weights(d.filter("__h < 3"), label), d.filter("__h = 3")
     mlp = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
                            MultilayerPerceptronClassifier(featuresCol="__scaled", labelCol=label, layers=[len(cols), 16, 8, 2], maxIter=60, seed=42, probabilityCol="__prob", rawPredictionCol="__raw_prob", predictionCol="__pred_prob")])
@@ -117,8 +120,9 @@ def learned_reliability(fits: DataFrame, label: str, min_rows: int = 200, min_po
         p = LE.up_probability(fitted[name].transform(test)).withColumn("__y", F.col("prob") >= 0.5)
         r = M.rates(p.agg(*M.confusion("__y", label))).first()
         scores[name] = (r["recall"] or 0.0, r["precision"] or 0.0, name)
-    best = fitted[max(scores.values())[2]]
-    return LE.up_probability(best.transform(LE.assembled(fits, cols)), "prob").withColumnRenamed("prob", "lppl_reliability").drop("features")
+    name = max(scores.values())[2]
+    best = fitted[name]
+    return LE.up_probability(best.transform(LE.assembled(fits, cols)), "prob").withColumnRenamed("prob", "lppl_reliability").drop("features").withColumn("lppl_model", F.lit(name))
 
 
 # --- driver screening ---------------------------------------------------------------------

@@ -193,12 +193,14 @@ def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], tar
 
 # --- states, embeddings ---------------------------------------------------------------------
 
-def mixture_regimes(df: DataFrame, features: list[str], k: int = 4, seed: int = 42) -> DataFrame:
-    """Gaussian-mixture state and probabilities on standardised, clipped features."""
+def mixture_regimes(df: DataFrame, features: list[str], k: int = 4, seed: int = 42, starts: int = 10) -> DataFrame:
+    """Gaussian-mixture state and probabilities on standardised, clipped features; of ``starts`` fits with
+    seeds of their own the one with the best log-likelihood."""
     d = df.dropna(subset=features).withColumns({f: clip(f, -5, 5) for f in features})
     d = assembled(d, features, "__raw")
-    m = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__z", withMean=True), GaussianMixture(featuresCol="__z", k=k, seed=seed, predictionCol="state", probabilityCol="__p")]).fit(d)
-    return m.transform(d).withColumn("probabilities", vector_to_array("__p")).drop("__raw", "__z", "__p")
+    z = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True).fit(d).transform(d)
+    fits = [GaussianMixture(featuresCol="__z", k=k, seed=seed + s, predictionCol="state", probabilityCol="__p").fit(z) for s in range(starts)]
+    return max(fits, key=lambda m: m.summary.logLikelihood).transform(z).withColumn("probabilities", vector_to_array("__p")).drop("__raw", "__z", "__p")
 
 
 def robust_stats(train: DataFrame, features: list[str]) -> DataFrame:

@@ -71,11 +71,10 @@ def valid_feature_dates(prices: DataFrame, benchmark: DataFrame, min_history: in
     return prices.filter(F.col("close").isNotNull()).join(cal.select("date"), "date", "left_semi").join(b, "date", "left_semi")
 
 
-def covered_columns(df: DataFrame, cols: list[str], min_share: float, max_cols: int | None = None) -> list[str]:
-    """Names of numeric columns with enough non-null values: one aggregate, one row to the driver."""
+def covered_columns(df: DataFrame, cols: list[str], min_share: float) -> list[str]:
+    """Names of numeric columns with enough non-null values, best covered first: one aggregate, one row to the driver."""
     row = df.agg(*[F.avg(finite(c).isNotNull().cast("double")).alias(c) for c in cols]).first()
-    keep = [c for c in cols if (row[c] or 0.0) >= min_share]
-    return keep[:max_cols] if max_cols else keep
+    return sorted((c for c in cols if (row[c] or 0.0) >= min_share), key=lambda c: -row[c])
 
 
 def column_coverage(df: DataFrame, cols: list[str]) -> DataFrame:

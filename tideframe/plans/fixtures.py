@@ -70,7 +70,7 @@ class Tables:
 
     @cached_property
     def drivers(self) -> DataFrame:
-        """date, driver, level — macro-like series."""
+        """date, driver, level — economic series."""
         j = self.facts.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         return j.groupBy("date", F.col("p_type").alias("driver")).agg(unit_price().alias("level"))
 

@@ -33,13 +33,13 @@ COMPONENTS = {
     "rai_appetite_stress": {"RAI_shock_score": 0.38, "RAI_fear_score": 0.22, "RAI_collapse_score": 0.25, "RAI_overheat_score": 0.15},
     "universe_breadth_stress": {"ETF_breadth_shock_score": 0.48, "ETF_below_60ma_pct": 0.20, "ETF_below_20ma_pct": 0.14, "ETF_20d_loss_pct": 0.14, "ETF_20d_large_loss_pct": 0.04}}
 SAFE_ROTATION = {"SAFE_ROTATION_shock_score": 0.70, "hedge_demand": 0.30}
-MODEL_SCORES = {"peak_fragility": "peak_fragility_score_0_100", "analog_macro_risk": "analog_risk_score_0_100", "correction_pressure": "correction_pressure_score_0_100"}
+MODEL_SCORES = {"peak_fragility": "peak_fragility_score_0_100", "analog_history_risk": "analog_risk_score_0_100", "correction_pressure": "correction_pressure_score_0_100"}
 AXES = {
-    "macro_liquidity_axis_x": {"liquidity_credit_stress": 0.42, "fx_external_stress": 0.28, "volatility_stress": 0.20, "inflation_supply_stress": 0.10, "rai_appetite_stress": 0.10},
+    "liquidity_axis_x": {"liquidity_credit_stress": 0.42, "fx_external_stress": 0.28, "volatility_stress": 0.20, "inflation_supply_stress": 0.10, "rai_appetite_stress": 0.10},
     "market_breakdown_axis_y": {"equity_breakdown_stress": 0.36, "volatility_stress": 0.20, "cyclical_china_stress": 0.15, "universe_breadth_stress": 0.14, "rai_appetite_stress": 0.08,
-                                "peak_fragility": 0.10, "analog_macro_risk": 0.07, "correction_pressure": 0.08},
+                                "peak_fragility": 0.10, "analog_history_risk": 0.07, "correction_pressure": 0.08},
     "external_supply_axis_z": {"fx_external_stress": 0.36, "cyclical_china_stress": 0.26, "inflation_supply_stress": 0.22, "hedge_demand": 0.10, "safe_rotation_stress": 0.10}}
-COMPOSITE = {"macro_liquidity_axis_x": 0.25, "market_breakdown_axis_y": 0.25, "external_supply_axis_z": 0.16, "risk_off_score": 0.20, "peak_fragility": 0.10, "analog_macro_risk": 0.08,
+COMPOSITE = {"liquidity_axis_x": 0.25, "market_breakdown_axis_y": 0.25, "external_supply_axis_z": 0.16, "risk_off_score": 0.20, "peak_fragility": 0.10, "analog_history_risk": 0.08,
              "correction_pressure": 0.06, "rai_appetite_stress": 0.07, "universe_breadth_stress": 0.08}
 VECTOR = [*COMPONENTS, "safe_rotation_stress", *MODEL_SCORES]
 
@@ -109,9 +109,9 @@ def complacency(momentum, near_high, above_ma, vol, stress) -> Column:
 
 # Composite model scores.
 SCORES = {
-    "crash_sentinel_score": {"risk_off_score": 0.22, "macro_liquidity_axis_x": 0.20, "volatility_stress": 0.18, "liquidity_credit_stress": 0.16, "fx_external_stress": 0.14, "RAI_shock_score": 0.10},
-    "peak_correction_score": {"peak_fragility": 0.26, "correction_pressure": 0.26, "analog_macro_risk": 0.18, "RAI_overheat_score": 0.12, "universe_breadth_stress": 0.10, "market_breakdown_axis_y": 0.08},
-    "risk_off_avoidance_score": {"crash_sentinel_score": 0.22, "peak_correction_score": 0.28, "composite_vector_risk": 0.18, "correction_pressure": 0.17, "analog_macro_risk": 0.10, "safe_rotation_stress": 0.05}}
+    "crash_sentinel_score": {"risk_off_score": 0.22, "liquidity_axis_x": 0.20, "volatility_stress": 0.18, "liquidity_credit_stress": 0.16, "fx_external_stress": 0.14, "RAI_shock_score": 0.10},
+    "peak_correction_score": {"peak_fragility": 0.26, "correction_pressure": 0.26, "analog_history_risk": 0.18, "RAI_overheat_score": 0.12, "universe_breadth_stress": 0.10, "market_breakdown_axis_y": 0.08},
+    "risk_off_avoidance_score": {"crash_sentinel_score": 0.22, "peak_correction_score": 0.28, "composite_vector_risk": 0.18, "correction_pressure": 0.17, "analog_history_risk": 0.10, "safe_rotation_stress": 0.05}}
 
 
 def composite_scores(df: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ STRESS_BOOST = {
     "US IG bonds": (4.0, {"volatility": 10.0, "equity": 10.0, "credit": -12.0}),
     "Korea defensive": (2.0, {"equity": 8.0, "volatility": 8.0})}
 STATE_BOOST = {"Cash": 8.0, "De-risk": 5.0, "Watch": 2.0}
-# Macro weights per safe group.
-MACRO_WEIGHTS = {
+# Economy weights per safe group.
+ECONOMY_WEIGHTS = {
     "FX cash": {"fx_external_stress": 0.45, "volatility_stress": 0.25, "liquidity_credit_stress": 0.20, "RAI_shock_score": 0.10},
     "Cash/short bonds": {"risk_off_avoidance_score": 0.40, "volatility_stress": 0.20, "liquidity_credit_stress": 0.20, "ETF_breadth_shock_score": 0.20},
     "Gold": {"hedge_demand": 0.35, "RAI_overheat_score": 0.15, "volatility_stress": 0.20, "fx_external_stress": 0.15, "external_supply_axis_z": 0.15},
@@ -46,10 +46,10 @@ def stress_score(base, group, component, state, risk_score) -> Column:
     return F.when(g.isin(list(STRESS_BOOST)), clip100(b + boost + by_state + level)).otherwise(b)
 
 
-def macro_score(df: DataFrame, group: str, out: str = "macro_score") -> DataFrame:
+def economy_score(df: DataFrame, group: str, out: str = "economy_score") -> DataFrame:
     """Per (date, symbol) z of the group's weighted risk columns (risk columns joined beforehand)."""
     raw = F.lit(0.0)
-    for name, ws in MACRO_WEIGHTS.items():
+    for name, ws in ECONOMY_WEIGHTS.items():
         have = {c: w for c, w in ws.items() if c in df.columns}
         if have:
             v = total([clip(F.coalesce(F.col(c), F.lit(0.0)), 0, 100) / 100 * w for c, w in have.items()]) / max(sum(abs(w) for w in have.values()), 1e-9)
@@ -57,15 +57,15 @@ def macro_score(df: DataFrame, group: str, out: str = "macro_score") -> DataFram
     return df.withColumn("__raw", raw).withColumn(out, S.z("__raw", S.by_date())).drop("__raw")
 
 
-def selector_score(tech, macro) -> Column:
-    return 0.58 * col(tech) + 0.42 * col(macro)
+def selector_score(tech, economy) -> Column:
+    return 0.58 * col(tech) + 0.42 * col(economy)
 
 
-# Categories of the macro overlay.
+# Categories of the economy overlay.
 INTERMEDIATE = ["Intermediate Treasury", "Aggregate Bond", "IG Credit", "MBS", "TIPS"]
 
 
-def macro_overlay(df: DataFrame, category: str = "category") -> Column:
+def economy_overlay(df: DataFrame, category: str = "category") -> Column:
     """Category-conditional overlay from rate, volatility, currency, credit and gold moves."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
     rate, vix, dvix, dxy, krw, hy, gold, ndx = (z(c) for c in ("rate_chg", "vix_level", "vix_chg", "dxy_ret", "usdkrw_ret", "hy_chg", "gold_ret", "equity_ret"))
@@ -78,7 +78,7 @@ def macro_overlay(df: DataFrame, category: str = "category") -> Column:
             .when(c.isin("Yen", "Swiss Franc"), -2.0 * dxy + 0.25 * stress + clip(-ndx, 0) + 0.25 * a2).otherwise(0.0))
 
 
-def macro_panel(wide: DataFrame, levels: dict[str, str], diffs: dict[str, str], returns: dict[str, str]) -> DataFrame:
+def economy_panel(wide: DataFrame, levels: dict[str, str], diffs: dict[str, str], returns: dict[str, str]) -> DataFrame:
     """Levels, 5/20-row differences and padded 20-row returns of a date-level wide table."""
     p = wide.withColumns({f"__{c}": R.padded(c, R.day()) for c in returns.values()})
     return p.select("date", *[F.col(c).alias(f"{k}_level") for k, c in levels.items()],

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +64,11 @@ def staged(df: DataFrame) -> DataFrame:
 
     Cheaper than a checkpoint where several branches read few columns; survives lost executors.
     The folder goes when the process ends."""
-    import uuid
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not STAGED:
+        atexit.register(drop_staged)
     STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,8 +77,8 @@ STAGED: list[tuple[SparkSession, str]] = []
 
 
 def drop_staged() -> None:
-    """Delete all folders of ``staged``; those of a stopped session are skipped."""
+    """Delete all folders of ``staged``; those of a stopped session are left to its cluster."""
     while STAGED:
         spark, path = STAGED.pop()
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        if spark.sparkContext._jsc is not None:
             drop_folder(spark, path)
