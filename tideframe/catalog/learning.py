@@ -45,7 +45,8 @@ def _(t):
 @query("ml03_walk_forward_by_date")
 def _(t):
     d = up(t).withColumn("row", F.date_format("date", "yyyyMM").cast("int"))
-    p = LE.walk_forward(d, ["score", "prob"], "y", lambda y: LE.logistic(y), [(199806, 199807, 199901), (199812, 199901, 199907), (199906, 199907, 200001)], ["date", "symbol"])
+    span = d.agg(F.min("row"), F.max("row")).first()
+    p = LE.walk_forward(d, ["score", "prob"], "y", lambda y: LE.logistic(y), LE.month_folds(*span), ["date", "symbol"])
     return M.calibration(p, ["fold"], "prob", "y")
 
 
@@ -171,10 +172,18 @@ def _(t):
     return embedded(t).select("date", "symbol", *[F.col("embedding")[i].alias(f"e{i}") for i in range(4)])
 
 
-@query("ml19_minority_oversampling", fin("y:i n:i", f"SELECT y, max(count(*)) OVER () AS n FROM (SELECT (ret_1w>0.5)::INT AS y FROM {WEEKLY} WHERE ret_1w IS NOT NULL) GROUP BY y"))
+@query("ml19_minority_oversampling", fin("y:i n:i inside:i fresh:i", f"SELECT y, max(count(*)) OVER () AS n, true AS inside, true AS fresh FROM (SELECT (ret_1w>0.5)::INT AS y FROM {WEEKLY} WHERE ret_1w IS NOT NULL) GROUP BY y"))
 def _(t):
+    """Besides the counts: synthetic points lie within the bounds of their class, and few repeat."""
     d = up(t).withColumns({"y": (F.col("ret_1w") > 0.5).cast("int"), "v": F.array("score", "prob")})
-    return LE.oversample(d, "y", "v", ["date", "symbol"]).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    o = LE.oversample(d, "y", "v", ["date", "symbol"])
+    of = lambda f, s, k: f(F.when(F.col("synthetic") == s, F.col("v")[k]))
+    inside = F.lit(True)
+    for k in (0, 1):
+        inside = inside & F.coalesce((of(F.min, 1, k) >= of(F.min, 0, k)) & (of(F.max, 1, k) <= of(F.max, 0, k)), F.lit(True))
+    made = F.count_if(F.col("synthetic") == 1)
+    fresh = F.count_distinct(F.when(F.col("synthetic") == 1, F.col("v"))) * 2 >= made
+    return o.groupBy("y").agg(F.count(F.lit(1)).alias("n"), inside.alias("inside"), fresh.alias("fresh"))
 
 
 def fits(t):

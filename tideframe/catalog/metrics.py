@@ -119,12 +119,18 @@ def _(t):
     return s.select(F.col("threshold").alias("thr"), F.col("event_recall").alias("er"), F.col("caught").alias("ca"), "cost", F.round(T.loss_objective(0.78, 0.9), 10).alias("obj"))
 
 
-@query("ev10_three_stage_policy", fin("watch derisk", loss_sql(GRID_L) + f" SELECT {_best(0.78, 0.9)} AS watch, greatest({_best(0.5, 0.82)}, {_best(0.78, 0.9)}+0.02) AS derisk"))
+_CASH = "round(2.2*pr+2.0*ca+er-1.5*fr-2.0*cost-5.0*greatest(ar-0.28,0)-1.2*mi,10)"
+_STAGES = f"""SELECT watch, derisk, least(0.95, greatest(c, derisk+0.08)) AS cash FROM
+ ({loss_sql(GRID_L)} SELECT {_best(0.78, 0.9)} AS watch, greatest({_best(0.5, 0.82)}, {_best(0.78, 0.9)}+0.02) AS derisk),
+ ({loss_sql(GRID_C)} SELECT coalesce((SELECT thr FROM m ORDER BY {_CASH} DESC NULLS LAST, thr LIMIT 1), 0.5) AS c)"""
+
+
+@query("ev10_three_stage_policy", fin("watch derisk cash", _STAGES))
 def _(t):
     d = loss_rows(t)
     s = T.loss_sweep(d, "score", "label_event_loss_1m", "severity_1m", "f", GRID_L)
     c = T.loss_sweep(d, "score", "label_event_loss_1m", "severity_1m", "f", GRID_C)
-    return T.stage_policy(s, c, "1m").select("watch", "derisk")
+    return T.stage_policy(s, c, "1m")
 
 
 @query("ev11_expanding_thresholds", fin("date threshold", f"""WITH u AS MATERIALIZED (SELECT date, prob, y FROM {UP}), d AS (SELECT DISTINCT date FROM u), g AS (SELECT unnest({_G8}) AS thr),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -94,16 +96,28 @@ def walk_forward(df: DataFrame, features: list[str], label: str, make, folds: li
     rows with order < train_to and applied to [test_from, test_to).
 
     The assembled table is written once to the checkpoint folder; each fit is a distributed MLlib
-    job that reads it with the fold's range pushed into the filter.
+    job that reads it with the fold's range pushed into the filter.  A few folds are fitted at a
+    time, so that the small jobs of one fill the gaps of another.
     """
     base = checkpointed(assembled(df, features).select(*keep, label, order, "features"))
-    out = None
-    for i, (train_to, test_from, test_to) in enumerate(folds):
+    def fitted(fold: tuple) -> DataFrame:
+        i, (train_to, test_from, test_to) = fold
         train = class_weights(base.filter((F.col(order) < F.lit(train_to)) & F.col(label).isNotNull()), label)
         test = base.filter((F.col(order) >= F.lit(test_from)) & (F.col(order) < F.lit(test_to)))
-        part = up_probability(make(label).fit(train).transform(test)).select(*keep, label, F.lit(i).alias("fold"), "prob")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return up_probability(make(label).fit(train).transform(test)).select(*keep, label, F.lit(i).alias("fold"), "prob")
+
+    if not folds:
+        return base.limit(0).select(*keep, label, F.lit(0).alias("fold"), F.lit(0.0).alias("prob"))
+    with ThreadPoolExecutor(4) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fitted, enumerate(folds)))
+
+
+def month_folds(first: int, last: int, train_months: int = 24, purge: int = 1) -> list[tuple[int, int, int]]:
+    """Folds that test every month (yyyyMM) from ``first`` to ``last`` after the first ``train_months``
+    and the purged ones: (train_to, test_from, test_to)."""
+    month = lambda k: k // 12 * 100 + k % 12 + 1
+    a, z = (m // 100 * 12 + m % 100 - 1 for m in (first, last))
+    return [(month(k - purge), month(k), month(k + 1)) for k in range(a + train_months + purge, z + 1)]
 
 
 def step_folds(n: int, min_train: int, step: int, purge: int, embargo: int) -> list[tuple[int, int, int]]:
