@@ -91,12 +91,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, W
     """Rows (id, text, ghost) dealt to ranges of descending id, and the window in which lead() is the next
     row; after the last row comes the first.
 
-    Ranges come from approximate percentiles of the ids, one per shuffle partition.  The first row
+    Ranges come from approximate percentiles of the ids, four per shuffle partition.  The first row
     of a range follows the last row of the range before it, so it is put there once more as a ghost.
-    Only the bounds of the ranges, one number per partition, come to the driver."""
+    Only the bounds of the ranges, four numbers per partition, come to the driver."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that hashing ranges to tasks evens out
     bounds = sorted(set(rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))
     range_ = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("id"))), F.lit(0)) if bounds else F.lit(0)
     ranged = rows.select("id", "text", F.when(F.col("id").isNull(), 0).otherwise(range_).alias("range"))
