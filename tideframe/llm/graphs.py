@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tideframe.session import drop_folder, staged
+from tideframe.session import STAGED, drop_folder, staged
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     its smaller neighbours do.  Nodes come out of plain aggregates, so a hub with a third of all
     links is summed before the shuffle, and its join is one AQE can split.  A round is written to the
     shared folder; the number of rounds grows with the logarithm of the longest chain."""
-    spark = links.sparkSession
-
     def star(edges: DataFrame, large: bool) -> DataFrame:
         """edges: u > v, distinct."""
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
@@ -50,7 +48,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = staged(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
     while True:
+        last = STAGED[-1]
         edges = staged(star(star(edges, True), False))
+        STAGED.remove(last)
+        drop_folder(*last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
