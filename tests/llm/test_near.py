@@ -72,12 +72,25 @@ def test_near_texts(spark, docs):
     assert Counter(tuple(r) for r in simhash.near_duplicates(frame).collect()) == want
     assert len({c for _, _, c in want}) < len(rows) - 20
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
-    firsts = {c for _, _, c in plain_near([(r.doc_id, r.text) for r in docs.collect()])}
-    assert sorted((r[0] for r in kept), key=lambda d: (d is not None, d or 0)) == sorted(firsts, key=lambda d: (d is not None, d or 0))
+    kept = simhash.keep_one(docs).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    prints = {plain_fingerprint(t) for _, t in rows}
+    roots = groups(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3])
+    assert sorted(roots[plain_fingerprint(r.text)] for r in kept) == sorted(set(roots.values()))
+    for r in kept:
+        ids = [d for d, t in rows if roots[plain_fingerprint(t)] == roots[plain_fingerprint(r.text)] and d is not None]
+        assert r.doc_id == min(ids, default=None)
     assert all(len(r) == len(docs.columns) for r in kept)
 
 
+def test_rows_without_or_with_the_same_id_are_decided_alone(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, texts[0], "x"), (None, texts[0], "x"), (None, texts[1], "y"), (None, texts[1], "x"), (5, texts[2], "x"), (3, texts[2], "x"), (5, texts[3], "x"), (5, texts[3], "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    kept = Counter(tuple(r) for r in simhash.keep_one(frame).collect())
+    assert kept == Counter([rows[0], rows[3], rows[5], rows[6]])
+
+
 def test_near_links_of_crowded_values(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT", 8)
     rnd = np.random.default_rng(2)

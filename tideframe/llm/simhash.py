@@ -150,24 +150,38 @@ def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
     return rows.repartition("value").sortWithinPartitions("value", "ball").mapInArrow(linker(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id."""
-    bounded_batches(docs.sparkSession)
-    rows = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("print")))
+def grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """rows: id, print and more.  The same rows with root (a fingerprint that names the group) and
+    component_id (smallest id of the group)."""
     smallest = rows.groupBy("print").agg(F.min("id").alias("least"))
     roots = components(near_links(smallest.select("print"), bits))
     of = smallest.join(roots, smallest["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "least")
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    places = of.join(groups, "root").select("print", "component_id")
-    return rows.join(places, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of.join(groups, "root").select("print", "root", "component_id"), "print")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id."""
+    bounded_batches(docs.sparkSession)
+    rows = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("print")))
+    return grouped(rows, bits).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays
-    (of rows with that same id one; of a group without ids one)."""
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays,
+    of several rows with that id (or of a group without ids) the one whose text has the smallest hash.
+    A row is known by its id and the hash of its text, so rows that share an id, or have none, are
+    decided each in their own group."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, bits)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
-    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
-    first = Window.partitionBy(id_col).orderBy(*names)
-    return rest.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").select(*names)
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = staged(docs.select(F.col(id_col).alias("id"), mark.alias("mark"), simhash(F.col(text_col)).alias("print")))
+    found = staged(grouped(rows, bits).select("id", "mark", "root").distinct())
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("stays"))
+    same = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("mark") == F.col("stays.mark"))
+    gone = found.join(stays, "root").where(~same).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"))
+    rest = row.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    # rows with the same id and text: one of them
+    first = Window.partitionBy("id", "mark").orderBy("row")
+    return rest.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
