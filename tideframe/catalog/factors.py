@@ -107,7 +107,10 @@ reg("tf15_base_breakout", last(("base_breakout_score", f"CASE WHEN max(rn)>=80 T
 
 # Company-like facts per brand, from the part and lineitem tables.
 INFO = """(SELECT p_brand AS symbol, sum(CAST(round(p_retailprice*100) AS BIGINT))::DOUBLE/100 AS market_cap, count(*)*600.0 AS total_assets, sum(p_size)::DOUBLE*9 AS debt_to_equity_raw,
- (sum(p_size)::DOUBLE/count(*)-25)/20 AS revenue_growth, CASE WHEN count(*)%3<>0 THEN (count(*)::DOUBLE%7-3)/5 END AS earnings_growth, CASE WHEN count(*)%4<>0 THEN (count(*)::DOUBLE%11-4)*1000 END AS free_cashflow, count(*)%5*100.0 AS total_cash FROM part GROUP BY 1)"""
+ (sum(p_size)::DOUBLE/count(*)-25)/20 AS revenue_growth, CASE WHEN count(*)%3<>0 THEN (count(*)::DOUBLE%7-3)/5 END AS earnings_growth, CASE WHEN count(*)%4<>0 THEN (count(*)::DOUBLE%11-4)*1000 END AS free_cashflow, count(*)%5*100.0 AS total_cash,
+ CASE WHEN count(*)%5<>0 THEN sum(p_size)%10/20.0::DOUBLE END AS gross_margins, (sum(p_size)%7-2)/20.0::DOUBLE AS operating_margins, CASE WHEN sum(p_size)%3<>0 THEN (count(*)%7-3)/20.0::DOUBLE END AS profit_margins,
+ CASE WHEN count(*)%6<>0 THEN (count(*)%9-4)/20.0::DOUBLE END AS return_on_equity, (count(*)%5-2)/40.0::DOUBLE AS return_on_assets, (sum(p_size)%300)::DOUBLE AS debt_to_equity, CASE WHEN sum(p_size)%4<>0 THEN (count(*)%4*5000)::DOUBLE END AS research_development,
+ CASE WHEN count(*)%2=0 THEN (count(*)%3*100)::DOUBLE END AS total_debt, CASE WHEN count(*)%3<>0 THEN sum(CAST(round(p_retailprice*100) AS BIGINT))::DOUBLE/100/count(*) END AS target_price, CASE WHEN sum(p_size)%5<>0 THEN (count(*)%5-1)/2.0::DOUBLE END AS beta FROM part GROUP BY 1)"""
 
 
 def info(t):
@@ -115,7 +118,11 @@ def info(t):
     return t.part.groupBy(F.col("p_brand").alias("symbol")).agg(
         (F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).cast("double") / 100).alias("market_cap"), (n * 600.0).alias("total_assets"), (size * 9).alias("debt_to_equity_raw"),
         ((size / n - 25) / 20).alias("revenue_growth"), F.when(n % 3 != 0, (n.cast("double") % 7 - 3) / 5).alias("earnings_growth"),
-        F.when(n % 4 != 0, (n.cast("double") % 11 - 4) * 1000).alias("free_cashflow"), (n % 5 * 100.0).alias("total_cash"))
+        F.when(n % 4 != 0, (n.cast("double") % 11 - 4) * 1000).alias("free_cashflow"), (n % 5 * 100.0).alias("total_cash"),
+        F.when(n % 5 != 0, size % 10 / 20).alias("gross_margins"), ((size % 7 - 2) / 20).alias("operating_margins"), F.when(size % 3 != 0, (n % 7 - 3) / 20).alias("profit_margins"),
+        F.when(n % 6 != 0, (n % 9 - 4) / 20).alias("return_on_equity"), ((n % 5 - 2) / 40).alias("return_on_assets"), (size % 300).alias("debt_to_equity"),
+        F.when(size % 4 != 0, (n % 4 * 5000).cast("double")).alias("research_development"), F.when(n % 2 == 0, (n % 3 * 100).cast("double")).alias("total_debt"),
+        F.when(n % 3 != 0, F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).cast("double") / 100 / n).alias("target_price"), F.when(size % 5 != 0, (n % 5 - 1) / 2).alias("beta"))
 
 
 @query("tf16_growth_and_balance", fin("symbol growth balance", f"""SELECT i.symbol, ({_B('a>0')}+{_B('b>0')}+{_B('c>0')}+{_B('revenue_growth>0')}+{_B('earnings_growth>0')})/5.0*11 AS growth,
@@ -156,10 +163,23 @@ def _(t):
     return d.select("symbol", *counts("items"), "survival")
 
 
-@query("tf20_stage_gates_and_verdict")
+_STAGES = {
+    "data": ["p IS NOT NULL", "market_cap IS NOT NULL"], "moat": [_B("gross_margins>0.35"), _B("operating_margins>0.15")],
+    "cash_flow": [_B("free_cashflow>0"), _B("gross_margins>0"), "research_development IS NOT NULL"], "time": [_B("r6>0"), _B("revenue_growth>0")],
+    "finance": [_B(c) for c in ("return_on_equity>0", "return_on_assets>0", "debt_to_equity<150", "profit_margins>0", "return_on_equity>0", "research_development>0 AND market_cap/research_development<=15", "revenue_growth>0",
+                                "(total_cash-coalesce(total_debt,0))/market_cap*100>=10", "p>=hi*0.85", "earnings_growth>0")],
+    "momentum": [_B("p>=hi*0.85"), "p>target_price", "r6/coalesce(nullif(abs(beta),0),1) BETWEEN 0 AND 50"]}
+_STAGE_SCORE = lambda items: f"round(({'+'.join(f'coalesce(({i})::INT,0)' for i in items)})*100.0/nullif({'+'.join(f'(({i}) IS NOT NULL)::INT' for i in items)},0)::DOUBLE,2)"
+_GATES = f"""SELECT symbol, floor(({'+'.join(f"coalesce({k},0)" for k in _STAGES)})/({'+'.join(f"({k} IS NOT NULL)::INT" for k in _STAGES)})*100+0.5+1e-7)/100 AS gate_score,
+ concat_ws(', ', {', '.join(f"CASE WHEN {k}<60 THEN '{k}' END" for k in _STAGES)}) AS failed FROM (SELECT symbol, {', '.join(f'{_STAGE_SCORE(v)} AS {k}' for k, v in _STAGES.items())} FROM
+ (SELECT f.symbol, p, hi, r6, i.* EXCLUDE symbol FROM ({last(("p", back("close")), ("hi", "max(close) FILTER (rn<=252)"), ("r6", _ret(126)))}) f LEFT JOIN {INFO} i ON i.symbol=f.symbol))"""
+
+
+@query("tf20_stage_gates_and_verdict", fin("symbol gate_score failed:s verdict:s", f"SELECT *, CASE WHEN failed<>'' THEN 'reject: '||array_to_string(string_split(failed,', ')[1:2],', ') WHEN gate_score>=60 THEN 'pass' ELSE 'conditional hold: research open' END AS verdict FROM ({_GATES})"))
 def _(t):
     from tideframe.plans import screening as SC
-    return SC.stage_verdicts(SC.factor_table(t.bars, info(t))).select("symbol", "gate_score", "failed", "verdict")
+    d = FA.factors(t.bars, ["close", "high_52w", "return_6m"]).join(info(t), "symbol", "left")
+    return SC.stage_verdicts(d).select("symbol", "gate_score", "failed", "verdict")
 
 
 FLOW = """(SELECT CAST(o_orderdate AS DATE) AS date, n_name AS symbol, c_mktsegment AS investor, sum(CASE WHEN o_orderpriority<'3' THEN CAST(round(o_totalprice*100) AS BIGINT) ELSE 0 END)::DOUBLE/100 AS buy,

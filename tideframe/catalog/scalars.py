@@ -232,10 +232,36 @@ def _(t):
 _YA = "coalesce(lag({c},4) OVER w, lag({c},1) OVER w)"
 
 
-@query("fn27_derived_fundamentals", fin("symbol period:t per_order growth", f"SELECT symbol, period, revenue/nullif(orders_n,0) AS per_order, (revenue-{_YA.format(c='revenue')})/nullif(abs({_YA.format(c='revenue')}),0)*100 AS growth FROM {STM} WINDOW w AS (PARTITION BY symbol ORDER BY period)"))
+# Accounts of a statement: cents of the orders that count for them less cents of those that count against them,
+# unknown in quarters whose number of orders is divisible by the last figure.
+_ACCOUNTS = {
+    "net_income": ("o_orderpriority<'2'", "o_orderpriority>='5'", 0), "gross_profit": ("o_orderpriority<'4'", "false", 9), "operating_income": ("o_orderpriority<'3'", "o_orderpriority>='5'", 0),
+    "equity": ("o_orderstatus='F'", "o_orderstatus='P'", 0), "assets": ("o_orderpriority>='2'", "false", 0), "liabilities": ("o_orderstatus<>'F'", "false", 11),
+    "cash": ("o_orderpriority>='3'", "o_orderpriority>='4'", 7), "operating_cashflow": ("o_orderpriority<'3'", "o_orderpriority>='4'", 5), "capex": ("false", "o_orderpriority>='5'", 3),
+    "market_cap": ("o_orderstatus<>'P'", "false", 0)}
+_FIGURES = ["return_on_equity", "return_on_assets", "debt_to_equity", "profit_margins", "operating_margins", "gross_margins", "free_cashflow", "revenue_growth", "earnings_growth", "net_cash_to_market_cap"]
+
+
+def _account(plus, minus, unknown):
+    cents = "CAST(round(o_totalprice*100) AS BIGINT)"
+    value = f"CAST(sum(CASE WHEN {plus} THEN {cents} ELSE 0 END - CASE WHEN {minus} THEN {cents} ELSE 0 END) AS DOUBLE)/100"
+    return f"CASE WHEN count(*)%{unknown}<>0 THEN {value} END" if unknown else value
+
+
+ACCOUNTS = f"""(SELECT n_name AS symbol, last_day(date_trunc('quarter',CAST(o_orderdate AS DATE))+INTERVAL 2 MONTH) AS period, {_account("true", "false", 0)} AS revenue, {", ".join(f"{_account(*v)} AS {k}" for k, v in _ACCOUNTS.items())}
+ FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1, 2)"""
+
+
+@query("fn27_derived_fundamentals", fin("symbol period:t " + " ".join(_FIGURES), f"""SELECT symbol, period, net_income/nullif(equity,0) AS return_on_equity, net_income/nullif(assets,0) AS return_on_assets, liabilities/nullif(equity,0)*100 AS debt_to_equity,
+ net_income/nullif(revenue,0) AS profit_margins, operating_income/nullif(revenue,0) AS operating_margins, gross_profit/nullif(revenue,0) AS gross_margins, operating_cashflow-abs(coalesce(capex,0)) AS free_cashflow,
+ revenue/nullif({_YA.format(c='revenue')},0)-1 AS revenue_growth, net_income/nullif({_YA.format(c='net_income')},0)-1 AS earnings_growth, (coalesce(cash,0)-coalesce(liabilities,0))/nullif(market_cap,0)*100 AS net_cash_to_market_cap
+ FROM {ACCOUNTS} WINDOW w AS (PARTITION BY symbol ORDER BY period)"""))
 def _(t):
-    s = ST.with_year_ago(statements(t), ["revenue"], order="period")
-    return s.select("symbol", "period", C.ratio("revenue", "orders_n").alias("per_order"), ST.growth_pct("revenue", "revenue_prior").alias("growth"))
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    g = j.groupBy("c_nationkey", F.last_day(F.add_months(F.trunc("o_orderdate", "quarter"), 2)).alias("period")).agg(
+        F.expr(_account("true", "false", 0)).alias("revenue"), *[F.expr(_account(*v)).alias(k) for k, v in _ACCOUNTS.items()])
+    s = g.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "symbol")
+    return ST.derived_fundamentals(ST.with_year_ago(s, ["revenue", "net_income"], order="period")).select("symbol", "period", *_FIGURES)
 
 
 @query("fn28_year_ago_pairing", fin("symbol period:t revenue revenue_prior", f"SELECT symbol, period, revenue, {_YA.format(c='revenue')} AS revenue_prior FROM {STM} WINDOW w AS (PARTITION BY symbol ORDER BY period)"))

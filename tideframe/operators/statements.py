@@ -54,3 +54,20 @@ def prior_report(df: DataFrame, keys=("symbol",), year: str = "fiscal", kind: st
     out = df.join(prev, [*keys, year, kind], "left").join(annual, [*keys, year], "left")
     return out.withColumns({f"{v}_prior": F.coalesce(f"__s_{v}", f"__a_{v}") for v in values}).drop(
         *[f"__{k}_{v}" for v in values for k in "sa"])
+
+
+def derived_fundamentals(df: DataFrame) -> DataFrame:
+    """Profitability, margins, leverage, free cash flow, growth and net cash of statements that carry
+    revenue, net_income, gross_profit, operating_income, equity, assets, liabilities, cash,
+    operating_cashflow, capex, market_cap, revenue_prior and net_income_prior.
+
+    A figure whose parts are unknown or whose divisor is zero is null; unknown capex counts as none in
+    free cash flow, unknown cash and liabilities as none in net cash.  Growth here keeps the sign of
+    its base, unlike ``growth_pct``."""
+    zero = F.lit(0.0)
+    return df.withColumns({
+        "return_on_equity": ratio("net_income", "equity"), "return_on_assets": ratio("net_income", "assets"), "debt_to_equity": ratio("liabilities", "equity") * 100,
+        "profit_margins": ratio("net_income", "revenue"), "operating_margins": ratio("operating_income", "revenue"), "gross_margins": ratio("gross_profit", "revenue"),
+        "free_cashflow": F.col("operating_cashflow") - F.abs(F.coalesce("capex", zero)),
+        "revenue_growth": ratio("revenue", "revenue_prior") - 1, "earnings_growth": ratio("net_income", "net_income_prior") - 1,
+        "net_cash_to_market_cap": ratio(F.coalesce("cash", zero) - F.coalesce("liabilities", zero), "market_cap") * 100})

@@ -117,17 +117,28 @@ def survival_reasons(rules: list[tuple[Column, str]]) -> Column:
     return F.when(text == "", "pass").otherwise(text)
 
 
-def stage_verdicts(d: DataFrame, weights: dict[str, float] | None = None, minimum: float = 60.0) -> DataFrame:
-    """Stage scores from tri-state items, weighted gate score, failed stages and verdict."""
+def stage_verdicts(d: DataFrame, weights: dict[str, float] | None = None, minimum: float = 60.0, high_share: float = 0.85, max_risk_adjusted: float = 50.0, max_research_ratio: float = 15.0, min_net_cash: float = 10.0) -> DataFrame:
+    """Scores of eight stages from tri-state items, weighted gate score, failed stages and verdict.
+
+    An item on an unknown figure is not met, except the price target and the risk-adjusted return,
+    which are unknown with their figures; items that no table answers are always unknown."""
     known = lambda c: F.coalesce(c, F.lit(False))
+    above = lambda c, x=0.0: known(F.col(c) > x)
     unknown = F.lit(None).cast("boolean")
+    research = ratio("research_development", "market_cap") * 100
+    net_cash = ratio(F.col("total_cash") - F.coalesce("total_debt", F.lit(0.0)), "market_cap") * 100
+    risk_adjusted = ratio("return_6m", F.coalesce(F.when(F.col("beta") != 0, F.abs("beta")), F.lit(1.0)))
+    near_high = known(F.col("close") >= F.col("high_52w") * high_share)
     stages = {
-        "data": [F.lit(True), F.col("market_cap").isNotNull(), unknown], "survival": [unknown, unknown, unknown],
-        "moat": [known(F.col("revenue_growth") > 0.35), known(F.col("earnings_growth") > 0.15), unknown],
-        "cash_flow": [known(F.col("free_cashflow") > 0), known(F.col("cash_to_assets") > 0)],
-        "time": [known(F.col("return_6m") > 0), known(F.col("revenue_growth") > 0), unknown],
-        "finance": [known(F.col("fcf_to_assets") > 0), known(F.col("net_cash_to_market_cap") >= 10), known(F.col("earnings_growth") > 0)],
-        "momentum": [known(F.col("close") >= F.col("high_52w") * 0.85), F.when(F.col("return_6m").isNotNull(), F.col("return_6m").between(0, 50))],
+        "data": [F.col("close").isNotNull(), F.col("market_cap").isNotNull(), unknown], "survival": [unknown, unknown, unknown],
+        "moat": [above("gross_margins", 0.35), above("operating_margins", 0.15), unknown],
+        "cash_flow": [above("free_cashflow"), above("gross_margins"), research.isNotNull()],
+        "management": [unknown, unknown, unknown],
+        "time": [above("return_6m"), above("revenue_growth"), unknown],
+        "finance": [above("return_on_equity"), above("return_on_assets"), known(F.col("debt_to_equity") < 150), above("profit_margins"),
+                    above("return_on_equity"), known((research > 0) & (100 / research <= max_research_ratio)), unknown, above("revenue_growth"), unknown,
+                    known(net_cash >= min_net_cash), near_high, above("earnings_growth")],
+        "momentum": [near_high, F.col("close") > F.col("target_price"), risk_adjusted.between(0, max_risk_adjusted)],
     }
     w = weights or {}
     scores = {k: G.item_score(F.array(*[F.struct(i.alias("passed")) for i in items])) for k, items in stages.items()}
@@ -135,10 +146,10 @@ def stage_verdicts(d: DataFrame, weights: dict[str, float] | None = None, minimu
     num = total([F.coalesce(F.col(f"stage_{k}"), F.lit(0.0)) * w.get(k, 1.0) for k in stages])
     den = total([F.when(F.col(f"stage_{k}").isNotNull(), w.get(k, 1.0)).otherwise(0.0) for k in stages])
     failed = F.concat_ws(", ", *[F.when(F.col(f"stage_{k}") < 60, k) for k in stages])
-    research = total([F.col(f"stage_{k}").isNull().cast("int") for k in stages]) > 0
+    unanswered = total([F.col(f"stage_{k}").isNull().cast("int") for k in stages]) > 0
     out = out.withColumns({"gate_score": F.round(ratio(num, den), 2), "failed": failed})
     verdict = (F.when(F.col("gate_score").isNull(), "hold: too few numbers").when((F.col("gate_score") >= minimum) & (F.col("failed") == ""), "pass")
-               .when(F.col("failed") != "", F.concat(F.lit("reject: "), F.array_join(F.slice(F.split("failed", ", "), 1, 2), ", "))).when(research, "conditional hold: research open").otherwise("hold"))
+               .when(F.col("failed") != "", F.concat(F.lit("reject: "), F.array_join(F.slice(F.split("failed", ", "), 1, 2), ", "))).when(unanswered, "conditional hold: research open").otherwise("hold"))
     return out.withColumn("verdict", verdict)
 
 
