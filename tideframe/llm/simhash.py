@@ -177,9 +177,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = staged(docs.select(F.col(id_col).alias("id"), mark.alias("mark"), simhash(F.col(text_col)).alias("print")))
     found = staged(grouped(rows, bits).select("id", "mark", "root").distinct())
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("stays"))
-    same = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("mark") == F.col("stays.mark"))
-    gone = found.join(stays, "root").where(~same).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    # a pair of id and mark lies in one group, so the rows that stay are taken off without joining by group
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first")).select(F.col("first.id").alias("own_id"), F.col("first.mark").alias("own_mark"))
+    gone = found.join(stays, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left_anti").select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"))
     rest = row.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
     # rows with the same id and text: one of them
