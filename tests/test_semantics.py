@@ -284,6 +284,14 @@ def test_bubble_fit_finds_the_critical_time():
     assert best["lppl_rmse"] < 0.02 and abs(best["lppl_tc"] - tc) < 25 and best["lppl_b"] < 0
 
 
+def test_every_step_and_the_last_row_have_a_window_and_its_fits(spark):
+    d = spark.range(70).select(F.lit("A").alias("symbol"), F.expr("date_add(DATE '2020-01-01', cast(id as int))").alias("date"), (100 + F.col("id") + 3 * F.sin("id")).alias("close"))
+    w = B.price_windows(d, 30, 21)
+    assert [str(r.asof) for r in w.orderBy("asof").collect()] == ["2020-02-11", "2020-03-03", "2020-03-10"]
+    fits = B.bubble_fits(w, fits=20, population=40, generations=700).groupBy("asof").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fit").alias("k")).collect()
+    assert [(r.n, r.k) for r in fits] == [(20, 20)] * 3
+
+
 def test_lag_test_p_values():
     assert B.f_tail(4.0, 2, 20) == pytest.approx(0.0346, abs=5e-4)
     rng = np.random.default_rng(0)

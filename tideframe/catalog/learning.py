@@ -9,6 +9,7 @@ from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip
 from tideframe.operators import bubble as B, labels as LB, learn as LE, metrics as M, panel as P, pooled as PO, thresholds as TH, topk as T, xsec as S
 from tideframe.plans.fixtures import BRAND, RISK, WEEKLY
+from tideframe.session import staged
 
 FEATS = [r[0] for r in ROLES.values()]
 A, Z = "1998-06-01", "2000-01-01"
@@ -187,7 +188,7 @@ def _(t):
 
 
 def fits(t):
-    return B.bubble_fits(B.price_windows(t.brand, 120, 400), fits=4, population=24, generations=4)
+    return B.bubble_fits(B.price_windows(t.brand, 504, 21))
 
 
 @query("ml20_bubble_fits")
@@ -197,8 +198,8 @@ def _(t):
 
 @query("ml21_fit_reliability_and_ensemble")
 def _(t):
-    y = t.brand.select("symbol", F.col("date").alias("asof"), F.col("close").alias("c0"), R.forward_min_any("close", 60, R.by_entity()).alias("lo"))
-    f = fits(t).join(y, ["symbol", "asof"]).withColumn("y", F.when(F.col("lo").isNotNull(), (F.col("lo") < -0.9).cast("int"))).drop("c0", "lo")
+    y = t.brand.select("symbol", F.col("date").alias("asof"), LB.crash_after_peak("close", F.dayofmonth("date"), R.by_entity()).cast("int").alias("y"))
+    f = staged(fits(t).join(y, ["symbol", "asof"]))
     return B.ensemble(B.learned_reliability(f, "y"))
 
 

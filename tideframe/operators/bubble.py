@@ -20,38 +20,48 @@ FIT_SCHEMA = "symbol string, asof date, fit int, lppl_a double, lppl_b double, l
 
 def _least_squares(y: np.ndarray, tc: np.ndarray, beta: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linear coefficients and error of every candidate at once (batched normal equations)."""
-    tau = np.maximum(tc[:, None] - np.arange(len(y))[None, :], 1e-6)
-    f, ang = tau ** beta[:, None], omega[:, None] * np.log(tau)
-    x = np.stack([np.ones_like(f), f, f * np.cos(ang), f * np.sin(ang)], axis=2)
-    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-12)
-    xs = x / scale
-    gram = np.einsum("pni,pnj->pij", xs, xs) + 1e-10 * len(y) * np.eye(4)
-    coef = np.linalg.solve(gram, np.einsum("pni,n->pi", xs, y)[:, :, None])[:, :, 0]
-    err = np.sqrt(((y - np.einsum("pni,pi->pn", xs, coef)) ** 2).mean(axis=1))
-    coef = coef / scale[:, 0, :]
+    log_tau = np.log(np.maximum(tc[:, None] - np.arange(len(y))[None, :], 1e-6))
+    f, ang = np.exp(beta[:, None] * log_tau), omega[:, None] * log_tau
+    x = np.stack([np.ones_like(f), f, f * np.cos(ang), f * np.sin(ang)], axis=1)
+    scale = np.maximum(np.abs(x).max(axis=2), 1e-12)
+    xs = x / scale[:, :, None]
+    gram = xs @ xs.transpose(0, 2, 1) + 1e-10 * len(y) * np.eye(4)
+    coef = np.linalg.solve(gram, (xs @ y)[:, :, None])[:, :, 0]
+    err = np.sqrt(((y - (coef[:, None, :] @ xs)[:, 0, :]) ** 2).mean(axis=1))
+    coef = coef / scale
     # A bubble accelerates upwards: a non-negative power coefficient is penalised.
     return coef, err + np.where(coef[:, 1] >= 0, np.abs(coef[:, 1]) + 0.05, 0.0)
 
 
-def fit_window(prices: np.ndarray, fits: int, population: int, generations: int, seed: int) -> list[dict]:
-    """The best distinct fits of one window: a population around elites with shrinking spread."""
+def fit_window(prices: np.ndarray, fits: int, population: int, generations: int, seed: int, patience: int = 8) -> list[dict]:
+    """The best distinct fits of one window: a population around elites with shrinking spread.  It
+    ends when ``patience`` generations in a row have not improved the best error by a ten-thousandth,
+    and after ``generations`` at the latest."""
     y, n = np.log(prices), len(prices)
     lo, hi = np.array([n + 1.0, 0.1, 6.0]), np.array([n * 1.8, 1.0, 13.0])
     rng = np.random.default_rng(seed)
     pop = rng.uniform(lo, hi, (population, 3))
-    pool = []
+    rows = np.zeros((0, 8))
+    best, idle = math.inf, 0
     for g in range(generations + 1):
         coef, err = _least_squares(y, *pop.T)
-        pool.append(np.column_stack([err, pop, coef]))
+        new = np.column_stack([err, pop, coef])
+        rows = np.vstack([rows, new[np.isfinite(new).all(axis=1)]])
+        if not len(rows):
+            break
+        idle = 0 if rows[:, 0].min() < best * (1 - 1e-4) else idle + 1
+        best = min(best, rows[:, 0].min())
+        # distinct fits only, and no more than are wanted: the archive does not grow with the generations
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        _, first = np.unique(np.round(rows[:, :4], 3), axis=0, return_index=True)
+        rows = rows[np.sort(first)[:max(fits, population)]]
+        if idle >= patience:
+            break
         keep = pop[np.argsort(err)[:max(4, population // 5)]]
-        spread = (hi - lo) * 0.15 * 0.6 ** g
+        spread = (hi - lo) * 0.15 * max(0.8 ** g, 1e-3)
         pop = np.clip(keep[rng.integers(0, len(keep), population)] + rng.normal(0, 1, (population, 3)) * spread, lo, hi)
-    rows = np.vstack(pool)
-    rows = rows[np.isfinite(rows).all(axis=1)]
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    _, first = np.unique(np.round(rows[:, :4], 3), axis=0, return_index=True)
     out = []
-    for i, (err, tc, beta, omega, a, b, bc, bs) in enumerate(rows[np.sort(first)[:fits]]):
+    for i, (err, tc, beta, omega, a, b, bc, bs) in enumerate(rows[:fits]):
         c = math.hypot(bc, bs) / b if abs(b) > 1e-8 else 0.0
         out.append({"fit": i, "lppl_a": a, "lppl_b": b, "lppl_c": float(np.clip(c, -1, 1)), "lppl_tc": tc, "lppl_phi": math.atan2(-bs, bc) % (2 * math.pi), "lppl_omega": omega,
                     "lppl_beta": beta, "lppl_rmse": err, "lppl_dtc": float(np.clip((n - 1) / tc, 0, 1))})
@@ -66,7 +76,7 @@ def price_windows(prices: DataFrame, n: int, step: int) -> DataFrame:
     return d.filter((F.size("closes") == n) & ((F.col("__p") % step == 0) | F.col("__last"))).select("symbol", F.col("date").alias("asof"), "closes")
 
 
-def bubble_fits(windows: DataFrame, fits: int = 5, population: int = 40, generations: int = 6) -> DataFrame:
+def bubble_fits(windows: DataFrame, fits: int = 500, population: int = 200, generations: int = 700) -> DataFrame:
     """Best fits of every window; the seed is the hash of the key, so a lost task refits the same."""
     def run(batches):
         for pdf in batches:
@@ -75,7 +85,10 @@ def bubble_fits(windows: DataFrame, fits: int = 5, population: int = 40, generat
                 rows += [{"symbol": s, "asof": d, **f} for f in fit_window(np.asarray(closes, float), fits, population, generations, int(seed))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
     keyed = windows.withColumn("seed", F.pmod(F.xxhash64("symbol", "asof"), F.lit(2**31)))
-    return keyed.repartition("symbol", "asof").mapInPandas(run, FIT_SCHEMA)
+    # a window is few bytes and much work: a stated number of tasks, which adaptive execution doesn't merge
+    spark = windows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return keyed.repartition(tasks, "symbol", "asof").mapInPandas(run, FIT_SCHEMA)
 
 
 def reliability(rmse, c, beta, omega) -> Column:
@@ -96,31 +109,42 @@ def ensemble(fits: DataFrame) -> DataFrame:
     return g.withColumn("label", ladder([(x > 0.6, "crash-alert"), (x >= 0.3, "caution")], "stable"))
 
 
-def learned_reliability(fits: DataFrame, label: str, min_rows: int = 40, min_positives: int = 3) -> DataFrame:
-    """Reliability from the best of forest, logistic and perceptron models on labelled fits (by
-    recall, then precision, on a held-out hash quarter).  With fewer than ``min_rows`` labelled fits or
+def learned_reliability(fits: DataFrame, label: str, min_rows: int = 40, min_positives: int = 3, train_rows: int = 5_000, trees: int = 400, depth: int = 8, hidden: tuple[int, ...] = (64, 32), rounds: int = 700) -> DataFrame:
+    """Reliability of every fit from the best of forest, logistic and perceptron models on labelled
+    fits (by recall, then precision, then AUC on a held-out hash quarter); the training rows are
+    balanced with synthetic ones.  Models are trained and compared on about ``train_rows`` labelled
+    fits, drawn by a hash of their keys.  With fewer than ``min_rows`` labelled fits or
     ``min_positives`` positive ones no model can be learnt and the closed form is used; the column
     ``lppl_model`` says which it was."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     from tideframe.operators import learn as LE, metrics as M
     from tideframe.session import checkpointed
     cols = ["lppl_a", "lppl_b", "lppl_c", "lppl_tc", "lppl_phi", "lppl_omega", "lppl_beta"]
-    d = checkpointed(LE.assembled(fits.filter(F.col(label).isNotNull()), cols).withColumn("__h", F.pmod(F.xxhash64("symbol", "asof", "fit"), F.lit(4))))
-    n = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p")).first()
+    closed = fits.withColumns({"lppl_reliability": reliability("lppl_rmse", "lppl_c", "lppl_beta", "lppl_omega"), "lppl_model": F.lit("closed form")})
+    labelled = fits.filter(F.col(label).isNotNull())
+    n = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p")).first()
     if n["n"] < min_rows or (n["p"] or 0) < min_positives or n["p"] == n["n"]:
-        return fits.withColumns({"lppl_reliability": reliability("lppl_rmse", "lppl_c", "lppl_beta", "lppl_omega"), "lppl_model": F.lit("closed form")})
-    train, test = LE.class_weights(d.filter("__h < 3"), label), d.filter("__h = 3")
+        return closed
+    drawn = labelled.filter(F.pmod(F.xxhash64("symbol", "asof", "fit", F.lit("draw")), F.lit(1_000_000)) < min(1_000_000, math.ceil(1e6 * train_rows / n["n"])))
+    d = checkpointed(LE.assembled(drawn, cols).withColumn("__h", F.pmod(F.xxhash64("symbol", "asof", "fit"), F.lit(4))))
+    if d.filter("__h < 3").select(label).distinct().count() < 2:
+        return closed
+    plain = d.filter("__h < 3").select(label, vector_to_array("features").alias("__v"), "symbol", "asof", "fit")
+    made = LE.oversample(plain, label, "__v", ["symbol", "asof", "fit"]).withColumn("features", array_to_vector("__v"))
+    train, test = checkpointed(LE.class_weights(made, label)), d.filter("__h = 3")
     mlp = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
-                           MultilayerPerceptronClassifier(featuresCol="__scaled", labelCol=label, layers=[len(cols), 16, 8, 2], maxIter=60, seed=42, probabilityCol="__prob", rawPredictionCol="__raw_prob", predictionCol="__pred_prob")])
+                           MultilayerPerceptronClassifier(featuresCol="__scaled", labelCol=label, layers=[len(cols), *hidden, 2], maxIter=rounds, seed=42, probabilityCol="__prob", rawPredictionCol="__raw_prob", predictionCol="__pred_prob")])
     fitted, scores = {}, {}
-    for name, est in {"forest": LE.forest(label), "logistic": LE.logistic(label), "perceptron": mlp}.items():
+    for name, est in {"forest": LE.forest(label, trees=trees, depth=depth), "logistic": LE.logistic(label), "perceptron": mlp}.items():
         fitted[name] = est.fit(train)
         p = LE.up_probability(fitted[name].transform(test)).withColumn("__y", F.col("prob") >= 0.5)
         r = M.rates(p.agg(*M.confusion("__y", label))).first()
-        scores[name] = (r["recall"] or 0.0, r["precision"] or 0.0, name)
-    name = max(scores.values())[2]
+        scores[name] = (r["recall"] or 0.0, r["precision"] or 0.0, BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol=label).evaluate(p), name)
+    name = max(scores.values())[3]
     best = fitted[name]
     return LE.up_probability(best.transform(LE.assembled(fits, cols)), "prob").withColumnRenamed("prob", "lppl_reliability").drop("features").withColumn("lppl_model", F.lit(name))
 

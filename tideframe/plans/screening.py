@@ -30,7 +30,8 @@ def factor_table(bars: DataFrame, info: DataFrame) -> DataFrame:
         "und_gro_score": growth_score(),
         "und_bal_score": balance_score({c: F.col(c) > 0 for c in ("revenue_growth", "earnings_growth", "free_cashflow")}),
         "fcf_to_assets": ratio("free_cashflow", "total_assets"), "cash_to_assets": ratio("total_cash", "total_assets"),
-        "net_cash_to_market_cap": ratio("total_cash", "market_cap") * 100})
+        "rd_to_market_cap": ratio("research_development", "market_cap") * 100, "innovative_roe": F.col("return_on_equity") * 100,
+        "net_cash_to_market_cap": ratio(F.col("total_cash") - F.coalesce("total_debt", F.lit(0.0)), "market_cap") * 100})
 
 
 # Profile of a demonstration screen: factor -> weight, and the factors for which low is good.
