@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tideframe.llm import mixing, order_minhash, queries, sharding
 
 
@@ -73,6 +74,21 @@ def test_op2_equals_sql(spark, sf):
     assert Counter(got) == Counter(want) and got
 
 
+def test_sources_without_a_number_are_books(spark, tmp_path):
+    """Sources that don't end in an int must not end the mix (ANSI casts), and get the domain of the SQL."""
+    sources = ["", "wiki", "src123456789012", "src7\n", "src٣", "src0", "src09", "src12", "7", None]
+    rows = [(k, f"some words here {k}", "en", sources[k % len(sources)]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op2_mixing"]).fetchall()
+    got = [tuple(r) for r in queries.op2_mixing(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want) and {r[3] for r in got} >= {"", "wiki", "src123456789012"}
+    stage = dict(corpus_pipeline.STAGES)["mixture"](spark, frame, str(tmp_path))
+    assert Counter(r.doc_id for r in stage.collect()) == Counter(r[0] for r in want)
+
+
 def signed(h):
     return h - (1 << 64) if h >> 63 else h
 

@@ -58,8 +58,8 @@ MIX_EPOCHS = 2
 
 
 def domain():
-    """Sources numbered below 10 are the web, the others books."""
-    return F.when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10, "web").when(F.col("source").isNotNull(), "books")
+    """Sources numbered below 10 are the web, the others (without a number or with one beyond int, too) books."""
+    return F.when(F.regexp_extract("source", r"([0-9]+)\z", 1).try_cast("int") < 10, "web").when(F.col("source").isNotNull(), "books")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
