@@ -162,6 +162,48 @@ def test_classifier(spark, docs):
     assert weak_labels.judged(docs.limit(0))[0].count() == 0
 
 
+def votes(texts):
+    patterns = weak_labels.Read(texts, weak_labels.Facts()).patterns
+    return {name: (patterns // 3**k % 3).tolist() for k, name in enumerate(weak_labels.LABELLERS)}
+
+
+def joined(lang, words, quality=1):
+    """Labelled texts of one language end to end until they have ``words`` words."""
+    rows = duckdb.sql(f"select text from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) where quality = {quality} and lang = '{lang}' order by doc_id").fetchall()
+    out, n = [], 0
+    for (text,) in rows:
+        if n < words:
+            out.append(text)
+            n += len(text.split())
+    assert n >= words
+    return "\n".join(out)
+
+
+def test_variety_does_not_fall_with_length():
+    for lang in ("en", "de", "fr", "es"):
+        texts = [joined(lang, n) for n in (1_000, 20_000, 50_000, 100_000)]
+        assert votes(texts)["variety"] == [0, 0, 0, 0], lang
+        read = weak_labels.Read(texts, weak_labels.Facts())
+        feature = read.value[read.feature == 1]
+        assert feature.max() < 0.35  # the tables hold copies of texts
+    base = joined("en", 1_000).split()
+    assert votes([" ".join(base[:50] * 400), " ".join(base[:1_000] * 20)])["variety"] == [1, 1]  # copies closer and further apart than a run
+
+
+def test_rules_per_character_vote_on_short_texts(spark):
+    junk = ["È$$$ onai*** des&&& outionoi&&& la.&&& Aiè.***", "ndtion. | Erndnd | thndonea. |", "Schlich | erzuen | erzuach | heitbe |"]
+    clean = ["Thblent ersh th. Anreti eawhou ly edth and.", "The for, of it. Ha, edble.", "Le rein. An ed, for."]
+    seen = votes(junk + clean + ["This.", "!!!", " " * 40, ""])
+    assert seen["symbols"] == [1] * 3 + [0] * 3 + [2] * 4
+    assert {v for name in weak_labels.LABELLERS[2:] for v in seen[name]} == {2}
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long = [joined(lang, n) for lang, n in (("en", 20_000), ("de", 50_000), ("fr", 100_000))]
+    odd = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(junk + clean + long)], "doc_id long, text string")
+    scored, score = weak_labels.judged(frame.union(odd))
+    kept = {-1 - r.doc_id: r.kept for r in scored.select("doc_id", (score < weak_labels.JUNK_FROM).alias("kept")).where("doc_id < 0").collect()}
+    assert [kept[k] for k in range(9)] == [False] * 3 + [True] * 6
+
+
 def test_estimation_from_incomplete_labellers():
     """Labellers that miss a tenth of the junk, abstain on a fifth, and rarely call good texts junk."""
     rnd = np.random.default_rng(1)

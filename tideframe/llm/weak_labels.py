@@ -6,12 +6,13 @@ maximisation estimates the share of junk and each labeller's vote probabilities
 (votes independent given the class).  The posterior of a vote pattern is the training label.
 
 Scorer: a logistic model on hashed features of the text (roots of the shares of word shapes and of
-words equal to the word before, share of words seen before).  It is fitted on a sample of at most ``train_rows``
+words equal to the word before, share of words seen before in a run of words).  It is fitted on a sample of at most ``train_rows``
 documents (by a hash of the id and text, so it does not depend on the order or partitions), the
 only bounded sample here; counts, votes and scores cover all documents.
 
 Defined results: null text is empty; a text without words is judged by the model's bias alone;
-on texts of under 20 words all rules abstain; an empty table gives an empty one.
+on texts of under 20 words only the rules per character vote, from 20 characters on and without
+the stops and commas at the ends of words; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,8 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tideframe.llm.words import Memo, bounded_batches, kept
 
 LABELLERS = ("symbols", "capitals", "variety", "repeats", "marks", "sentences", "word_length")
+PER_CHARACTER = ("symbols", "capitals")
 SIZE = 1024
+#: Words from which the rules per word vote; characters for the rules per character.
 FEW = 20
+#: Words of a run in which distinct words are counted, and of a passage whose repetition lowers the variety.
+RUN, PASSAGE = 200, 5
+#: Variety from which a text is good.
+VARIED = 0.55
 #: Documents added to every count of the estimation; small, since it pulls rare kinds towards good.
 FLOOR = 1e-4
 #: Score from which a text counts as junk; above one half, so that doubtful texts stay.
@@ -51,6 +58,26 @@ def vote(value: np.ndarray, good: tuple[float, float], junk: tuple[float, float]
     return np.where((good[0] <= value) & (value <= good[1]), 0, np.where((value < junk[0]) | (value > junk[1]), 1, 2))
 
 
+def variety(words: list[str], distinct: dict[str, int]) -> float:
+    """Share of distinct words within runs of ``RUN`` words, over all runs, times the share of distinct passages.
+
+    The share of distinct words of a whole text falls with its length, these don't.  Passages are looked
+    at where the words of the whole text repeat enough to hide copies further apart than a run."""
+    n = len(words)
+    if n <= RUN:
+        return len(distinct) / max(n, 1)
+    share = sum(len(set(words[k : k + RUN])) for k in range(0, n, RUN)) / n
+    if len(distinct) < VARIED * n:
+        number = dict(zip(distinct, range(1, len(distinct) + 1)))
+        ids = np.fromiter(map(number.__getitem__, words), dtype=np.uint64, count=n)
+        passages = np.zeros(n - PASSAGE + 1, dtype=np.uint64)
+        for k in range(PASSAGE):
+            passages = (passages ^ ids[k : n - PASSAGE + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            passages ^= passages >> np.uint64(29)
+        share *= len(np.unique(passages)) / len(passages)
+    return share
+
+
 class Facts:
     """Numbers of the distinct facts of words, and their table; one per Python worker."""
 
@@ -77,23 +104,25 @@ class Read:
         text = np.repeat(np.arange(len(texts)), distinct)
         found = facts.table()[number] if len(number) else np.zeros((0, 5), dtype=np.int64)
         symbols, capitals, ends, marks = (np.bincount(text, weights=found[:, k] * count, minlength=len(texts)) for k in range(1, 5))
-        variety, enough = distinct / some, n >= FEW
+        varied, enough = np.array([variety(w, c) for w, c in zip(split, counters)]), n >= FEW
+        readable = (n > 0) & (chars >= FEW)
         votes = np.stack([
-            vote(symbols / chars, (0, 0.045), (0, 0.075)),
+            vote((symbols - np.where(enough, 0, ends)) / chars, (0, 0.045), (0, 0.075)),
             vote(capitals / chars, (0, 0.06), (0, 0.2)),
-            vote(variety, (0.55, 1), (0.4, 1)),
+            vote(varied, (VARIED, 1), (0.4, 1)),
             vote(same / some, (0, 0.02), (0, 0.1)),
             vote(marks / some, (0, 0.03), (0, 0.15)),
             vote(ends / some, (0.06, 0.25), (0.03, 0.4)),
             vote(chars / some, (5, 7), (4.2, 8)),
         ], axis=1)
-        self.patterns = np.where(enough[:, None], votes, 2) @ 3 ** np.arange(len(LABELLERS))
+        votes_at = np.where(np.isin(LABELLERS, PER_CHARACTER), (enough | readable)[:, None], enough[:, None])
+        self.patterns = np.where(votes_at, votes, 2) @ 3 ** np.arange(len(LABELLERS))
         cell, at = np.unique(text * SIZE + found[:, 0], return_inverse=True)
         shares = np.sqrt(np.bincount(at, weights=count, minlength=len(cell)) / some[cell // SIZE])
         every = np.arange(len(texts))
         self.text = np.concatenate([every, every, every, cell // SIZE])
         self.feature = np.concatenate([np.repeat([0, 1, 2], len(texts)), cell % SIZE])
-        self.value = np.concatenate([np.ones(len(texts)), np.where(enough, 1 - variety, 0), np.sqrt(same / some), shares])
+        self.value = np.concatenate([np.ones(len(texts)), np.where(enough, 1 - varied, 0), np.sqrt(same / some), shares])
 
 
 def reader(shared):
