@@ -66,6 +66,32 @@ def test_token_counts(spark, docs, small):
     assert docs.limit(0).select(count("text")).count() == 0
 
 
+def spaced(word, starts, inner):
+    """``greedy``, but a word without a fitting start piece is a space and continuation pieces."""
+    if not word or any(word[:e] in starts for e in range(1, len(word) + 1)):
+        return greedy(word, starts, inner)
+    rest = greedy(b" " + word, {b" "}, inner)
+    return rest if any(word[:e] in inner for e in range(1, len(word) + 1)) else 1
+
+
+def test_words_without_a_start_piece_go_on_after_the_space(spark):
+    rnd = random.Random(4)
+    for _ in range(300):
+        starts = {bytes(rnd.choices(b"ab", k=rnd.randint(1, 4))) for _ in range(4)} | {b""}
+        inner = {bytes(rnd.choices(b"abc", k=rnd.randint(1, 5))) for _ in range(8)}
+        a = pieces.Automaton(starts, inner)
+        for _ in range(40):
+            w = bytes(rnd.choices(b"abcd", k=rnd.randint(0, 12)))
+            assert a.count(w) == spaced(w, starts, inner), (w, starts, inner)
+    ranks = bpe.read_ranks(RANKS)
+    texts = ["中文文本没有空格", "中文文本没有空格" * 500, "한국어", "россия", "работа россия", "ok 한국어 fine", "\x1c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("got", pieces.token_counter(spark, RANKS)("text")).collect()
+    for r in rows:
+        assert r.got == sum(spaced(w, *pieces.split_vocabulary(ranks)) for w in r.text.encode().split())
+    got = {r.text: r.got for r in rows}
+    assert got[texts[1]] > 500 and min(got[t] for t in texts[:5]) > 1
+
+
 def test_merge_replay_equals_library(tik):
     texts = [*odd_texts(), "aaaaaaaaaaaaaaaa", "", "x" * 3_000, "thththththth hahahaha"]
     got = [np.frombuffer(p, "<i4").tolist() for p in bpe.Encoder(bpe.read_ranks(RANKS), P.PATTERN).encode(texts)]

@@ -6,8 +6,9 @@ before a shorter path can go on (``popped``) and the node of the continuation tr
 goes on (``fail``).  Counting follows one edge per byte and adds ``popped`` numbers on failures: no
 piece is ever built and no byte is looked at again from an earlier start.
 
-Words are runs of bytes other than space and \\x09-\\x0D.  A word that the vocabulary can't cover
-counts as one token (the unknown token).  Null text: null; empty text: 0.  Words are counted once
+Words are runs of bytes other than space and \\x09-\\x0D.  Where no start piece fits, the space before
+the word is a piece of its own (if the vocabulary has it) and the word goes on in continuation pieces.
+A word that the vocabulary can't cover even so counts as one token (the unknown token).  Null text: null; empty text: 0.  Words are counted once
 per block of texts and worker; a text is never cut.
 """
 
@@ -24,12 +25,13 @@ from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
 
 def split_vocabulary(tokens) -> tuple[set[bytes], set[bytes]]:
-    """Start pieces (tokens with a leading space, which is cut off) and continuation pieces (tokens without)."""
-    return {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1}, {t for t in tokens if t[:1] != b" "}
+    """Start pieces (tokens with a leading space, which is cut off; empty for the space alone) and continuation pieces (tokens without)."""
+    return {t[1:] for t in tokens if t[:1] == b" "}, {t for t in tokens if t[:1] != b" "}
 
 
 class Automaton:
-    """Trie nodes are numbers: 0 is the start of a word, 1 the start of a continuation."""
+    """Trie nodes are numbers: 0 is the start of a word, 1 the start of a continuation.  An empty start
+    piece (the space alone) makes 1 the failure of 0."""
 
     def __init__(self, starts: set[bytes], inner: set[bytes]):
         self.edges: list[dict[int, int]] = [{}, {}]
@@ -47,6 +49,8 @@ class Automaton:
         n = len(self.edges)
         self.fail: list[int] = [-1] * n
         self.popped: list[int] = [0] * n
+        if b"" in starts:
+            self.fail[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
