@@ -56,7 +56,7 @@ def _(t):
     d = risk_panel(t).withColumn("row", F.date_format("date", "yyyy-MM-dd"))
     span = d.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
     folds = LE.year_folds(list(range(span[0], span[1] + 1)), 1, 30, 3)
-    p = LE.walk_forward(d, RF, "deep", lambda y: LE.forest(y, trees=10), [(f["train_to"], f["valid_from"], f["test_to"]) for f in folds], ["date", "score"])
+    p = LE.walk_forward(d, RF, "deep", lambda y: LE.forest(y), [(f["train_to"], f["valid_from"], f["test_to"]) for f in folds], ["date", "score"])
     years = {i: f for i, f in enumerate(folds)}
     test_from = F.create_map(*[F.lit(x) for i, f in years.items() for x in (i, f["test_from"])])[F.col("fold")]
     p = p.withColumn("part", F.when(F.col("date") >= test_from.cast("date"), "test").otherwise("valid"))
@@ -215,7 +215,7 @@ def _(t):
     d = scored(t).withColumnRenamed("prob", "base")
     fs = ["score", "base"]
     tr = LE.class_weights(LE.assembled(d.filter("split = 'train'"), fs), "y")
-    rf, lg = LE.forest("y", trees=10).fit(tr), LE.logistic("y").fit(tr)
+    rf, lg = LE.forest("y").fit(tr), LE.logistic("y").fit(tr)
     perm = LE.permutation_importance(rf, d.filter("split = 'valid'"), fs, "y", ["date", "symbol"])
     gains = t.spark.createDataFrame([(f, float(rf.featureImportances[i]), abs(float(lg.stages[-1].coefficients[i]))) for i, f in enumerate(fs)], "feature string, gain double, coefficient double")
     return gains.join(perm, "feature")

@@ -64,7 +64,7 @@ def logistic(label: str, features: str = "features", reg: float = 0.01, mix: flo
     return Pipeline(stages=[scale, LogisticRegression(featuresCol="__scaled", labelCol=label, regParam=reg, elasticNetParam=mix, maxIter=50, probabilityCol=f"__{prob}", rawPredictionCol=f"__raw_{prob}", predictionCol=f"__pred_{prob}", **kw)])
 
 
-def forest(label: str, features: str = "features", trees: int = 30, depth: int = 5, weight: str | None = "weight", seed: int = 42, prob: str = "prob") -> RandomForestClassifier:
+def forest(label: str, features: str = "features", trees: int = 60, depth: int = 5, weight: str | None = "weight", seed: int = 42, prob: str = "prob") -> RandomForestClassifier:
     kw = {"weightCol": weight} if weight else {}
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol=f"__{prob}", rawPredictionCol=f"__raw_{prob}", predictionCol=f"__pred_{prob}", **kw)
 
@@ -201,7 +201,7 @@ def ridge_and_forest(train: DataFrame, test: DataFrame, features: list[str], tar
     tr = assembled(train.filter(F.col(target).isNotNull()), features)
     d = assembled(test, features)
     d = LinearRegression(featuresCol="features", labelCol=target, regParam=0.1, elasticNetParam=0.0, predictionCol="__a").fit(tr).transform(d)
-    d = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=20, maxDepth=4, seed=42, predictionCol="__b").fit(tr).transform(d)
+    d = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=60, maxDepth=4, seed=42, predictionCol="__b").fit(tr).transform(d)
     return d.withColumn(out, (F.col("__a") + F.col("__b")) / 2).drop("__a", "__b", "features")
 
 
