@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideframe.llm import alignment, bpe, chat, collisions, mixing, order_minhash, pieces, sharding, simhash, tokenfile, weak_labels
+from tideframe.llm import alignment, bpe, chat, collisions, mixing, order_minhash, phrases, pieces, sharding, simhash, tokenfile, weak_labels
 from tideframe.session import STAGED, checkpoint_root
 
 
@@ -95,12 +95,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).drop("ids")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json")) as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
         return alignment.align(table(spark, sf_dir, "documents"), a.read(), b.read())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op8_quality, op9_byte_bpe, op10_token_files, op13_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op8_quality, op9_byte_bpe, op10_token_files, op11_collocations, op13_tokenizer_alignment)}
 
 
 def mix_oracle() -> str:
@@ -131,4 +135,23 @@ def mix_oracle() -> str:
     SELECT doc_id, mix_domain, lang, source, mix_tokens, unnest(range(CAST(times AS BIGINT))) AS mix_epoch FROM placed"""
 
 
-ORACLES: dict[str, str] = {"op2_mixing": mix_oracle()}
+def collocation_oracle(longest: int = 5, least: int = 100, first: int = 2000) -> str:
+    """Phrases counted word by word, each cut scored in 128-bit integers."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    grams = " UNION ALL ".join(f"SELECT lang, {n} AS words, array_to_string(w[i:i + {n - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM pieces)" for n in range(1, longest + 1))
+    spans = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i:i + {n - 1}], ' ') AS phrase, a FROM (SELECT lang, w, a, unnest(range(1, len(w) - {n} + 2)) AS i FROM candidates WHERE len(w) > {n})" for n in range(2, longest))
+    return f"""WITH cut AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    counts AS (SELECT lang, words, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
+    candidates AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates)),
+    scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+        FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail JOIN totals t ON t.lang = c.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, phrase, max(a) AS longer FROM ({spans}) GROUP BY ALL),
+    ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {first}"""
+
+
+ORACLES: dict[str, str] = {"op2_mixing": mix_oracle(), "op11_collocations": collocation_oracle()}
