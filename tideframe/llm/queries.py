@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideframe.llm import alignment, bpe, chat, collisions, mixing, order_minhash, phrases, pieces, sharding, simhash, tokenfile, weak_labels
+from tideframe.llm import alignment, bpe, chat, collisions, interpolation, mixing, order_minhash, phrases, pieces, sharding, simhash, tokenfile, weak_labels
 from tideframe.session import STAGED, checkpoint_root
 
 
@@ -99,12 +99,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json")) as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
         return alignment.align(table(spark, sf_dir, "documents"), a.read(), b.read())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op8_quality, op9_byte_bpe, op10_token_files, op11_collocations, op13_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_order_minhash, op4_near_vectors, op5_chat_format, op6_simhash, op7_sharding, op8_quality, op9_byte_bpe, op10_token_files, op11_collocations, op12_lm_scores, op13_tokenizer_alignment)}
 
 
 def mix_oracle() -> str:
