@@ -1,13 +1,16 @@
-"""2.15 Learning steps (MLlib); rows-only except where SQL expresses the step."""
+"""2.15 Learning steps; rows-only except where SQL expresses the step."""
+
+import datetime
 
 from pyspark.sql import Window, functions as F
 
 from tideframe.catalog import fin, query
 from tideframe.catalog.composites import ROLES, WIDE, riskon, wide
 from tideframe.catalog.metrics import UP, labelled, up
+from tideframe.catalog.xsec import pctsql
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip
-from tideframe.operators import bubble as B, labels as LB, learn as LE, metrics as M, panel as P, pooled as PO, thresholds as TH, topk as T, xsec as S
+from tideframe.operators import bubble as B, folds_fit as FL, isotone as IS, labels as LB, learn as LE, metrics as M, panel as P, pooled as PO, thresholds as TH, topk as T, trees as TR, xsec as S
 from tideframe.plans.fixtures import BRAND, RISK, WEEKLY
 from tideframe.session import staged
 
@@ -37,26 +40,42 @@ def _(t):
 @query("ml02_walk_forward_by_step")
 def _(t):
     d = risk_panel(t)
-    n = d.agg(F.max("row")).first()[0] + 1
-    folds = LE.step_folds(n, n // 2, max(1, n // 6), 20, 5)
-    p = LE.walk_forward(d, RF, "deep", lambda y: LE.logistic(y), folds, ["date"])
+    n = (d.agg(F.max("row")).first()[0] or 0) + 1
+    p = LE.walk_forward(d, RF, "deep", LE.step_folds(n, 504, 126, 20, 5), ["date"], models=("logistic", "extra"))
     return PO.roc_auc(p, ["fold"], "prob", "deep")
 
 
 @query("ml03_walk_forward_by_date")
 def _(t):
-    d = up(t).withColumn("row", F.date_format("date", "yyyyMM").cast("int"))
-    span = d.agg(F.min("row"), F.max("row")).first()
-    p = LE.walk_forward(d, ["score", "prob"], "y", lambda y: LE.logistic(y), LE.month_folds(*span), ["date", "symbol"])
+    d, folds = by_month(t)
+    p = LE.walk_forward(d, ["score", "base"], "y", folds, ["date", "symbol"])
     return M.calibration(p, ["fold"], "prob", "y")
 
 
+def by_month(t):
+    d = up(t).withColumn("row", F.date_format("date", "yyyyMM").cast("int")).withColumnRenamed("prob", "base")
+    return d, LE.month_folds(*d.agg(F.min("row"), F.max("row")).first())
+
+
+@query("ml03_fold_fits", fin("fold:i train_rows:i solved:i", f"""WITH r AS (SELECT year(date)*12+month(date)-1 AS m, y FROM {UP}), f AS (SELECT unnest(range(min(m)+25, max(m)+1)) AS k, min(m)+25 AS first FROM r)
+ SELECT k-first AS fold, count(y) AS train_rows, CASE WHEN min(y)<max(y) THEN true END AS solved FROM f LEFT JOIN r ON r.m<k-1 GROUP BY k, first"""))
+def _(t):
+    """Rows of every fold, and whether its score equations hold."""
+    d, folds = by_month(t)
+    fs = ["score", "base"]
+    model = FL.fit_folds(FL.row_blocks(d, fs, F.col("y"), F.col("row")), fs, [float(f[0]) for f in folds])
+    rows = [(i, int(n), None if g != g else bool(g < 1e-6)) for i, (n, g) in enumerate(zip(model.rows, model.gradient))]
+    return t.spark.createDataFrame(rows, "fold int, train_rows long, solved boolean")
+
+
 @query("ml04_yearly_walk_forward")
 def _(t):
-    d = risk_panel(t).withColumn("row", F.date_format("date", "yyyy-MM-dd"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    d = risk_panel(t).withColumn("row", day(F.col("date")))
     span = d.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
     folds = LE.year_folds(list(range(span[0], span[1] + 1)), 1, 30, 3)
-    p = LE.walk_forward(d, RF, "deep", lambda y: LE.forest(y), [(f["train_to"], f["valid_from"], f["test_to"]) for f in folds], ["date", "score"])
+    number = lambda text: (datetime.date.fromisoformat(text) - datetime.date(1970, 1, 1)).days
+    p = LE.walk_forward(d, RF, "deep", [(number(f["train_to"]), number(f["valid_from"]), number(f["test_to"])) for f in folds], ["date", "score"], models=("extra",), count=60, min_rows=16)
     years = {i: f for i, f in enumerate(folds)}
     test_from = F.create_map(*[F.lit(x) for i, f in years.items() for x in (i, f["test_from"])])[F.col("fold")]
     p = p.withColumn("part", F.when(F.col("date") >= test_from.cast("date"), "test").otherwise("valid"))
@@ -88,11 +107,71 @@ def _(t):
     return LE.ridge_and_forest(d.filter("split = 'train'"), d.filter("split = 'test'"), ["score", "prob"], "ret_1w").select("date", "symbol", "predicted", "ret_1w")
 
 
+_SPLIT_ROWS = f"(SELECT floor(score/4) AS a, CASE WHEN prob>=0.3 THEN round(prob,1) END AS b, y FROM {UP} WHERE date<=DATE '{A}')"
+_SPLITS = " UNION ALL ".join(f"SELECT '{f}' AS feature, {'1' if m else '0'} AS missing_left, v AS cut, count(*) FILTER ({c}) AS nl, coalesce(sum(p-y) FILTER ({c}),0) AS gl, count(*) AS n, sum(p-y) AS g, any_value(p*(1-p)) AS h FROM r, (SELECT DISTINCT {f} AS v FROM r WHERE {f} IS NOT NULL) GROUP BY v" for f in ("a", "b") for m in (False, True) for c in [f"{f}<=v" + (f" OR {f} IS NULL" if m else " AND TRUE")])
+
+
+@query("ml06_first_split", fin("rows:i gain", f"""WITH r AS (SELECT *, avg(y) OVER () AS p FROM {_SPLIT_ROWS}), s AS ({_SPLITS})
+ SELECT n AS rows, round(max(gl*gl/(nl*h+0.8)+(g-gl)*(g-gl)/((n-nl)*h+0.8)-g*g/(n*h+0.8)),3) AS gain FROM s WHERE nl>=45 AND n-nl>=45 GROUP BY n"""))
+def _(t):
+    """The first split of a boosted tree has the highest gain of all cuts, missing values on either side."""
+    d = up(t).filter(F.col("date") <= F.lit(A).cast("date")).select(F.floor(F.col("score") / 4).alias("a"), F.when(F.col("prob") >= 0.3, F.round("prob", 1)).alias("b"), "y")
+    m = LE.histogram_boosted(d, ["a", "b"], "y", rounds=1, leaves=2, min_rows=45, l2=0.8)
+    return d.agg(F.count(F.lit(1)).alias("rows")).withColumn("gain", F.round(F.lit(m.trees[0].gain[0] if m.trees else None).cast("double"), 3)).where("gain IS NOT NULL")
+
+
+@query("ml06_extra_trees")
+def _(t):
+    """Discrimination of extra trees and of a forest on the same later rows."""
+    d = scored(t).withColumnRenamed("prob", "base")
+    fs = ["score", "base"]
+    tr, te = d.filter("split = 'train'"), d.filter("split = 'valid'")
+    p = staged(up_probability_of(tr, te, fs).withColumn("p_et", LE.extra_trees(tr, fs, "y").probability()))
+    return PO.roc_auc(p, ["split"], "p_et", "y").withColumnRenamed("auc", "auc_extra").join(PO.roc_auc(p, ["split"], "p_rf", "y").withColumnRenamed("auc", "auc_forest"), "split")
+
+
+def up_probability_of(train, test, features):
+    fit = LE.forest("y", prob="p_rf").fit(LE.class_weights(LE.assembled(train, features), "y"))
+    return LE.up_probability(fit.transform(LE.assembled(test, features)), "p_rf")
+
+
+def graded(t):
+    return t.weekly.withColumn("pct", S.pct_rank("ret_4w")).withColumn("grade", S.grade_ceil("pct")).filter("grade is not null")
+
+
 @query("ml08_learning_to_rank")
 def _(t):
-    d = LE.time_split(t.weekly.withColumn("pct", S.pct_rank("ret_4w")).withColumn("grade", S.grade_ceil("pct")).filter("grade is not null"), A, Z)
-    out = LE.ranker(d.filter("split = 'train'"), d.filter("split = 'test'"), ["score", "prob"], "grade")
-    return LE.ndcg(out, "rank_score", "grade", 5)
+    d = LE.time_split(graded(t), A, Z)
+    out, _ = LE.ranker(d, ["score", "prob"], "grade")
+    return LE.ndcg(out.filter("split = 'test'"), "rank_score", "grade", 5)
+
+
+_GRADED = f"(SELECT *, {pctsql('ret_4w')} AS pct FROM {WEEKLY} WHERE ret_4w IS NOT NULL)"
+
+
+@query("ml08_lambda_gradients", fin("date symbol gradient second", f"""WITH d AS (SELECT date, symbol, score/10 AS s, least(4,greatest(0,ceil(pct*5)-1)) AS y FROM {_GRADED}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, symbol) AS k, row_number() OVER (PARTITION BY date ORDER BY y DESC) AS b, max(s) OVER (PARTITION BY date)<>min(s) OVER (PARTITION BY date) AS spread FROM d),
+ m AS (SELECT date, sum((pow(2,y)-1)/log2(b+1)) FILTER (b<=30) AS best FROM r GROUP BY date),
+ p AS (SELECT x.date, x.symbol AS hi, z.symbol AS lo, abs(pow(2,x.y)-pow(2,z.y))*abs(1/log2(x.k+1)-1/log2(z.k+1))/m.best/(CASE WHEN x.spread THEN 0.01+abs(x.s-z.s) ELSE 1 END) AS delta, 1/(1+exp(x.s-z.s)) AS q FROM r x JOIN r z ON x.date=z.date AND x.y>z.y AND least(x.k,z.k)<=30 JOIN m ON m.date=x.date),
+ t AS (SELECT date, 2*sum(q*delta) AS total FROM p GROUP BY date),
+ e AS (SELECT date, hi AS symbol, -q*delta AS g, q*(1-q)*delta AS h FROM p UNION ALL SELECT date, lo, q*delta, q*(1-q)*delta FROM p)
+ SELECT r.date, r.symbol, coalesce(sum(g)*any_value(log2(1+total)/total),0) AS gradient, coalesce(sum(h)*any_value(log2(1+total)/total),0) AS second FROM r LEFT JOIN e ON e.date=r.date AND e.symbol=r.symbol LEFT JOIN t ON t.date=r.date GROUP BY r.date, r.symbol"""))
+def _(t):
+    return TR.lambda_gradients(graded(t).withColumn("s", F.col("score") / 10), "s", "grade")
+
+
+_WAS = "(SELECT a.t, p.x, sum(p.n) AS n, sum(p.s) AS s FROM (SELECT DISTINCT date AS t FROM u) a JOIN (SELECT date, x, count(*) AS n, sum(y) AS s FROM u GROUP BY 1,2) p ON p.date<a.t GROUP BY 1,2)"
+
+
+@query("ml09_expanding_isotonic", fin("date symbol x calibrated", f"""WITH u AS (SELECT date, symbol, floor(prob*100)/100 AS x, y FROM {UP}), w AS {_WAS}, c AS (SELECT *, sum(n) OVER o AS cn, sum(s) OVER o AS cs FROM w WINDOW o AS (PARTITION BY t ORDER BY x)),
+ i AS (SELECT a.t, a.x AS lo, b.x AS hi, min((b.cs-a.cs+a.s)/(b.cn-a.cn+a.n)::DOUBLE) OVER (PARTITION BY a.t, a.x ORDER BY b.x DESC) AS least FROM c a JOIN c b ON a.t=b.t AND a.x<=b.x),
+ f AS (SELECT t, hi AS x, max(least) AS v FROM i GROUP BY 1,2), k AS (SELECT t, sum(n) AS n, sum(s) AS s FROM w GROUP BY t),
+ q AS (SELECT DISTINCT date AS t, x FROM u), e AS (SELECT q.t, q.x, max(f.x) FILTER (f.x<=q.x) AS x1, min(f.x) FILTER (f.x>=q.x) AS x2 FROM q JOIN f ON f.t=q.t GROUP BY 1,2),
+ v AS (SELECT e.t, e.x, CASE WHEN x1 IS NULL THEN b.v WHEN x2 IS NULL OR x1=x2 THEN a.v ELSE a.v+(b.v-a.v)*(e.x-x1)/(x2-x1) END AS v FROM e LEFT JOIN f a ON a.t=e.t AND a.x=x1 LEFT JOIN f b ON b.t=e.t AND b.x=x2)
+ SELECT u.date, symbol, u.x, CASE WHEN k.n>=260 AND k.s>0 AND k.s<k.n THEN v.v ELSE u.x END AS calibrated FROM u LEFT JOIN k ON k.t=u.date LEFT JOIN v ON v.t=u.date AND v.x=u.x"""))
+def _(t):
+    d = up(t).withColumn("x", F.floor(F.col("prob") * 100.0) / 100.0)
+    return IS.expanding_isotonic(d, "x", "y").select("date", "symbol", "x", "calibrated")
 
 
 @query("ml09_isotonic_calibration")

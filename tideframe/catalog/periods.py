@@ -193,7 +193,7 @@ def _(t):
 @query("pf17_selective_dynamic_run")
 def _(t):
     from tideframe.plans.runs import selective_run
-    return selective_run(candidates(t), "1998-06-01", "2000-01-01")
+    return selective_run(candidates(t), "1998-06-01", "2000-01-01", ["prob", "score"])
 
 
 @query("pf18_current_signal", fin("date score action:s", f"SELECT date, score, CASE WHEN score>=70 THEN 'cash' WHEN score>=60 THEN 'reduce' WHEN score>=50 THEN 'watch' ELSE 'hold' END AS action FROM {RISK} WHERE date=(SELECT max(date) FROM {RISK})"))

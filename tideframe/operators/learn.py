@@ -1,23 +1,21 @@
-"""Feature matrices and learning steps on MLlib."""
+"""Feature matrices and learning steps, on MLlib and on the passes of ``trees``, ``folds_fit`` and ``isotone``."""
 
 from __future__ import annotations
 
 import datetime
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideframe.functions.scalar import clip, ratio
-from tideframe.operators import pooled
+from tideframe.operators import folds_fit, pooled, trees
 from tideframe.session import checkpointed
 
 
@@ -69,9 +67,22 @@ def forest(label: str, features: str = "features", trees: int = 60, depth: int =
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol=f"__{prob}", rawPredictionCol=f"__raw_{prob}", predictionCol=f"__pred_{prob}", **kw)
 
 
-def boosted(label: str, features: str = "features", rounds: int = 15, depth: int = 3, seed: int = 42, prob: str = "prob") -> GBTClassifier:
-    g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, predictionCol=f"__pred_{prob}")
-    return g.setProbabilityCol(f"__{prob}").setRawPredictionCol(f"__raw_{prob}")
+def histogram_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 180, rate: float = 0.035, leaves: int = 9, min_rows: int = 35, l2: float = 0.6) -> trees.Ensemble:
+    """Boosted classification trees on binned features, missing ones apart."""
+    bins = trees.quantile_bins(train, features)
+    return trees.boost(trees.chunks(train, bins, F.col(label)), bins, trees.Logistic(), rounds, rate, trees.Shape(leaves=leaves, min_rows=min_rows, l2=l2))
+
+
+def gradient_boosted(train: DataFrame, features: list[str], label: str, rounds: int, regression: bool = False, rate: float = 0.035, depth: int = 2) -> trees.Ensemble:
+    """Boosted trees of a fixed depth, without a penalty."""
+    bins = trees.quantile_bins(train, features)
+    objective = trees.Squared() if regression else trees.Logistic()
+    return trees.boost(trees.chunks(train, bins, F.col(label)), bins, objective, rounds, rate, trees.Shape(leaves=2**depth, depth=depth, min_rows=1, l2=0.0))
+
+
+def extra_trees(train: DataFrame, features: list[str], label: str, count: int = 18, depth: int = 5, min_rows: int = 32, seed: int = 42) -> trees.Forest:
+    bins = trees.quantile_bins(train, features)
+    return trees.extra_trees(trees.chunks(train, bins, F.col(label)), bins, count, depth, min_rows, seed=seed)
 
 
 def up_probability(df: DataFrame, prob: str = "prob") -> DataFrame:
@@ -81,35 +92,45 @@ def up_probability(df: DataFrame, prob: str = "prob") -> DataFrame:
 
 
 def ensemble_probability(train: DataFrame, test: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Mean of logistic, forest and boosted-tree probabilities."""
-    tr = class_weights(assembled(train.filter(F.col(label).isNotNull()), features), label).persist()
+    """Mean of logistic, forest, extra-tree and histogram-boosted probabilities."""
+    known = checkpointed(train.filter(F.col(label).isNotNull()))
+    tr = class_weights(assembled(known, features), label).persist()
     out = assembled(test, features)
-    models = {"p_log": logistic(label, prob="p_log"), "p_rf": forest(label, prob="p_rf"), "p_gbt": boosted(label, prob="p_gbt")}
-    for name, est in models.items():
+    for name, est in {"p_log": logistic(label, prob="p_log"), "p_rf": forest(label, prob="p_rf")}.items():
         out = up_probability(est.fit(tr).transform(out), name)
     tr.unpersist()
-    return out.withColumn("prob", (F.col("p_log") + F.col("p_rf") + F.col("p_gbt")) / 3).drop("features")
+    out = out.withColumns({"p_et": extra_trees(known, features, label).probability(), "p_hgb": histogram_boosted(known, features, label).probability()})
+    return out.withColumn("prob", (F.col("p_log") + F.col("p_rf") + F.col("p_et") + F.col("p_hgb")) / 4).drop("features")
 
 
-def walk_forward(df: DataFrame, features: list[str], label: str, make, folds: list[tuple], keep: list[str], order: str = "row") -> DataFrame:
-    """Out-of-sample probabilities: for each (train_to, test_from, test_to) a model is fitted on
-    rows with order < train_to and applied to [test_from, test_to).
+def fold_rows(df: DataFrame, folds: list[tuple], order: str = "row") -> DataFrame:
+    """Rows once for every fold that tests them, with the fold's number."""
+    spans = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(a).alias("a"), F.lit(z).alias("z")) for i, (_, a, z) in enumerate(folds)])
+    hits = F.filter(spans, lambda s: (s["a"] <= F.col(order)) & (F.col(order) < s["z"]))
+    return df.withColumn("fold", F.explode(F.transform(hits, lambda s: s["fold"])))
 
-    The assembled table is written once to the checkpoint folder; each fit is a distributed MLlib
-    job that reads it with the fold's range pushed into the filter.  A few folds are fitted at a
-    time, so that the small jobs of one fill the gaps of another.
-    """
-    base = checkpointed(assembled(df, features).select(*keep, label, order, "features"))
-    def fitted(fold: tuple) -> DataFrame:
-        i, (train_to, test_from, test_to) = fold
-        train = class_weights(base.filter((F.col(order) < F.lit(train_to)) & F.col(label).isNotNull()), label)
-        test = base.filter((F.col(order) >= F.lit(test_from)) & (F.col(order) < F.lit(test_to)))
-        return up_probability(make(label).fit(train).transform(test)).select(*keep, label, F.lit(i).alias("fold"), "prob")
 
+def walk_forward(df: DataFrame, features: list[str], label: str, folds: list[tuple], keep: list[str], order: str = "row", models: tuple[str, ...] = ("logistic",), c: float = 0.45, count: int = 18, depth: int = 5, min_rows: int = 32) -> DataFrame:
+    """Out-of-sample probabilities: for each (train_to, test_from, test_to) models of the rows with order <
+    train_to are applied to [test_from, test_to), and their mean is taken.  Order is a number.
+
+    All folds are fitted together (``folds_fit``, ``trees.extra_trees``): passes over the data, not folds, are what a
+    longer walk costs."""
+    base = checkpointed(df.select(*dict.fromkeys([*keep, label, order, *features])))
     if not folds:
         return base.limit(0).select(*keep, label, F.lit(0).alias("fold"), F.lit(0.0).alias("prob"))
-    with ThreadPoolExecutor(4) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fitted, enumerate(folds)))
+    limits, parts = [float(f[0]) for f in folds], []
+    test = fold_rows(base, folds, order)
+    if "logistic" in models:
+        parts.append(folds_fit.fit_folds(folds_fit.row_blocks(base, features, F.col(label), F.col(order)), features, limits, c).probability(F.col("fold")))
+    if "extra" in models:
+        filled = base.withColumns({f: F.coalesce(trees.finite(f), F.lit(0.0)) for f in features})
+        bins = trees.quantile_bins(filled, features)
+        forest_ = trees.extra_trees(trees.chunks(filled, bins, F.col(label), order=F.col(order)), bins, count, depth, min_rows, limits=limits)
+        test = test.withColumns({f: F.coalesce(trees.finite(f), F.lit(0.0)) for f in features})
+        parts.append(forest_.probability(F.col("fold")))
+    out = test.select(*keep, label, "fold", (sum(parts[1:], parts[0]) / len(parts)).alias("prob"))
+    return out.where(~F.isnan("prob"))
 
 
 def month_folds(first: int, last: int, train_months: int = 24, purge: int = 1) -> list[tuple[int, int, int]]:
@@ -181,11 +202,21 @@ def probability_blend(model, rule, peak, axis) -> Column:
 
 # --- ranking -----------------------------------------------------------------------------
 
-def ranker(train: DataFrame, test: DataFrame, features: list[str], grade: str, rounds: int = 15, seed: int = 42) -> DataFrame:
-    """Pointwise learning to rank: boosted regression on the 0..4 grade."""
-    m = GBTRegressor(featuresCol="features", labelCol=grade, maxIter=rounds, maxDepth=3, seed=seed, predictionCol="rank_score")
-    fit = m.fit(assembled(train.filter(F.col(grade).isNotNull()).withColumn(grade, F.col(grade).cast("double")), features))
-    return fit.transform(assembled(test, features)).drop("features")
+def date_medians(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Missing features as the median of their group, 0 where the group has none."""
+    w = Window.partitionBy(*keys)
+    return df.withColumns({f: F.coalesce(trees.finite(f), F.median(trees.finite(f)).over(w), F.lit(0.0)) for f in features})
+
+
+def ranker(df: DataFrame, features: list[str], grade: str, split: str = "split", keys: tuple[str, ...] = ("date",), tie: str = "symbol", rounds: int = 500, rate: float = 0.03, leaves: int = 15, depth: int = 4, min_rows: int = 20, columns: float = 0.8, l1: float = 1.0, l2: float = 5.0, k: int = 3, patience: int = 50, out: str = "rank_score") -> tuple[DataFrame, trees.Ensemble]:
+    """Learning to rank within ``keys``: boosted trees on pairwise gradients weighted by the change of NDCG, fitted on the
+    ``train`` rows and stopped by NDCG@k of the ``valid`` rows.  Returns all rows with ``out``, and the model."""
+    d = checkpointed(date_medians(df, features, keys))
+    graded = d.filter(F.col(grade).isNotNull() & F.col(split).isin("train", "valid"))
+    bins = trees.quantile_bins(graded.filter(F.col(split) == "train"), features)
+    data = trees.chunks(graded, bins, F.col(grade), valid=F.col(split) == "valid", groups=list(keys), ties=[tie])
+    model = trees.boost(data, bins, trees.LambdaRank(k=k), rounds, rate, trees.Shape(leaves, depth, min_rows, l2, l1), columns, patience)
+    return d.withColumn(out, model.margin()), model
 
 
 def ndcg(df: DataFrame, score: str, grade: str, k: int, keys=("date",), tie: str = "symbol") -> DataFrame:

@@ -30,7 +30,8 @@ from tideframe.session import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS, MISSING = 255, 255
-FIXED = 2.0**20
+#: Unit of gradient sums: sums of up to 2 ** 39 rows of weighted gradients up to 1 fit 64 bits.
+FIXED = 2.0**24
 CHUNK_ROWS = 50_000
 #: Rounds after which the margins of all rows are stored anew.
 REBASE = 16
@@ -495,6 +496,20 @@ def measured(trees: list[Tree], objective, chunk: Chunk) -> np.ndarray:
     return objective.measure(chunk, margins(chunk, trees))
 
 
+def lambda_gradients(df: DataFrame, score: str, grade: str, keys: tuple[str, ...] = ("date",), tie: str = "symbol", objective: LambdaRank | None = None) -> DataFrame:
+    """Pairwise gradient and second derivative of every row of each group at the given scores."""
+    objective = objective or LambdaRank()
+    rows = df.where(F.col(score).isNotNull() & F.col(grade).isNotNull()).select(*keys, tie, F.col(score).cast("double").alias("s"), F.col(grade).cast("double").alias("y"))
+
+    def of(table: pa.Table) -> pa.Table:
+        table = table.sort_by(tie)
+        g, h = objective.lambdas(*(table.column(c).to_numpy()[None, :] for c in ("s", "y")))
+        return table.select([*keys, tie]).append_column("gradient", pa.array(g[0])).append_column("second", pa.array(h[0]))
+
+    fields = rows.select(*keys, tie).schema
+    return rows.groupBy(*keys).applyInArrow(of, fields.add("gradient", "double").add("second", "double"))
+
+
 # --- extremely randomised trees ------------------------------------------------------------
 
 @dataclass
