@@ -2,7 +2,7 @@
 
 A key is permuted by an invertible map of its bits and cut into a quotient (upper bits) and a remainder
 (the rest, kept whole).  A filter holds its keys in ascending order: of each quotient the length of its
-run in unary, of each key the remainder and a counter of one byte (larger counters stand apart).  The
+run in unary, of each key the remainder, and the counters as compressed planes of bytes.  The
 permutation spreads the keys evenly, so equal ranges of quotients are equal shares of the keys, and
 inverting it gives the keys back.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 HEAD = "<qBB"
 #: Odd multipliers of the permutation.
@@ -42,15 +43,19 @@ class Permutation:
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Non-negative numbers as one byte each; those from 255 on in eight bytes behind."""
-    large = numbers[numbers >= 255].astype("<i8")
-    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + large.tobytes()
+    """Non-negative numbers: their bytes in planes of equal weight, as many as the largest needs, compressed."""
+    n = len(numbers)
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(n, 8)[:, :width].T
+    return struct.pack("<qB", n, width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack_numbers(data: bytes, n: int) -> np.ndarray:
-    numbers = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    numbers[numbers == 255] = np.frombuffer(data, "<i8", offset=n)
-    return numbers
+def unpack_numbers(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<qB", data)
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").reshape(n)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
@@ -78,7 +83,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if low < 64:
         # the remainder's last byte may reach above ``low`` only where the quotient is empty
         keys |= (ones - np.arange(n)).astype(np.uint64) << np.uint64(low)
-    return keys, unpack_numbers(data[at + n * whole :], n)
+    return keys, unpack_numbers(data[at + n * whole :])
 
 
 def merge(runs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:

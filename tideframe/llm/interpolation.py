@@ -44,9 +44,13 @@ def part_blocks(docs: DataFrame, doc_id: Column, part: Column, text: Column, par
         def block(part: int, docs: list, texts: list[np.ndarray], words: Numbers) -> pa.RecordBatch:
             ids, vocab = np.concatenate(texts), []
             if words:
-                n = np.bincount(ids, minlength=len(words) + 2)[2:].astype("<i8")
-                vocab = [{"grp": "", "words": b" ".join(words), "own": np.arange(2, len(words) + 2, dtype="<i4").tobytes(), "n": n.tobytes(), "size": len(words)}]
-            return pa.RecordBatch.from_pylist([{"block": next(new) * parts + part, "part": part, "docs": docs, "lengths": [len(t) for t in texts], "ids": ids.astype("<i4").tobytes(), "vocab": vocab}], schema=ARROW_BLOCK)
+                n = np.bincount(ids, minlength=len(words) + 2)[2:]
+                order = np.argsort(-n, kind="stable")  # frequent words get low numbers, whose upper bytes are alike
+                number, known = np.arange(len(words) + 2), list(words)
+                number[order + 2] = np.arange(2, len(words) + 2)
+                ids, n, words = number[ids], n[order], [known[k] for k in order.tolist()]
+                vocab = [{"grp": "", "words": b" ".join(words), "own": filters.pack_numbers(np.arange(2, len(words) + 2)), "n": filters.pack_numbers(n), "size": len(words)}]
+            return pa.RecordBatch.from_pylist([{"block": next(new) * parts + part, "part": part, "docs": docs, "lengths": [len(t) for t in texts], "ids": filters.pack_numbers(ids), "vocab": vocab}], schema=ARROW_BLOCK)
 
         for batch in batches:
             for doc, part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
@@ -84,7 +88,7 @@ def part_sums(places: list[np.ndarray], counts: list[np.ndarray], parts: list[in
 def answer_rows(round_: int, key: int, table: pa.Table, places: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, sums: dict[int, np.ndarray], own: list[np.ndarray] | None = None, ids: np.ndarray | None = None, known: int = 0) -> pa.Table:
     rows = []
     for k, (block, part, place) in enumerate(zip(table.column("block").to_pylist(), table.column("part").to_pylist(), places)):
-        rows.append({"block": block, "slice": key, "round": round_, "own": own[k].tobytes() if own else None, "ids": ids[place].astype("<i8").tobytes() if ids is not None else None,
+        rows.append({"block": block, "slice": key, "round": round_, "own": filters.pack_numbers(own[k]) if own else None, "ids": filters.pack_numbers(ids[place] + 1) if ids is not None else None,
                      "size": len(place), "sums": filters.pack_numbers(total[place]), "parts": filters.pack_numbers(sums[part][place]), "n": filters.pack_numbers(counts[k]) if own else None, "known": known if not k else 0})
     return pa.Table.from_pylist(rows, schema=ARROW_ANSWER)
 
@@ -132,7 +136,7 @@ class Block:
 
     def __init__(self, row: dict, replies: list[dict], corpus: Corpus, bits: int):
         self.row, self.corpus = row, corpus
-        self.ids = np.frombuffer(row["ids"], "<i4").astype(np.int64)
+        self.ids = filters.unpack_numbers(row["ids"])
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.ends = np.cumsum(self.lengths)
         size = max(int(self.ids.max()), END) + 1
@@ -142,8 +146,8 @@ class Block:
         self.sums[[START, END]], self.own[[START, END]] = corpus.docs, corpus.part_docs[part]
         for r in replies:
             if r["round"] == 1:
-                at = np.frombuffer(r["own"], "<i4")
-                self.number[at], self.sums[at], self.own[at] = np.frombuffer(r["ids"], "<i8"), filters.unpack_numbers(r["sums"], r["size"]), filters.unpack_numbers(r["parts"], r["size"])
+                at = filters.unpack_numbers(r["own"])
+                self.number[at], self.sums[at], self.own[at] = filters.unpack_numbers(r["ids"]) - 1, filters.unpack_numbers(r["sums"]), filters.unpack_numbers(r["parts"])
         if not corpus.docs:
             self.number[[START, END]] = -1
         before = np.empty_like(self.ids)
@@ -156,8 +160,8 @@ class Block:
         mixed = filters.Permutation(bits).mix((self.number[before[at]].astype(np.uint64) << np.uint64(corpus.word_bits)) | self.number[self.ids[at]].astype(np.uint64))
         self.pairs, self.pair_of, self.pair_n = np.unique(mixed, return_inverse=True, return_counts=True)
         second = sorted((r for r in replies if r["round"] == 2), key=lambda r: r["slice"])
-        self.pair_sums = np.concatenate([*(filters.unpack_numbers(r["sums"], r["size"]) for r in second), np.zeros(0, np.int64)])
-        self.pair_own = np.concatenate([*(filters.unpack_numbers(r["parts"], r["size"]) for r in second), np.zeros(0, np.int64)])
+        self.pair_sums = np.concatenate([*(filters.unpack_numbers(r["sums"]) for r in second), np.zeros(0, np.int64)])
+        self.pair_own = np.concatenate([*(filters.unpack_numbers(r["parts"]) for r in second), np.zeros(0, np.int64)])
 
     def first(self, total: np.ndarray, tokens: int) -> np.ndarray:
         k, c = self.corpus.k1, self.corpus
@@ -226,6 +230,11 @@ def learned(rows: list) -> np.ndarray:
     return out
 
 
+def drop(folder: tuple) -> None:
+    STAGED.remove(folder)
+    drop_folder(*folder)
+
+
 class Model:
     """Blocks of a corpus with the counts that they need, and the learned weights."""
 
@@ -239,6 +248,7 @@ class Model:
         folders.append(STAGED[-1])
         slices = (asked.agg(F.max("slice")).first()[0] or 0) + 1
         words = staged(word_counts(asked, slices, held_out))
+        drop(folders.pop())
         folders.append(STAGED[-1])
         distinct, = words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()
         word_bits = (slices * (words.agg(F.max("known")).first()[0] or 0) + 2).bit_length()
@@ -271,8 +281,7 @@ class Model:
 
         self.blocks = staged(columns.groupBy("block").cogroup(words.unionByName(pairs).groupBy("block")).applyInArrow(join, joined_schema))
         for folder in folders:
-            STAGED.remove(folder)
-            drop_folder(*folder)
+            drop(folder)
         self.corpus, self.bits = corpus, bits
 
         def held_out_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +318,8 @@ def first_cells(words: DataFrame, corpus: Corpus) -> DataFrame:
             for part, n, size, sums, parts in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 rest = corpus.tokens - corpus.part_tokens[part]
                 if rest:
-                    ratio = (filters.unpack_numbers(sums, size) - filters.unpack_numbers(parts, size)) / rest * (corpus.distinct + 1)
-                    found += counted(np.zeros(size, dtype=np.int64), cells(ratio), filters.unpack_numbers(n, size))
+                    ratio = (filters.unpack_numbers(sums) - filters.unpack_numbers(parts)) / rest * (corpus.distinct + 1)
+                    found += counted(np.zeros(size, dtype=np.int64), cells(ratio), filters.unpack_numbers(n))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["bucket", "cell", "n"])
 
     ends = []

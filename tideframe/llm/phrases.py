@@ -49,11 +49,11 @@ def word_blocks(docs: DataFrame, group: Column, text: Column) -> DataFrame:
                 own = np.concatenate(parts)
                 known = list(words[grp])[1:]
                 if known:
-                    n = np.bincount(own, minlength=len(known) + 1)[1:].astype("<i8")
-                    vocab.append({"grp": grp, "words": b" ".join(known), "own": np.arange(first + 1, first + len(known) + 1, dtype="<i4").tobytes(), "n": n.tobytes(), "size": len(known), "total": int(n.sum())})
+                    n = np.bincount(own, minlength=len(known) + 1)[1:]
+                    vocab.append({"grp": grp, "words": b" ".join(known), "own": filters.pack_numbers(np.arange(first + 1, first + len(known) + 1)), "n": filters.pack_numbers(n), "size": len(known), "total": int(n.sum())})
                 ids.append(np.where(own > 0, own + first, 0))
                 first += len(known)
-            return pa.RecordBatch.from_pylist([{"block": next(new), "ids": np.concatenate(ids).astype("<i4").tobytes(), "vocab": vocab}], schema=ARROW_BLOCK)
+            return pa.RecordBatch.from_pylist([{"block": next(new), "ids": filters.pack_numbers(np.concatenate(ids)), "vocab": vocab}], schema=ARROW_BLOCK)
 
         for batch in batches:
             for grp, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -100,8 +100,7 @@ def frequent_words(requests: DataFrame, least: int, slices: int) -> DataFrame:
         ids = numbers_of(sums, least, key[0].as_py(), slices)
         often = np.flatnonzero(ids)
         out = [answers({"id": ids[often], "f": sums[often], "grp": [names[k][0] for k in often], "word": [names[k][1].decode("utf-8", "replace") for k in often]}, len(often))]
-        hits = [(b, own[ids[p] > 0].tobytes(), ids[p][ids[p] > 0].astype("<i8").tobytes()) for b, p, own in zip(table.column("block").to_pylist(), places, owns)]
-        hits = [h for h in hits if h[1]]
+        hits = [(b, filters.pack_numbers(own[ids[p] > 0]), filters.pack_numbers(ids[p][ids[p] > 0])) for b, p, own in zip(table.column("block").to_pylist(), places, owns) if (ids[p] > 0).any()]
         out.append(answers(dict(zip(("block", "keys", "ids"), zip(*hits))), len(hits)) if hits else answers({}, 0))
         return pa.concat_tables(out)
 
@@ -120,18 +119,17 @@ def frequent_phrases(requests: DataFrame, least: int, bits: int, slice_bits: int
         often = np.flatnonzero(ids)
         low = np.uint64(word_bits)
         out = [answers({"id": ids[often], "left": (packed[often] >> low).astype(np.int64), "right": (packed[often] & np.uint64(2**word_bits - 1)).astype(np.int64), "f": sums[often]}, len(often))]
-        hits = [(b, packed[p][ids[p] > 0].astype("<u8").tobytes(), ids[p][ids[p] > 0].astype("<i8").tobytes()) for b, p in zip(table.column("block").to_pylist(), places)]
-        hits = [h for h in hits if h[1]]
+        hits = [(b, filters.pack_numbers(packed[p][ids[p] > 0]), filters.pack_numbers(ids[p][ids[p] > 0])) for b, p in zip(table.column("block").to_pylist(), places) if (ids[p] > 0).any()]
         out.append(answers(dict(zip(("block", "keys", "ids"), zip(*hits))), len(hits)) if hits else answers({}, 0))
         return pa.concat_tables(out)
 
     return requests.groupBy("slice").applyInArrow(add, ANSWER)
 
 
-def answered(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys that the slices answered to a block, ascending, and their numbers."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), kind)
-    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
+    keys, ids = (np.concatenate([*map(filters.unpack_numbers, table.column(c).to_pylist()), np.zeros(0, np.int64)]) for c in ("keys", "ids"))
+    keys = keys.view(np.uint64)
     order = np.argsort(keys)
     return keys[order], ids[order]
 
@@ -165,7 +163,7 @@ def request_rows(block: int, words: np.ndarray, phrases: np.ndarray, n: int, wor
     """A block's row for the next round, and its filters of n-word phrases."""
     at, keys = packed_at(words, phrases, n, word_bits)
     mixed, counts = np.unique(filters.Permutation(bits).mix(keys), return_counts=True)
-    rows = [{"block": block, "words": words.astype("<i8").tobytes(), "phrases": phrases.astype("<i8").tobytes() if n > 2 else None, "places": len(at)}]
+    rows = [{"block": block, "words": filters.pack_numbers(words), "phrases": filters.pack_numbers(phrases) if n > 2 else None, "places": len(at)}]
     rows += [{"block": block, "slice": k, "filter": f} for k, f in filters.slices(mixed, counts, bits, slice_bits)]
     return pa.Table.from_pylist(rows, schema=ARROW_REQUEST)
 
@@ -175,16 +173,16 @@ def carried(n: int, word_bits: int, bits: int, slice_bits: int):
     def carry(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return ARROW_REQUEST.empty_table()
-        known, ids = answered(right, "<i4" if n == 2 else "<u8")
+        known, ids = answered(right)
         if n == 2:
-            own = np.frombuffer(left.column("ids")[0].as_py(), "<i4")
+            own = filters.unpack_numbers(left.column("ids")[0].as_py())
             of = np.zeros(int(max(own.max(initial=0), known.max(initial=0))) + 1, dtype=np.int64)
             of[known] = ids
             words = phrases = of[own]
         else:
-            words = np.frombuffer(left.column("words")[0].as_py(), "<i8")
+            words = filters.unpack_numbers(left.column("words")[0].as_py())
             before = left.column("phrases")[0].as_py()
-            at, keys = packed_at(words, words if before is None else np.frombuffer(before, "<i8"), n - 1, word_bits)
+            at, keys = packed_at(words, words if before is None else filters.unpack_numbers(before), n - 1, word_bits)
             phrases = np.zeros(len(words), dtype=np.int64)
             phrases[at] = looked_up(keys, known, ids)
         words, phrases = kept_runs(words, phrases, n - 1)

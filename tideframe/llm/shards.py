@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-WORDS = 2_000_000
+from tideframe.llm.filters import pack_numbers, unpack_numbers
+
+WORDS = 500_000
 ENTRIES_PER_SLICE = 500_000
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z in lower case
 
@@ -43,7 +45,7 @@ def block_number() -> Iterator[int]:
 def word_requests(blocks: DataFrame) -> DataFrame:
     """(slice, block, grp, words, own, n) rows from blocks with a column ``vocab`` of (grp, words, own, n, size).
 
-    ``words`` are joined by a space, ``own`` are their numbers in the block (32 bits), ``n`` their counts (64 bits)."""
+    ``words`` are joined by a space, ``own`` are their packed numbers in the block, ``n`` their packed counts."""
     entries = blocks.select(F.explode("vocab").alias("v")).agg(F.sum("v.size")).first()[0] or 0
     slices = -(-entries // ENTRIES_PER_SLICE)
 
@@ -53,13 +55,13 @@ def word_requests(blocks: DataFrame) -> DataFrame:
                 rows = []
                 for v in vocab:
                     words = v["words"].split(b" ")
-                    own, n = np.frombuffer(v["own"], "<i4"), np.frombuffer(v["n"], "<i8")
+                    own, n = unpack_numbers(v["own"]), unpack_numbers(v["n"])
                     part = np.fromiter((zlib.crc32(w) % slices for w in words), dtype=np.int64, count=len(words))
                     order = np.argsort(part, kind="stable")
                     found, starts = np.unique(part[order], return_index=True)
                     for k, lo, hi in zip(found.tolist(), starts, [*starts[1:], len(order)]):
                         at = order[lo:hi]
-                        rows.append((k, block, v["grp"], b" ".join([words[i] for i in at.tolist()]), own[at].tobytes(), n[at].tobytes()))
+                        rows.append((k, block, v["grp"], b" ".join([words[i] for i in at.tolist()]), pack_numbers(own[at]), pack_numbers(n[at])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "block", "grp", "words", "own", "n"])
 
@@ -79,6 +81,6 @@ def numbered(table: pa.Table) -> tuple[list[tuple[str, bytes]], list[np.ndarray]
                 names.append((grp, word))
             place.append(known[word])
         places.append(np.array(place, dtype=np.int64))
-        owns.append(np.frombuffer(own, "<i4"))
-        counts.append(np.frombuffer(n, "<i8"))
+        owns.append(unpack_numbers(own))
+        counts.append(unpack_numbers(n))
     return names, places, owns, counts
