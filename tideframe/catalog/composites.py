@@ -7,7 +7,7 @@ from tideframe.catalog.rolling import g, lag, over, rows, zs
 from tideframe.catalog.xsec import zsql
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, ratio
-from tideframe.operators import aggregates as G, asof as A, factors as FA, folds as FO, panel as P, topk as T, xsec as S
+from tideframe.operators import aggregates as G, asof as A, factors as FA, folds as FO, panel as P, ranks as RK, topk as T, xsec as S
 from tideframe.operators.thresholds import stage_of
 from tideframe.plans import assets as AS, leadership as L, risk_vector as RV, safe as SF, sentinel as SE
 from tideframe.plans.fixtures import BRAND, DRIVERS, ETF, HOLDINGS, MARKET, REGIME, RISK, WEEKDAYS, WEEKLY
@@ -368,19 +368,18 @@ def nmean(ws, have):
     return f"CASE WHEN {x}>100 THEN 100 ELSE {x} END"
 
 
-@query("cp19_three_axis_scores", fin("date a1 a2 mx mean norm breadth:i dom:s calm", f"""SELECT *, CASE WHEN greatest(a1,a2) IS NULL THEN NULL ELSE greatest(a1,a2,a3) END AS mx, (coalesce(a1,0)+coalesce(a2,0)+coalesce(a3,0))/nullif((a1 IS NOT NULL)::INT+(a2 IS NOT NULL)::INT+(a3 IS NOT NULL)::INT,0) AS mean, least(100,sqrt(coalesce(a1,0)*coalesce(a1,0)+coalesce(a2,0)*coalesce(a2,0)+coalesce(a3,0)*coalesce(a3,0))/sqrt(3.0)) AS norm,
+@query("cp19_three_axis_scores", fin("date a1 a2 mx mean norm breadth:i dom:s calm", f"""SELECT *, greatest(a1,a2,a3) AS mx, (coalesce(a1,0)+coalesce(a2,0)+coalesce(a3,0))/nullif((a1 IS NOT NULL)::INT+(a2 IS NOT NULL)::INT+(a3 IS NOT NULL)::INT,0) AS mean, least(100,sqrt(coalesce(a1,0)*coalesce(a1,0)+coalesce(a2,0)*coalesce(a2,0)+coalesce(a3,0)*coalesce(a3,0))/sqrt(3.0)) AS norm,
  coalesce((a1>=35)::INT,0)+coalesce((a2>=35)::INT,0)+coalesce((a3>=35)::INT,0) AS breadth, CASE WHEN a1>=greatest(a2,a3) THEN 'axis1' WHEN a2>=greatest(a1,a3) THEN 'axis2' ELSE 'axis3' END AS dom,
- least(100,greatest(0,0.30*least(100,greatest(0,greatest(0,m)*350))+0.25*least(100,greatest(0,100+250*nh))+0.20*least(100,greatest(0,50+180*am))+0.15*least(100,greatest(0,35-100*vl))+0.10*least(100,greatest(0,35-a1)))) AS calm FROM
- (SELECT s.date, {nmean(RV.AXIS_3D['axis1_vol_credit_stress'], _have)} AS a1, {nmean(RV.AXIS_3D['axis2_fx_liquidity_stress'], _have)} AS a2, r.score AS a3, m, nh, am, vl FROM {SHOCKS} s JOIN {RISK} r ON r.date=s.date JOIN (SELECT date, close/{lag('close', 60, '')}-1 AS m, close/({g('max', 'close', 252, 60, '')})-1 AS nh, close/({g('avg', 'close', 200, 60, '')})-1 AS am, ({g('stddev_samp', 'r1', 20, 10, '')})*sqrt(252.0) AS vl FROM (SELECT *, close/{lag('close', 1, '')}-1 AS r1 FROM {MARKET})) k ON k.date=s.date)
- WHERE a1 IS NOT NULL AND a2 IS NOT NULL AND am IS NOT NULL AND m IS NOT NULL AND nh IS NOT NULL AND vl IS NOT NULL""".replace("PARTITION BY  ", "")))
+ CASE WHEN a1+m+nh+am+vl IS NOT NULL THEN least(100,greatest(0,0.30*least(100,greatest(0,greatest(0,m)*350))+0.25*least(100,greatest(0,100+250*nh))+0.20*least(100,greatest(0,50+180*am))+0.15*least(100,greatest(0,35-100*vl))+0.10*least(100,greatest(0,35-a1)))) END AS calm FROM
+ (SELECT s.date, {nmean(RV.AXIS_3D['axis1_vol_credit_stress'], _have)} AS a1, {nmean(RV.AXIS_3D['axis2_fx_liquidity_stress'], _have)} AS a2, r.score AS a3, m, nh, am, vl FROM {SHOCKS} s LEFT JOIN {RISK} r ON r.date=s.date LEFT JOIN (SELECT date, close/{lag('close', 60, '')}-1 AS m, close/({g('max', 'close', 252, 60, '')})-1 AS nh, close/({g('avg', 'close', 200, 60, '')})-1 AS am, ({g('stddev_samp', 'r1', 20, 10, '')})*sqrt(252.0) AS vl FROM (SELECT *, close/{lag('close', 1, '')}-1 AS r1 FROM {MARKET})) k ON k.date=s.date)""".replace("PARTITION BY  ", "")))
 def _(t):
     m = t.market.withColumn("r1", R.step_return("close", 1, R.day()))
     m = m.select("date", R.step_return("close", 60, R.day()).alias("m"), (ratio("close", R.high("close", 252, R.day(), 60)) - 1).alias("nh"), (ratio("close", R.mean("close", 200, R.day(), 60)) - 1).alias("am"), R.annual_vol("r1", 20, R.day(), 10).alias("vl"))
-    d = RV.axes_3d(shocks(t).join(t.risk.select("date", F.col("score").alias("peak_fragility_score_0_100")), "date"))
-    d = d.join(m, "date").withColumn("calm", RV.complacency("m", "nh", "am", "vl", "axis1_vol_credit_stress"))
+    d = RV.axes_3d(shocks(t).join(t.risk.select("date", F.col("score").alias("peak_fragility_score_0_100")), "date", "left"))
+    d = d.join(m, "date", "left").withColumn("calm", RV.complacency("m", "nh", "am", "vl", "axis1_vol_credit_stress"))
     d = d.select("date", F.col("axis1_vol_credit_stress").alias("a1"), F.col("axis2_fx_liquidity_stress").alias("a2"), F.col("risk_3d_max_axis").alias("mx"), F.col("risk_3d_mean_axis").alias("mean"),
-                 F.col("risk_3d_vector_score").alias("norm"), F.col("risk_3d_breadth").alias("breadth"), F.col("risk_3d_dominant_axis").alias("dom"), "calm", "m", "nh", "am", "vl")
-    return d.filter("a1 is not null and a2 is not null and am is not null and m is not null and nh is not null and vl is not null").drop("m", "nh", "am", "vl")
+                 F.col("risk_3d_vector_score").alias("norm"), F.col("risk_3d_breadth").alias("breadth"), F.col("risk_3d_dominant_axis").alias("dom"), "calm")
+    return d
 
 
 _S = {k: wmean(w, _all | set(RV.AXES) | {"composite_vector_risk", "crash_sentinel_score", "peak_correction_score"}) for k, w in RV.SCORES.items()}
@@ -407,7 +406,8 @@ def _(t):
     w = wide(t).select("date", *[R.padded(c, R.day()).alias(a) for c, a in (("NASDAQ100", "f"), ("VIX", "v"), ("GOLD", "o"))])
     w = w.select("date", F.coalesce((ratio("f", R.high("f", 60, R.day(), 20)) - 1 >= -0.03).cast("int"), F.lit(0)).alias("near"), (ratio("f", R.mean("f", 60, R.day(), 20)) - 1).alias("ext"),
                  (-(R.step_return("f", 20, R.day()) - R.step_return("f", 60, R.day()))).alias("decel"), (-R.zscore("v", 252, R.day(), 84)).alias("calm"), (R.step_return("f", 20, R.day()) - R.step_return("o", 20, R.day())).alias("gap"))
-    p = {c: R.percentile_rank(c, 252, R.day(), 60) for c in ("ext", "decel", "calm", "gap")}
+    w = RK.ranked(w, {c: (c, 252, True) for c in ("ext", "decel", "calm", "gap")})
+    p = {c: RK.percentile_rank(c, c, 60) for c in ("ext", "decel", "calm", "gap")}
     terms = {"near_high": F.col("near"), "extended": p["ext"], "decel": p["decel"], "calm": p["calm"], "gap_a": p["gap"], "gap_b": p["gap"], "credit": p["calm"], "dollar": p["ext"], "rate": p["decel"]}
     return w.select("date", "near", RV.peak_rule(terms).alias("s"))
 
@@ -535,7 +535,9 @@ _EP = lambda c: f"(CASE WHEN len(l_{c})>=26 THEN len(list_filter(l_{c}, lambda q
  (SELECT date, max(score) AS a, round(avg(score) FILTER (rn<=3),8) AS b, round(max(score)-median(score),8) AS c FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rn FROM {WEEKLY}) GROUP BY date))"""))
 def _(t):
     d = candidates(t).withColumns({c: F.round(c, 8) for c in ("topk_score_mean", "score_spread")})
-    d = d.withColumns({f"{c}_pctile": R.share_not_above(c, None, R.day(), 26) for c in ("top1_score", "topk_score_mean", "score_spread")})
+    parts = ("top1_score", "topk_score_mean", "score_spread")
+    d = RK.ranked(d, {c: (c, None, False) for c in parts})
+    d = d.withColumns({f"{c}_pctile": RK.share_not_above(c, c, 26) for c in parts})
     return d.select("date", SF.confidence(d).alias("s"))
 
 

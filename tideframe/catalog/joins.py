@@ -87,9 +87,15 @@ def _(t):
     return A.asof_join(l, r, by=("horizon",)).withColumn("p", F.coalesce("p", F.lit(0.0)))
 
 
-@query("jn11_shared_dates", fin("date a b", f"SELECT x.date, x.close AS a, y.close AS b FROM {ETF} x JOIN {BRAND} y ON x.date=y.date WHERE x.symbol='NATION_3' AND y.symbol='Brand#12'"))
+_BENCH = f"(SELECT date, grp, round(avg(close),8) AS close FROM {ETF} GROUP BY 1,2)"
+
+
+@query("jn11_shared_dates", fin("date symbol benchmark:s a b rs shared:i", f"""SELECT *, (a/first_value(a) OVER w)/(b/first_value(b) OVER w) AS rs, count(*) OVER (PARTITION BY symbol) AS shared FROM
+ (SELECT x.date, x.symbol, x.grp AS benchmark, x.close AS a, y.close AS b FROM {ETF} x JOIN {_BENCH} y ON x.date=y.date AND x.grp=y.grp WHERE x.close IS NOT NULL AND y.close IS NOT NULL) WINDOW w AS (PARTITION BY symbol ORDER BY date)"""))
 def _(t):
-    return t.etf.filter("symbol = 'NATION_3'").select("date", F.col("close").alias("a")).join(t.brand.filter("symbol = 'Brand#12'").select("date", F.col("close").alias("b")), "date")
+    """Every symbol with its benchmark on the dates that both have, and the ratio of both since the first of them."""
+    bench = t.etf.groupBy("date", F.col("grp").alias("benchmark")).agg(F.round(F.avg("close"), 8).alias("b"))
+    return J.aligned(t.etf.select("date", "symbol", F.col("grp").alias("benchmark"), F.col("close").alias("a")), bench, "benchmark", "a", "b")
 
 
 @query("jn12_semi_join", fin("date symbol close", f"SELECT * FROM {ETF} WHERE date IN (SELECT date FROM {_MON})"))

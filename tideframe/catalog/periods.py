@@ -157,10 +157,29 @@ def _(t):
     return d.select("date", "picked", "safe_mean", "risk_mean", "ideal", "overlap", (F.round(F.col("picked") - F.col("risk_mean"), 12) > 0).alias("beat_risk"))
 
 
-@query("pf14_signal_dated_selector", fin("weeks:i top1_hit topk_hit avg_pick avg_safe", f"SELECT count(*) AS weeks, avg(top1_exact) AS top1_hit, avg(best_in_picks) AS topk_hit, avg(picked) AS avg_pick, avg(safe_mean) AS avg_safe FROM {_PE} WHERE date IN (SELECT date FROM {RISK} WHERE score>=50)"))
+_HZ = {"5": "lead(close,5) OVER s/close-1", "15": "lead(close,15) OVER s/close-1"}
+_F14 = f"(SELECT date, symbol, {', '.join(f'{v} AS f{k}' for k, v in _HZ.items())} FROM {ETF} WINDOW s AS (PARTITION BY symbol ORDER BY date))"
+_L14 = " UNION ALL ".join(f"SELECT w.date, w.symbol, {h} AS horizon, {k} AS top_k, score, grp IN ('ASIA','EUROPE') AS sf, least(0.3,greatest(-0.3,f{h}))*0.1 AS r FROM {WEEKLY} w JOIN {_F14} f ON f.date=w.date AND f.symbol=w.symbol WHERE f{h} IS NOT NULL" for h in _HZ for k in (1, 3))
+
+
+@query("pf14_signal_dated_selector", fin("horizon:i top_k:i weeks:i top1_hit topk_hit avg_pick avg_safe", f"""WITH l AS ({_L14}), e AS (SELECT horizon, top_k, date, avg(r) FILTER (sf AND p<=top_k) AS picked, avg(r) FILTER (sf) AS safe_mean, count(*) FILTER (sf AND p=1 AND a=1) AS top1_exact, count(*) FILTER (sf AND p<=top_k AND a=1) AS best_in_picks
+ FROM (SELECT *, row_number() OVER (PARTITION BY horizon, top_k, date, sf ORDER BY score DESC, symbol) AS p, row_number() OVER (PARTITION BY horizon, top_k, date, sf ORDER BY r DESC, symbol) AS a FROM l) GROUP BY 1,2,3 HAVING count(*) FILTER (sf)>0 AND count(*) FILTER (NOT sf)>0)
+ SELECT horizon, top_k, count(*) AS weeks, avg(top1_exact) AS top1_hit, avg(best_in_picks) AS topk_hit, avg(picked) AS avg_pick, avg(safe_mean) AS avg_safe FROM e WHERE date IN (SELECT date FROM {RISK} WHERE score>=50) GROUP BY 1,2"""))
 def _(t):
-    d = picks(t).join(t.risk.filter("score >= 50").select("date"), "date", "left_semi")
-    return d.agg(F.count(F.lit(1)).alias("weeks"), F.avg("top1_exact").alias("top1_hit"), F.avg("best_in_picks").alias("topk_hit"), F.avg("picked").alias("avg_pick"), F.avg("safe_mean").alias("avg_safe"))
+    """Safe picks on signal dates at both horizons (5 and 15 rows ahead) and both sizes."""
+    ahead = t.etf.select("date", "symbol", *[R.forward_return("close", int(h), R.by_entity()).alias(f"f{h}") for h in _HZ])
+    signals = t.risk.filter("score >= 50").select("date")
+    d = t.weekly.join(ahead, ["date", "symbol"])
+    safe = F.col("grp").isin("ASIA", "EUROPE")
+    out = None
+    for h in _HZ:
+        rows = d.filter(F.col(f"f{h}").isNotNull()).withColumn("r", clip(f"f{h}", -0.3, 0.3) * 0.1)
+        for k in (1, 3):
+            e = PF.pick_evaluation(rows, "score", "r", safe, ~safe, k).join(signals, "date", "left_semi")
+            e = e.agg(F.count(F.lit(1)).alias("weeks"), F.avg("top1_exact").alias("top1_hit"), F.avg("best_in_picks").alias("topk_hit"), F.avg("picked").alias("avg_pick"), F.avg("safe_mean").alias("avg_safe"))
+            e = e.select(F.lit(int(h)).alias("horizon"), F.lit(k).alias("top_k"), "*")
+            out = e if out is None else out.unionByName(e)
+    return out
 
 
 _P15 = f"""(WITH m AS (SELECT *, round(0.2*z5+0.35*z20+0.3*z60+0.15*z120-0.2*zv,10) AS sc FROM {_MOM}), w AS (SELECT m.date, symbol, round(sc*gate,10) AS s, st, gate, f1w, f1m FROM (SELECT *, 1-least(0.55,greatest(0,rs/140)) AS gate FROM (SELECT m.*, r.score AS rs, CASE WHEN r.score<50 THEN 'Normal' WHEN r.score<60 THEN 'Watch' WHEN r.score<70 THEN 'De-risk' ELSE 'Cash' END AS st FROM m JOIN {RISK} r ON r.date=m.date WHERE m.date IN ({_WK}) AND r.score<55)) m),

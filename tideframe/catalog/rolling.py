@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 from tideframe.catalog import fin, query
 from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, col, ratio
-from tideframe.operators import panel as P, states
+from tideframe.operators import panel as P, ranks as RK, states
 from tideframe.plans.fixtures import BRAND, DRIVERS, ETF, MARKET, RISK, WEEKLY
 
 
@@ -146,20 +146,22 @@ def _(t):
  (len(list_filter(v, lambda x: x<close)) + (len(list_filter(v, lambda x: x=close))+1)/2.0)/len(v) END AS pr
  FROM (SELECT date, symbol, close, {over('list(close)', rows(252))} AS v FROM {BRAND})"""))
 def _(t):
-    return sel(t, R.percentile_rank("close", 252, R.by_entity(), 60).alias("pr"))
+    d = RK.ranked(t.brand, {"f": ("close", 252, True)}, ("symbol",))
+    return d.select("date", "symbol", RK.percentile_rank("f", "close", 60).alias("pr"))
 
 
 @query("wn15_trailing_percentile", fin("date symbol tp", f"""SELECT date, symbol, CASE WHEN len(v)>=189 THEN
  len(list_filter(v, lambda x: x<=close))::DOUBLE/len(v) END AS tp
  FROM (SELECT date, symbol, close, {over('list(close)', 'ROWS BETWEEN 756 PRECEDING AND 1 PRECEDING')} AS v FROM {BRAND})"""))
 def _(t):
-    return sel(t, R.share_not_above("close", 756, R.by_entity(), 189).alias("tp"))
+    d = RK.ranked(t.brand, {"f": ("close", 756, False)}, ("symbol",))
+    return d.select("date", "symbol", RK.share_not_above("f", "close", 189).alias("tp"))
 
 
 @query("wn16_expanding_percentile", fin("date ep", f"""SELECT date, CASE WHEN len(v)>=26 THEN len(list_filter(v, lambda x: x<=close))::DOUBLE/len(v) END AS ep
  FROM (SELECT date, close, {over('list(close)', 'ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING', '')} AS v FROM {MARKET})"""))
 def _(t):
-    return t.market.select("date", R.share_not_above("close", None, R.day(), 26).alias("ep"))
+    return RK.ranked(t.market, {"f": ("close", None, False)}).select("date", RK.share_not_above("f", "close", 26).alias("ep"))
 
 
 _MV = f"(SELECT *, level-{lag('level', 1, 'driver')} AS mv FROM {DRIVERS})"

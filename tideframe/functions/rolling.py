@@ -141,24 +141,6 @@ def beta(y, x, n: int, w: WindowSpec, min_periods: int) -> Column:
     return F.when(F.count(F.when(both, 1)).over(frame) >= min_periods, F.regr_slope(y, x).over(frame))
 
 
-# --- ranks inside a frame -------------------------------------------------------
-
-def percentile_rank(x, n: int, w: WindowSpec, min_periods: int) -> Column:
-    """Average-tie percent rank of the current value inside its own trailing frame."""
-    x = col(x)
-    vals = F.collect_list(x).over(trailing(w, n))
-    less = F.size(F.filter(vals, lambda v: v < x))
-    same = F.size(F.filter(vals, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(vals) >= min_periods), (less + (same + 1) / 2) / F.size(vals))
-
-
-def share_not_above(x, n: int, w: WindowSpec, min_periods: int) -> Column:
-    """Share of the n previous values that are <= the current one."""
-    x = col(x)
-    vals = F.collect_list(x).over(prior(w, n))
-    return F.when(x.isNotNull() & (F.size(vals) >= min_periods), F.size(F.filter(vals, lambda v: v <= x)) / F.size(vals))
-
-
 # --- compounding -----------------------------------------------------------------
 
 def compound(r) -> Column:

@@ -1,9 +1,9 @@
 """Point-in-time joins: as-of, as-of with tolerance, snapshots, validity intervals.
 
 The ordered step never sees the left rows themselves, only the distinct (key, date)
-needles.  Without a key that is one row per day of the calendar; with a key one row per
-day and key, so a hot key is bounded by the calendar and its rows are matched by the
-equi-join at the end.
+needles and one right row per (key, date), and it orders them month by month: what goes from one
+month to the next is one row per (key, month).  The left rows are matched by the equi-join
+at the end.
 """
 
 from __future__ import annotations
@@ -13,15 +13,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def asof_keys(left: DataFrame, right: DataFrame, on: str = "date", by: tuple[str, ...] = (), right_on: str | None = None,
               tolerance_days: int | None = None) -> DataFrame:
-    """Distinct (by, on) of the left with ``__r``, the latest right row at or before ``on``."""
+    """Distinct (by, on) of the left with ``__r``, the latest right row at or before ``on``; of right rows with one
+    (by, date) the greatest by their columns in order.
+
+    Two levels: the last right row so far within each (by, month), and for needles before the first right row of
+    their month the last row of the months before, from a table of one row per (by, month).  So a side
+    without a key, or with a hot one, is spread over its months."""
     right_on = right_on or on
     keep = [c for c in right.columns if c not in by]
-    hay = right.select(*by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.struct(*keep).alias("__v"))
-    needles = left.select(*by, F.col(on).alias("__t")).distinct().select("*", F.lit(1).alias("__side"))
-    both = hay.unionByName(needles, allowMissingColumns=True)
+    hay = right.where(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("__t")).agg(F.max(F.struct(*keep)).alias("__v")).withColumn("__side", F.lit(0))
+    needles = left.select(*by, F.col(on).alias("__t")).where("__t IS NOT NULL").distinct().withColumn("__side", F.lit(1))
+    both = hay.unionByName(needles, allowMissingColumns=True).withColumn("__m", F.trunc("__t", "month"))
     # The right side sorts first on equal dates, so equality matches.
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.select(*by, "__t", "__side", F.last("__v", ignorenulls=True).over(w).alias("__r")).filter("__side = 1")
+    w = Window.partitionBy(*by, "__m").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("__in", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    months = both.groupBy(*by, "__m").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__t"))).alias("__last"))
+    carry = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__m").alias("__month"), F.last("__last", ignorenulls=True).over(carry).alias("__before"))
+    same = F.col("__m") == F.col("__month")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    hit = hit.join(months, same).select(*by, "__t", F.coalesce("__in", "__before").alias("__r"))
     if tolerance_days is not None:
         hit = hit.withColumn("__r", F.when(F.datediff("__t", F.col(f"__r.{right_on}")) <= tolerance_days, F.col("__r")))
     return hit.select(*by, F.col("__t").alias(on), "__r")

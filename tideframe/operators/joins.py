@@ -63,3 +63,12 @@ def substitute_proxy(rows: DataFrame, unresolved: DataFrame, prices: DataFrame,
     flagged = rows.join(unresolved.select(F.col(component)).distinct().withColumn("__u", F.lit(True)), component, "left")
     key = F.when(F.col("__u"), F.col(fund)).otherwise(F.col(component))
     return flagged.withColumns({"symbol": key, "proxied": F.coalesce("__u", F.lit(False))}).drop("__u").join(prices, "symbol")
+
+
+def aligned(series: DataFrame, benchmarks: DataFrame, by: str, value: str, benchmark: str, date: str = "date", entity: str = "symbol") -> DataFrame:
+    """Each entity and its benchmark on the dates on which both have a value, with their ratio since the first
+    such date (``rs``) and the number of such dates (``shared``)."""
+    d = series.where(F.col(value).isNotNull()).join(benchmarks.where(F.col(benchmark).isNotNull()), [date, by])
+    w = Window.partitionBy(entity)
+    since = lambda c: F.col(c) / F.first(c).over(w.orderBy(date))
+    return d.withColumns({"rs": since(value) / since(benchmark), "shared": F.count(F.lit(1)).over(w)})
