@@ -342,19 +342,37 @@ def _(t):
 
 def vector(t):
     d = sent(t).join(t.risk.select("date", F.col("score").alias("peak_fragility_score_0_100")), "date", "left")
-    return RV.risk_vector(d)
+    return RV.two_pass_vector(d, t.market)
 
 
 _have = set(HAVE) | {"risk_off_score"}
 _c1 = ", ".join(f"round({wmean(w, _have)},8) AS {k}" for k, w in RV.COMPONENTS.items())
 _all = set(RV.VECTOR) | {"risk_off_score"}
-VECTOR = SENT + f""", v1 AS (SELECT sent.*, sent.v AS risk_off_score, r.score AS pk, {_c1.replace('risk_off_score', 'v')} FROM sent LEFT JOIN {RISK} r ON r.date=sent.date),
- v2 AS (SELECT *, round({wmean(RV.SAFE_ROTATION, {'hedge_demand'})},8) AS safe_rotation_stress, {clipped('pk')} AS peak_fragility, 0.0 AS analog_history_risk, 0.0 AS correction_pressure FROM v1),
- v3 AS (SELECT *, {', '.join(f'round({psum(w, _all)},8) AS {k}' for k, w in RV.AXES.items())} FROM v2), v4 AS (SELECT *, round({psum(RV.COMPOSITE, _all | set(RV.AXES))},8) AS composite_vector_risk FROM v3),
- vec AS MATERIALIZED (SELECT *, CASE """ + " ".join(f"WHEN {c}=greatest({','.join(RV.VECTOR)}) THEN '{c}'" for c in RV.VECTOR) + """ END AS dominant_risk_vector, CASE WHEN composite_vector_risk>=70 THEN 'Crisis' WHEN composite_vector_risk>=55 THEN 'Risk-Off' WHEN composite_vector_risk>=40 THEN 'Warning' WHEN composite_vector_risk>=25 THEN 'Fragile' ELSE 'Normal' END AS risk_phase,
- CASE WHEN liquidity_axis_x>=55 AND market_breakdown_axis_y>=55 THEN 'Full Risk-Off' WHEN peak_fragility>=60 AND market_breakdown_axis_y<45 AND liquidity_axis_x<45 THEN 'Fragile Peak' WHEN liquidity_credit_stress>=55 AND volatility_stress>=45 THEN 'Credit/Liquidity Shock'
+
+
+def vector_sql(p, source, analog, correction):
+    """Tables <p>v1 ... <p>vec of one pass over the sentinel table ``source``."""
+    return f"""{p}v1 AS (SELECT s.*, s.v AS risk_off_score, r.score AS pk, {_c1.replace('risk_off_score', 's.v')} FROM {source} s LEFT JOIN {RISK} r ON r.date=s.date),
+ {p}v2 AS (SELECT x.*, round({wmean(RV.SAFE_ROTATION, {'hedge_demand'})},8) AS safe_rotation_stress, {clipped('pk')} AS peak_fragility, {analog} AS analog_history_risk, {correction} AS correction_pressure FROM {p}v1 x{'' if p else ' LEFT JOIN analog an ON an.date=x.date LEFT JOIN corr co ON co.date=x.date'}),
+ {p}v3 AS (SELECT *, {', '.join(f'round({psum(w, _all)},8) AS {k}' for k, w in RV.AXES.items())} FROM {p}v2), {p}v4 AS (SELECT *, round({psum(RV.COMPOSITE, _all | set(RV.AXES))},8) AS composite_vector_risk FROM {p}v3),
+ {p}vec AS MATERIALIZED (SELECT *, CASE """ + " ".join(f"WHEN {c}=greatest({','.join(RV.VECTOR)}) THEN '{c}'" for c in RV.VECTOR) + """ END AS dominant_risk_vector, CASE WHEN composite_vector_risk>=70 THEN 'Crisis' WHEN composite_vector_risk>=55 THEN 'Risk-Off' WHEN composite_vector_risk>=40 THEN 'Warning' WHEN composite_vector_risk>=25 THEN 'Fragile' ELSE 'Normal' END AS risk_phase,
+ CASE WHEN liquidity_axis_x>=55 AND market_breakdown_axis_y>=55 THEN 'Full Risk-Off' WHEN correction_pressure>=60 AND peak_fragility>=45 AND liquidity_axis_x<45 THEN 'Correction Pressure' WHEN peak_fragility>=60 AND market_breakdown_axis_y<45 AND liquidity_axis_x<45 THEN 'Fragile Peak' WHEN liquidity_credit_stress>=55 AND volatility_stress>=45 THEN 'Credit/Liquidity Shock'
  WHEN fx_external_stress>=55 AND external_supply_axis_z>=45 THEN 'FX/External Stress' WHEN inflation_supply_stress>=55 AND equity_breakdown_stress<45 THEN 'Inflation/Supply Shock' WHEN equity_breakdown_stress>=50 AND liquidity_axis_x<45 THEN 'Technical Equity Breakdown'
- WHEN peak_fragility>=48 THEN 'Peak Warning' WHEN greatest(liquidity_axis_x,market_breakdown_axis_y,external_supply_axis_z)<30 THEN 'Calm Risk-On' ELSE 'Mixed/Transition' END AS risk_archetype FROM v4)"""
+ WHEN peak_fragility>=48 THEN 'Peak Warning' WHEN greatest(liquidity_axis_x,market_breakdown_axis_y,external_supply_axis_z)<30 THEN 'Calm Risk-On' ELSE 'Mixed/Transition' END AS risk_archetype FROM """ + p + "v4)"
+
+
+_AS = RV.ANALOG_STATE
+_aok = lambda f: f"(q.{f} IS NOT NULL AND q.c_{f}/(q.idx-21.0)>0.8 AND q.s_{f}>1e-12)"
+_aused = "+".join(f"{_aok(f)}::INT" for f in _AS)
+_ad2 = "+".join(f"CASE WHEN {_aok(f)} THEN pow(coalesce((h.{f}-q.m_{f})/q.s_{f},0)-(q.{f}-q.m_{f})/q.s_{f},2) ELSE 0 END" for f in _AS)
+_FLAGS = "coalesce(r1<0,false)::INT AS d1, coalesce(r2<0,false)::INT AS d2, (coalesce(r2<-0.05,false) OR coalesce(lo<-0.07,false))::INT AS tl, coalesce(r1<=-0.02,false)::INT AS dr, (coalesce(r2<=-0.035,false) OR coalesce(lo<=-0.055,false))::INT AS mo, (coalesce(r1>-0.01,false) AND (coalesce(r2<=-0.03,false) OR coalesce(lo<=-0.055,false)))::INT AS de"
+VECTOR = SENT + ", " + vector_sql("p", "sent", "0.0", "0.0") + f""", after AS MATERIALIZED (SELECT date, {_FLAGS} FROM (SELECT date, lead(close,5) OVER (ORDER BY date)/close-1 AS r1, lead(close,20) OVER (ORDER BY date)/close-1 AS r2, min(close) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)/close-1 AS lo FROM {MARKET})),
+ st AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date)-1 AS idx, {', '.join(f'avg({f}) OVER h AS m_{f}, stddev_pop({f}) OVER h AS s_{f}, count({f}) OVER h AS c_{f}' for f in _AS)} FROM pvec WINDOW h AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 22 PRECEDING)),
+ nb AS (SELECT * FROM (SELECT q.date, h.date AS hist, row_number() OVER (PARTITION BY q.idx ORDER BY ({_ad2})/({_aused}), h.idx) AS rn FROM st q JOIN st h ON h.idx<q.idx-21 WHERE q.idx>=504 AND q.idx%5=0 AND {_aused}>=4) WHERE rn<=50),
+ share AS (SELECT nb.date, 0.28*avg(d1)+0.32*avg(d2)+0.25*avg(tl) AS p FROM nb JOIN after a ON a.date=nb.hist GROUP BY nb.date),
+ analog AS (SELECT x.date, round(CASE WHEN s.p IS NOT NULL THEN least(100,greatest(0,100*(s.p+0.15*coalesce(x.peak_fragility,0)/100))) ELSE 0 END,8) AS score FROM st x ASOF LEFT JOIN share s ON x.date>=s.date),
+ corr AS (SELECT date, round(least(100,greatest(0,100*(0.28*coalesce(avg(dr) OVER c,0)+0.42*coalesce(avg(mo) OVER c,0)+0.22*coalesce(avg(de) OVER c,0)+0.08*coalesce(peak_fragility,0)/100))),8) AS score FROM (SELECT st.date, st.idx, st.risk_phase, st.peak_fragility, a.dr, a.mo, a.de FROM st LEFT JOIN after a ON a.date=st.date) WINDOW c AS (PARTITION BY risk_phase ORDER BY idx RANGE BETWEEN UNBOUNDED PRECEDING AND 21 PRECEDING)),
+ """ + vector_sql("", "sent", clipped("an.score"), clipped("co.score"))
 
 
 @query("cp18_risk_vector", fin("date liquidity_axis_x market_breakdown_axis_y external_supply_axis_z composite_vector_risk dominant_risk_vector:s risk_archetype:s risk_phase:s", VECTOR + " SELECT * FROM vec"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, col, ladder, ratio, total
+from tideframe.operators import analogs as A
+from tideframe.operators.asof import asof_join
+from tideframe.session import staged
 
 
 def phase(score) -> Column:
@@ -50,6 +54,7 @@ def plain_sum(df: DataFrame, weights: dict[str, float]) -> Column:
 
 
 def archetype() -> Column:
+    """Name of the state of the vector; thresholds are fixed values."""
     x, y, z = (F.col(c) for c in AXES)
     v = {k: F.col(k) for k in VECTOR}
     peak, credit, fx, vol = v["peak_fragility"], v["liquidity_credit_stress"], v["fx_external_stress"], v["volatility_stress"]
@@ -75,6 +80,54 @@ def risk_vector(df: DataFrame) -> DataFrame:
     return d.withColumns({"dominant_risk_vector": dominant(VECTOR), "risk_archetype": archetype(), "risk_phase": phase("composite_vector_risk")})
 
 
+# Weights of the analog and the correction score, and the outcomes that count as a correction.
+ANALOG = {"down_prob_1w": 0.28, "down_prob_1m": 0.32, "tail_prob_1m": 0.25}
+ANALOG_PEAK = 0.15
+ANALOG_STATE = ["liquidity_axis_x", "market_breakdown_axis_y", "external_supply_axis_z", "peak_fragility", "composite_vector_risk"]
+OUTCOME_ROWS = 21
+
+
+def outcomes(closes: DataFrame) -> DataFrame:
+    """date, returns and worst returns over the next 5 and 20 rows, and the outcomes of both models as 0/1."""
+    w = R.day()
+    d = closes.select("date", R.forward_return("close", 5, w).alias("ret_1w"), R.forward_return("close", 20, w).alias("ret_1m"), R.forward_min_any("close", 20, w).alias("min_1m"))
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    week, month, low = F.col("ret_1w"), F.col("ret_1m"), F.col("min_1m")
+    flags = {"down_1w": is_(week < 0), "down_1m": is_(month < 0), "tail": is_(month < -0.05) | is_(low < -0.07), "drop": is_(week <= -0.02),
+             "month": is_(month <= -0.035) | is_(low <= -0.055), "delayed": is_(week > -0.01) & (is_(month <= -0.03) | is_(low <= -0.055))}
+    return d.withColumns({k: c.cast("int") for k, c in flags.items()})
+
+
+def analog_scores(first: DataFrame, after: DataFrame, k: int = 50, min_history: int = 504, step: int = 5) -> DataFrame:
+    """date, analog_risk_score_0_100: outcome shares of the nearest earlier days by the state of the first pass,
+    from the last searched day on or before each date."""
+    near = A.point_in_time_analogs(first, ANALOG_STATE, k, min_history, OUTCOME_ROWS, step, 4)
+    days = first.select("date", (F.row_number().over(R.day()) - 1).cast("bigint").alias("idx"))
+    known = days.join(after, "date").select(F.col("idx").alias("hist_idx"), "ret_1w", "ret_1m", "min_1m", "down_1w", "down_1m", "tail")
+    stats = A.neighbour_stats(near, known, [k]).join(days, "idx").select("date", *ANALOG)
+    d = asof_join(first.select("date", "peak_fragility"), stats)
+    seen = F.col("down_prob_1w").isNotNull()
+    score = 100 * (total([F.col(c) * w for c, w in ANALOG.items()]) + ANALOG_PEAK * F.coalesce("peak_fragility", F.lit(0.0)) / 100)
+    return d.select("date", F.round(F.when(seen, clip(score, 0, 100)).otherwise(0.0), 8).alias("analog_risk_score_0_100"))
+
+
+def correction_scores(first: DataFrame, after: DataFrame) -> DataFrame:
+    """date, correction_pressure_score_0_100: shares of corrections after earlier days of the same phase of the first pass, of
+    those days whose outcome is known by then."""
+    d = first.select("date", "risk_phase", "peak_fragility", (F.row_number().over(R.day()) - 1).alias("__i")).join(after.select("date", "drop", "month", "delayed"), "date", "left")
+    w = Window.partitionBy("risk_phase").orderBy("__i").rangeBetween(Window.unboundedPreceding, -OUTCOME_ROWS)
+    p = [F.avg(c).over(w) for c in ("drop", "month", "delayed")]
+    return d.select("date", F.round(correction_policy(*p, F.col("peak_fragility"))["correction_pressure_score"], 8).alias("correction_pressure_score_0_100"))
+
+
+def two_pass_vector(df: DataFrame, closes: DataFrame) -> DataFrame:
+    """The risk vector of a first pass gives the state in which earlier days are looked up; their outcomes give the
+    analog and the correction score, with which the vector is made again."""
+    first, after = staged(risk_vector(df)), staged(outcomes(closes))
+    second = df.drop("analog_risk_score_0_100", "correction_pressure_score_0_100")
+    return risk_vector(second.join(analog_scores(first, after), "date", "left").join(correction_scores(first, after), "date", "left"))
+
+
 # Null-aware axes of the three-axis form.
 AXIS_3D = {
     "axis1_vol_credit_stress": {"volatility_score": 1.25, "credit_score": 1.25, "VIX_shock_score": 1.10, "VXN_shock_score": 0.75, "MOVE_shock_score": 0.85, "HY_OAS_shock_score": 1.20, "IG_OAS_shock_score": 0.70, "HYG_IEF_shock_score": 0.85},
@@ -140,6 +193,7 @@ def correction_policy(drop: Column, month: Column, delayed: Column, peak: Column
     return {"correction_pressure_score": s, "correction_pressure_state": ladder([(s < 35, "Normal"), (s < 50, "Watch"), (s < 65, "High")], "Extreme")}
 
 
+# Component names that count as systemic, volatility or credit, equity.
 SYSTEMIC, VOL_CREDIT, EQUITY = "VIX|VXN|MOVE|HY|IG|HYG|DXY|USDKRW|USDCNH", "VIX|VXN|MOVE|HY|IG|HYG", "SP500|NASDAQ|SOX|RUSSELL"
 
 
