@@ -430,6 +430,33 @@ def _(t):
     return w.select("date", "near", RV.peak_rule(terms).alias("s"))
 
 
+# Series that stand for economic drivers: six part types and fourteen brands; whether a move is a difference, and its sign.
+STAND_INS = {r[0]: ("type", d, r[2], r[3]) for d, r in ROLES.items()} | {n: ("brand", f"Brand#{10 * (k // 5 + 1) + k % 5 + 1}", "diff" if n.startswith("US10Y") else "return", s) for k, (n, s) in enumerate((
+    ("SOX", 1.0), ("SP500", 1.0), ("RUSSELL2000", 1.0), ("HYG_IEF", 1.0), ("COPPER", 1.0), ("HANGSENG_TECH", 1.0), ("CSI300", 1.0), ("US10Y_2Y", 1.0), ("US10Y", -1.0), ("US10Y_REAL", -1.0), ("USDKRW", -1.0), ("USDJPY", -1.0), ("MOVE", -1.0), ("VXN", -1.0)))}
+_ECON = "(" + " UNION ALL ".join(f"SELECT date, '{n}' AS driver, {'level' if kind == 'type' else 'close'} AS level FROM {DRIVERS if kind == 'type' else BRAND} WHERE {'driver' if kind == 'type' else 'symbol'}='{key}'" for n, (kind, key, _, _) in STAND_INS.items()) + ")"
+
+
+def stand_ins(t):
+    """date, driver, level of all twenty drivers."""
+    name = lambda kind, c: F.create_map(*[F.lit(x) for n, (k, key, _, _) in STAND_INS.items() if k == kind for x in (key, n)])[F.col(c)]
+    types = t.drivers.select("date", name("type", "driver").alias("driver"), "level")
+    return types.unionByName(t.brand.select("date", name("brand", "symbol").alias("driver"), F.col("close").alias("level"))).where("driver IS NOT NULL")
+
+
+_CX = {"nasdaq_sox_rs_20d": "n20-s20", "nasdaq_sp500_rs_20d": "n20-p20", "nasdaq_russell_rs_20d": "n20-u20", "sox_sp500_rs_20d": "s20-p20", "credit_equity_divergence": "n20-c20", "vol_complacency_reversal": "-vz-abs(nh)",
+       "peak_without_riskoff": "peak_fragility-risk_off_score", "analog_peak_combo": "0.5*analog_history_risk+0.5*peak_fragility", "breakdown_acceleration": "CASE WHEN v5>0 THEN v5 WHEN v5 IS NOT NULL THEN 0 END-n5",
+       "late_cycle_pressure": "0.35*peak_fragility+0.25*analog_history_risk+0.2*fx_external_stress+0.2*liquidity_credit_stress", "rai_breadth_collapse_pressure": "0.4*rai_appetite_stress+0.35*universe_breadth_stress+0.25*safe_rotation_stress"}
+_CW = {"n20": ("NASDAQ100", "r20"), "s20": ("SOX", "r20"), "p20": ("SP500", "r20"), "u20": ("RUSSELL2000", "r20"), "c20": ("HYG_IEF", "r20"), "n5": ("NASDAQ100", "r5"), "v5": ("VIX", "r5"), "vz": ("VIX", "z252"), "nh": ("NASDAQ100", "dh60")}
+
+
+@query("cp22_cross_terms", fin("date " + " ".join(_CX), VECTOR + f""", ct AS (SELECT date, driver, level/{lag('level', 20, 'driver')}-1 AS r20, level/{lag('level', 5, 'driver')}-1 AS r5, {zs('level', 252, 84, 'driver')} AS z252, level/({g('max', 'level', 60, 20, 'driver')})-1 AS dh60 FROM {_ECON} WHERE level<>0),
+ cw AS (SELECT date, {', '.join(f"max({c}) FILTER (driver='{d}') AS {a}" for a, (d, c) in _CW.items())} FROM ct GROUP BY date)
+ SELECT cw.date, {', '.join(f'{x} AS {a}' for a, x in _CX.items())} FROM cw LEFT JOIN vec ON vec.date=cw.date"""))
+def _(t):
+    from tideframe.plans.history import correction_features, cross_terms
+    return cross_terms(correction_features(stand_ins(t)), vector(t))
+
+
 @query("cp22_correction_features", fin("date driver:s r5 r10 r20 r60 z60 z252 dh60 dh120 dm60 v20", f"""SELECT date, driver, {', '.join(f"level/{lag('level', n, 'driver')}-1 AS r{n}" for n in (5, 10, 20, 60))}, {zs('level', 60, 20, 'driver')} AS z60, {zs('level', 252, 84, 'driver')} AS z252, level/({g('max', 'level', 60, 20, 'driver')})-1 AS dh60, level/({g('max', 'level', 120, 40, 'driver')})-1 AS dh120,
  level/({g('avg', 'level', 60, 20, 'driver')})-1 AS dm60, {g('stddev_samp', 'r1', 20, 10, 'driver')} AS v20 FROM (SELECT *, level/{lag('level', 1, 'driver')}-1 AS r1 FROM {DRIVERS})"""))
 def _(t):
@@ -448,9 +475,6 @@ def _v3(c):
     return f"least(3,greatest(-3,coalesce({c},0)))"
 
 
-_RS = {"Growth": [("VIX", 0.5), ("NASDAQ100", 0.5)], "Cyclical": [("WTI", 0.6), ("DXY", 0.4)], "Defensive": [("GOLD", 0.7), ("HY_OAS", -0.3)], "Cash": [("VIX", -0.5), ("DXY", -0.5)]}
-_rs = {k: "+".join(f"({w})*{_v3('r_' + c)}" for c, w in v) for k, v in _RS.items()}
-RSW = "(SELECT date, " + ", ".join(f"max(riskon_score) FILTER (driver='{d}') AS r_{r[0]}" for d, r in ROLES.items()) + f" FROM {DFEAT} GROUP BY date)"
 
 
 def riskon(t):
@@ -458,11 +482,17 @@ def riskon(t):
     return f.select("date", *[F.col(d).alias(f"r_{r[0]}") for d, r in ROLES.items()])
 
 
-@query("cp24_rule_regime", fin("date rule_regime:s rule_confidence", f"SELECT date, CASE WHEN g>=greatest(y,d,c) THEN 'Growth' WHEN y>=greatest(d,c) THEN 'Cyclical' WHEN d>=c THEN 'Defensive' ELSE 'Cash' END AS rule_regime, 1/(1+exp(-(list_reverse_sort([g,y,d,c])[1]-list_reverse_sort([g,y,d,c])[2]))) AS rule_confidence FROM (SELECT date, round({_rs['Growth']},10) AS g, round({_rs['Cyclical']},10) AS y, round({_rs['Defensive']},10) AS d, round({_rs['Cash']},10) AS c FROM {RSW})"))
+_ROFF = "(SELECT date, driver, CASE driver " + " ".join(f"WHEN '{n}' THEN {sign}" for n, (_, _, _, sign) in STAND_INS.items()) + f" END*({zs('chg', 252, None, 'driver')}) AS r FROM (SELECT date, driver, CASE WHEN driver IN ({','.join(repr(n) for n, e in STAND_INS.items() if e[2] == 'diff')}) THEN level-{lag('level', 20, 'driver')} ELSE level/{lag('level', 20, 'driver')}-1 END AS chg FROM {_ECON} WHERE level IS NOT NULL))"
+_RG = {n: "+".join(f"({w})*coalesce(max(least(3,greatest(-3,r))) FILTER (driver='{d}' AND r IS NOT NULL),0)" for d, w in ws.items()) for n, ws in AS.REGIME_WEIGHTS.items()}
+_RN4 = dict(zip(_RG, "gydc"))
+
+
+@query("cp24_rule_regime", fin("date rule_regime:s rule_confidence", f"SELECT date, CASE WHEN g>=greatest(y,d,c) THEN 'Risk-On Growth' WHEN y>=greatest(d,c) THEN 'Risk-On Cyclical' WHEN d>=c THEN 'Defensive / Rate-Cut' ELSE 'Risk-Off / Cash' END AS rule_regime, 1/(1+exp(-(list_reverse_sort([g,y,d,c])[1]-list_reverse_sort([g,y,d,c])[2]))) AS rule_confidence FROM (SELECT date, {', '.join(f'round({x},10) AS {_RN4[n]}' for n, x in _RG.items())} FROM {_ROFF} GROUP BY date)"))
 def _(t):
-    v = lambda c: clip(F.coalesce(f"r_{c}", F.lit(0.0)), -3, 3)
-    scores = {k: F.round(sum((v(c) * w for c, w in ws[1:]), v(ws[0][0]) * ws[0][1]), 10) for k, ws in _RS.items()}
-    return riskon(t).select("date", *[c.alias(k) for k, c in AS.rule_regime(scores).items()])
+    rows_ = [(n, m, s > 0) for n, (_, _, m, s) in STAND_INS.items()]
+    specs_ = t.spark.createDataFrame(rows_, "driver string, transform string, higher_is_risk_on boolean")
+    scores = AS.regime_scores(AS.driver_features(stand_ins(t), specs_))
+    return scores.select("date", *[c.alias(k) for k, c in AS.rule_regime({n: F.col(f"`{n}`") for n in AS.REGIME_WEIGHTS}).items()])
 
 
 _SG = "['Cash/short bonds','USD cash','Gold','US long bonds','US IG bonds','Korea defensive','Other']"

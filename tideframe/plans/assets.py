@@ -10,6 +10,21 @@ from tideframe.operators import asof as A, factors as FA, panel as P, topk as T,
 from tideframe.session import checkpointed
 
 
+# Driver weights of the four rule regimes; a driver without a score counts as 0.
+REGIME_WEIGHTS = {
+    "Risk-On Growth": {"VIX": 0.22, "HY_OAS": 0.20, "NASDAQ100": 0.22, "SOX": 0.22, "DXY": 0.14},
+    "Risk-On Cyclical": {"COPPER": 0.22, "WTI": 0.12, "HANGSENG_TECH": 0.22, "CSI300": 0.16, "DXY": 0.14, "US10Y_2Y": 0.14},
+    "Defensive / Rate-Cut": {"US10Y": 0.28, "US10Y_REAL": 0.18, "GOLD": 0.22, "COPPER": -0.16, "SP500": -0.16},
+    "Risk-Off / Cash": {"VIX": -0.24, "HY_OAS": -0.24, "DXY": -0.18, "USDKRW": -0.18, "SOX": -0.16}}
+
+
+def regime_scores(scores: DataFrame) -> DataFrame:
+    """date and one score per rule regime from (date, driver, riskon_score), scores clipped to +-3."""
+    used = list(dict.fromkeys(d for ws in REGIME_WEIGHTS.values() for d in ws))
+    v = {d: F.max(F.when(F.col("driver") == d, clip("riskon_score", -3, 3))) for d in used}
+    return scores.groupBy("date").agg(*[F.round(total([F.coalesce(v[d], F.lit(0.0)) * w for d, w in ws.items()]), 10).alias(name) for name, ws in REGIME_WEIGHTS.items()])
+
+
 def driver_features(drivers: DataFrame, specs: DataFrame) -> DataFrame:
     """Eleven features per (date, driver).  ``specs``: driver, transform (diff/return), higher_is_risk_on."""
     w = R.by_entity("driver")
