@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideframe.llm import filters
-from tideframe.llm.shards import LETTERS, WORDS, Numbers, block_number, numbered, word_requests
+from tideframe.llm.shards import LETTERS, WORDS, Numbers, block_number, numbered, release, word_requests
 from tideframe.llm.words import bounded_batches
 from tideframe.session import STAGED, drop_folder, staged
 
@@ -207,6 +207,7 @@ class Held:
             STAGED.remove(folder)
             drop_folder(*folder)
         del self.folders[:count]
+        release(SparkSession.active())
 
 
 def phrase_counts(docs: DataFrame, group: Column, text: Column, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideframe.llm.filters import pack_numbers, unpack_numbers
 
-WORDS = 500_000
+WORDS = 1_500_000
 ENTRIES_PER_SLICE = 500_000
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z in lower case
 
@@ -42,6 +42,14 @@ def block_number() -> Iterator[int]:
         first += 1
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    Its cleaner follows the garbage collection of the driver, which may not come for long while a job has
+    round after round of shuffles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_requests(blocks: DataFrame) -> DataFrame:
     """(slice, block, grp, words, own, n) rows from blocks with a column ``vocab`` of (grp, words, own, n, size).
 
