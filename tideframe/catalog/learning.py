@@ -208,10 +208,14 @@ def _(t):
     return m.groupBy("state").agg(F.count(F.lit(1)).alias("days"), F.avg(F.array_max("probabilities")).alias("confidence")).join(label_clusters(m, "state", f), "state")
 
 
-def windows(t, n=10):
+def returns(t):
     d = t.brand.select("date", "symbol", clip(R.step_return("close", 1, R.by_entity()), -1, 1).alias("r1"), clip(R.step_return("close", 5, R.by_entity()), -1, 1).alias("r5")).dropna()
     st = LE.robust_stats(d.filter(F.col("date") <= F.lit(A).cast("date")), ["r1", "r5"])
-    return LE.sliding_windows(LE.robust_scale(d, st, ["r1", "r5"]), ["r1", "r5"], n)
+    return LE.robust_scale(d, st, ["r1", "r5"])
+
+
+def windows(t, n=10):
+    return LE.sliding_windows(returns(t), ["r1", "r5"], n)
 
 
 @query("ml14_vector_quantisation")
@@ -222,8 +226,9 @@ def _(t):
 
 
 def embedded(t):
-    w = windows(t)
-    return LE.embed(w.filter(F.col("date") <= F.lit(A).cast("date")), w, "window", 4)
+    d = staged(returns(t))
+    _, components = LE.window_components(d, ["r1", "r5"], 10, 4, F.col("date") <= F.lit(A).cast("date"))
+    return LE.embed(d, ["r1", "r5"], 10, components)
 
 
 @query("ml15_gaussian_confidence")

@@ -27,7 +27,7 @@ def _(t):
  d AS (SELECT grp, prob, sum(y) AS p, count(*) AS n FROM {UP} GROUP BY 1,2), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM d WINDOW w AS (PARTITION BY grp ORDER BY prob DESC))
  SELECT a.grp, auc, ap FROM a JOIN (SELECT grp, sum(p*tp/seen::DOUBLE)/nullif(sum(p),0) AS ap FROM c GROUP BY grp) b ON a.grp=b.grp"""))
 def _(t):
-    return PO.roc_auc(up(t), ["grp"], "prob", "y").join(PO.average_precision(up(t), ["grp"], "prob", "y"), "grp")
+    return PO.discrimination(up(t), ["grp"], "prob", "y")
 
 
 _EDGES = "[" + ",".join(repr(e) + "::DOUBLE" for e in M.ECE_EDGES) + "]"

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
@@ -276,10 +276,39 @@ def sliding_windows(df: DataFrame, features: list[str], n: int, keys: tuple[str,
     return d.filter(F.size(out) == n).withColumn(out, F.flatten(out))
 
 
-def embed(train: DataFrame, df: DataFrame, window: str, k: int, out: str = "embedding") -> DataFrame:
-    """Linear window embedding: principal components of the flattened windows."""
-    m = PCA(k=k, inputCol="__v", outputCol="__e").fit(train.withColumn("__v", array_to_vector(window)))
-    return m.transform(df.withColumn("__v", array_to_vector(window))).withColumn(out, vector_to_array("__e")).drop("__v", "__e")
+def window_components(df: DataFrame, features: list[str], n: int, k: int, train: Column, keys: tuple[str, ...] = ("symbol",), order: str = "date") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, components) of the flattened windows of n rows that end on a ``train`` row; training rows of an entity
+    come before its others.  Window entries run oldest first, features within a row.
+
+    No window is built.  A cell of the covariance multiplies one feature i rows before a window's end with another j rows before;
+    that is the product with a lag of j - i, summed over the ends, and the ends of an entity are its positions from n - 1 to its last
+    training row.  So one pass over the rows with n lags gives all cells, whose number depends on n and the features only."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.withColumns({"__pos": F.row_number().over(w) - 1, "__last": F.sum(F.coalesce(train, F.lit(False)).cast("int")).over(Window.partitionBy(*keys)) - 1})
+    d = d.withColumns({f"__{b}_{lag}": F.lag(F.col(f).cast("double"), lag).over(w) for b, f in enumerate(features) for lag in range(n)})
+    inside = lambda i: (F.col("__pos") >= n - 1 - i) & (F.col("__pos") <= F.col("__last") - i)
+    entries = [(age, a) for age in range(n - 1, -1, -1) for a in range(len(features))]
+    sums = {f"m{p}": F.sum(F.when(inside(i), F.col(f"__{a}_0"))) for p, (i, a) in enumerate(entries)}
+    for p, (i, a) in enumerate(entries):
+        for q, (j, b) in enumerate(entries[: p + 1]):  # the entry q is older: j >= i
+            sums[f"c{p}_{q}"] = F.sum(F.when(inside(i), F.col(f"__{a}_0") * F.col(f"__{b}_{j - i}")))
+    row = d.agg(F.sum(F.when(inside(0), 1)).alias("n"), *[c.alias(name) for name, c in sums.items()]).first()
+    size, count = len(entries), row["n"] or 0
+    if not count:
+        return np.zeros(size), np.zeros((k, size))
+    mean = np.array([row[f"m{p}"] for p in range(size)]) / count
+    cov = np.array([[row[f"c{max(p, q)}_{min(p, q)}"] for q in range(size)] for p in range(size)]) / count - np.outer(mean, mean)
+    vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
+    return mean, vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
+
+
+def embed(df: DataFrame, features: list[str], n: int, components: np.ndarray, keys: tuple[str, ...] = ("symbol",), order: str = "date", out: str = "embedding") -> DataFrame:
+    """Projections of each row's window onto ``components``, as weighted sums of lags; rows with a full window only."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    entries = [(age, f) for age in range(n - 1, -1, -1) for f in features]
+    d = df.withColumns({"__pos": F.row_number().over(w) - 1} | {f"__{f}_{lag}": F.lag(F.col(f).cast("double"), lag).over(w) for f in features for lag in range(n)})
+    parts = [sum((F.col(f"__{f}_{lag}") * float(x) for x, (lag, f) in zip(v[1:], entries[1:])), F.col(f"__{entries[0][1]}_{entries[0][0]}") * float(v[0])) for v in components]
+    return d.where(F.col("__pos") >= n - 1).withColumn(out, F.array(*parts)).select(*df.columns, out)
 
 
 def quantise(train: DataFrame, df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:

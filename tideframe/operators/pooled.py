@@ -60,22 +60,37 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -
     return g.select(*by, "q", (F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__f")).alias("value"))
 
 
+def class_counts(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """Rows and positives per (group, score), below it and in all."""
+    y = F.col(label)
+    return running(value_counts(df.filter(y.isNotNull()), by, score, {"n": F.lit(1), "pos": y.cast("long")}), by, ["n", "pos"])
+
+
+def auc_of_counts() -> Column:
+    """Aggregate over ``class_counts``: ROC-AUC by average ranks; null when a class is missing."""
+    p, n = F.max("pos_all").cast("double"), (F.max("n_all") - F.max("pos_all")).cast("double")
+    return ratio(F.sum(F.col("pos") * (F.col("n_below") + (F.col("n") + 1) / 2)) - p * (p + 1) / 2, p * n)
+
+
+def precision_of_counts() -> Column:
+    """Aggregate over ``class_counts``: average precision over distinct score thresholds."""
+    tp, seen = F.col("pos_all") - F.col("pos_below"), F.col("n_all") - F.col("n_below")
+    return ratio(F.sum(F.col("pos") * tp / seen), F.max("pos_all"))
+
+
 def roc_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Exact ROC-AUC by average ranks; null when a class is missing."""
-    y = F.col(label)
-    r = running(value_counts(df.filter(y.isNotNull()), by, score, {"n": F.lit(1), "pos": y.cast("long")}), by, ["n", "pos"])
-    rank = F.col("n_below") + (F.col("n") + 1) / 2
-    g = r.groupBy(*by).agg(F.sum(F.col("pos") * rank).alias("rs"), F.max("pos_all").alias("p"), F.max("n_all").alias("n"))
-    p, n = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
-    return g.select(*by, ratio(F.col("rs") - p * (p + 1) / 2, p * n).alias("auc"))
+    return class_counts(df, by, score, label).groupBy(*by).agg(auc_of_counts().alias("auc"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Exact average precision over distinct score thresholds."""
-    y = F.col(label)
-    r = running(value_counts(df.filter(y.isNotNull()), by, score, {"n": F.lit(1), "pos": y.cast("long")}), by, ["n", "pos"])
-    tp, seen = F.col("pos_all") - F.col("pos_below"), F.col("n_all") - F.col("n_below")
-    return r.groupBy(*by).agg(ratio(F.sum(F.col("pos") * tp / seen), F.max("pos_all")).alias("ap"))
+    return class_counts(df, by, score, label).groupBy(*by).agg(precision_of_counts().alias("ap"))
+
+
+def discrimination(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """Both of the above from one set of counts: auc and ap."""
+    return class_counts(df, by, score, label).groupBy(*by).agg(auc_of_counts().alias("auc"), precision_of_counts().alias("ap"))
 
 
 def mean_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
