@@ -417,19 +417,6 @@ def _pr(x):
 _PK = ["near", "ext", "decel", "calm", "gap"]
 
 
-@query("cp21_peak_fragility_rule", fin("date near:i s", f"""SELECT date, near, coalesce(least(100,greatest(0,100*(0.18*near+0.14*p1+0.16*p2+0.12*p3+0.12*p4+0.10*p4+0.08*p3+0.05*p1+0.05*p2))),0) AS s FROM (SELECT date, near, {_pr('ext')} AS p1, {_pr('decel')} AS p2, {_pr('calm')} AS p3, {_pr('gap')} AS p4 FROM
- (SELECT date, (coalesce(f/({g('max', 'f', 60, 20, '')})-1>=-0.03,false))::INT AS near, f/({g('avg', 'f', 60, 20, '')})-1 AS ext, -((f/lag(f,20) OVER (ORDER BY date)-1)-(f/lag(f,60) OVER (ORDER BY date)-1)) AS decel, -({zs('v', 252, 84, '')}) AS calm, (f/lag(f,20) OVER (ORDER BY date)-1)-(o/lag(o,20) OVER (ORDER BY date)-1) AS gap
- FROM (SELECT date, {_ff('NASDAQ100')} AS f, {_ff('VIX')} AS v, {_ff('GOLD')} AS o FROM {WIDE})))"""))
-def _(t):
-    w = wide(t).select("date", *[R.padded(c, R.day()).alias(a) for c, a in (("NASDAQ100", "f"), ("VIX", "v"), ("GOLD", "o"))])
-    w = w.select("date", F.coalesce((ratio("f", R.high("f", 60, R.day(), 20)) - 1 >= -0.03).cast("int"), F.lit(0)).alias("near"), (ratio("f", R.mean("f", 60, R.day(), 20)) - 1).alias("ext"),
-                 (-(R.step_return("f", 20, R.day()) - R.step_return("f", 60, R.day()))).alias("decel"), (-R.zscore("v", 252, R.day(), 84)).alias("calm"), (R.step_return("f", 20, R.day()) - R.step_return("o", 20, R.day())).alias("gap"))
-    w = RK.ranked(w, {c: (c, 252, True) for c in ("ext", "decel", "calm", "gap")})
-    p = {c: RK.percentile_rank(c, c, 60) for c in ("ext", "decel", "calm", "gap")}
-    terms = {"near_high": F.col("near"), "extended": p["ext"], "decel": p["decel"], "calm": p["calm"], "gap_a": p["gap"], "gap_b": p["gap"], "credit": p["calm"], "dollar": p["ext"], "rate": p["decel"]}
-    return w.select("date", "near", RV.peak_rule(terms).alias("s"))
-
-
 # Series that stand for economic drivers: six part types and fourteen brands; whether a move is a difference, and its sign.
 STAND_INS = {r[0]: ("type", d, r[2], r[3]) for d, r in ROLES.items()} | {n: ("brand", f"Brand#{10 * (k // 5 + 1) + k % 5 + 1}", "diff" if n.startswith("US10Y") else "return", s) for k, (n, s) in enumerate((
     ("SOX", 1.0), ("SP500", 1.0), ("RUSSELL2000", 1.0), ("HYG_IEF", 1.0), ("COPPER", 1.0), ("HANGSENG_TECH", 1.0), ("CSI300", 1.0), ("US10Y_2Y", 1.0), ("US10Y", -1.0), ("US10Y_REAL", -1.0), ("USDKRW", -1.0), ("USDJPY", -1.0), ("MOVE", -1.0), ("VXN", -1.0)))}
@@ -443,6 +430,27 @@ def stand_ins(t):
     return types.unionByName(t.brand.select("date", name("brand", "symbol").alias("driver"), F.col("close").alias("level"))).where("driver IS NOT NULL")
 
 
+_PKS = ["NASDAQ100", "VIX", "SOX", "RUSSELL2000", "HYG_IEF", "DXY", "US10Y"]
+_PKW = f"(SELECT date, {', '.join(f'last_value({n} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {n}' for n in _PKS)} FROM (SELECT date, {', '.join(f"max(level) FILTER (driver='{n}') AS {n}" for n in _PKS)} FROM {_ECON} GROUP BY date))"
+_r20 = lambda n: f"{n}/lag({n},20) OVER (ORDER BY date)-1"
+_PKT = {"extended": f"NASDAQ100/({g('avg', 'NASDAQ100', 60, 20, '')})-1", "decel": f"-(({_r20('NASDAQ100')})-(NASDAQ100/lag(NASDAQ100,60) OVER (ORDER BY date)-1))", "calm": f"-({zs('VIX', 252, 84, '')})",
+        "gap_a": f"({_r20('NASDAQ100')})-({_r20('SOX')})", "gap_b": f"({_r20('NASDAQ100')})-({_r20('RUSSELL2000')})", "credit": f"-({_r20('HYG_IEF')})", "dollar": _r20("DXY"), "rate": _r20("US10Y")}
+
+
+@query("cp21_peak_fragility_rule", fin("date near:i s", f"""SELECT date, near, coalesce(least(100,greatest(0,100*(0.18*near+{'+'.join(f'{RV.PEAK_RULE[k]}*p_{k}' for k in _PKT)}))),0) AS s FROM (SELECT date, near, {', '.join(f'{_pr(k)} AS p_{k}' for k in _PKT)} FROM
+ (SELECT date, (coalesce(NASDAQ100/({g('max', 'NASDAQ100', 60, 20, '')})-1>=-0.03,false))::INT AS near, {', '.join(f'{x} AS {k}' for k, x in _PKT.items())} FROM {_PKW}))"""))
+def _(t):
+    w = stand_ins(t).groupBy("date").agg(*[F.max(F.when(F.col("driver") == n, F.col("level"))).alias(n) for n in _PKS])
+    w = w.select("date", *[R.padded(n, R.day()).alias(n) for n in _PKS])
+    r20 = lambda n: R.step_return(n, 20, R.day())
+    nas = "NASDAQ100"
+    w = w.select("date", F.coalesce((ratio(nas, R.high(nas, 60, R.day(), 20)) - 1 >= -0.03).cast("int"), F.lit(0)).alias("near"), (ratio(nas, R.mean(nas, 60, R.day(), 20)) - 1).alias("extended"),
+                 (-(r20(nas) - R.step_return(nas, 60, R.day()))).alias("decel"), (-R.zscore("VIX", 252, R.day(), 84)).alias("calm"), (r20(nas) - r20("SOX")).alias("gap_a"), (r20(nas) - r20("RUSSELL2000")).alias("gap_b"),
+                 (-r20("HYG_IEF")).alias("credit"), r20("DXY").alias("dollar"), r20("US10Y").alias("rate"))
+    w = RK.ranked(w, {k: (k, 252, True) for k in _PKT})
+    return w.select("date", "near", RV.peak_rule({"near_high": F.col("near")} | {k: RK.percentile_rank(k, k, 60) for k in _PKT}).alias("s"))
+
+
 _CX = {"nasdaq_sox_rs_20d": "n20-s20", "nasdaq_sp500_rs_20d": "n20-p20", "nasdaq_russell_rs_20d": "n20-u20", "sox_sp500_rs_20d": "s20-p20", "credit_equity_divergence": "n20-c20", "vol_complacency_reversal": "-vz-abs(nh)",
        "peak_without_riskoff": "peak_fragility-risk_off_score", "analog_peak_combo": "0.5*analog_history_risk+0.5*peak_fragility", "breakdown_acceleration": "CASE WHEN v5>0 THEN v5 WHEN v5 IS NOT NULL THEN 0 END-n5",
        "late_cycle_pressure": "0.35*peak_fragility+0.25*analog_history_risk+0.2*fx_external_stress+0.2*liquidity_credit_stress", "rai_breadth_collapse_pressure": "0.4*rai_appetite_stress+0.35*universe_breadth_stress+0.25*safe_rotation_stress"}

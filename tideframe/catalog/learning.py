@@ -174,7 +174,10 @@ def _(t):
     return IS.expanding_isotonic(d, "x", "y").select("date", "symbol", "x", "calibrated")
 
 
-@query("ml09_isotonic_calibration")
+@query("ml09_isotonic_calibration", fin("date symbol prob calibrated", f"""WITH w AS (SELECT prob AS x, count(*) AS n, sum(y) AS s FROM {UP} WHERE date<=DATE '{A}' GROUP BY 1), c AS (SELECT *, sum(n) OVER o AS cn, sum(s) OVER o AS cs FROM w WINDOW o AS (ORDER BY x)),
+ i AS (SELECT a.x AS lo, b.x AS hi, min((b.cs-a.cs+a.s)/(b.cn-a.cn+a.n)::DOUBLE) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS least FROM c a JOIN c b ON a.x<=b.x), f AS (SELECT hi AS x, max(least) AS v FROM i GROUP BY 1),
+ e AS (SELECT q.x, max(f.x) FILTER (f.x<=q.x) AS x1, min(f.x) FILTER (f.x>=q.x) AS x2 FROM (SELECT DISTINCT prob AS x FROM {UP} WHERE date>DATE '{A}') q, f GROUP BY 1)
+ SELECT u.date, symbol, prob, CASE WHEN x1 IS NULL THEN b.v WHEN x2 IS NULL OR x1=x2 THEN a.v ELSE a.v+(b.v-a.v)*(prob-x1)/(x2-x1) END AS calibrated FROM {UP} u JOIN e ON e.x=u.prob LEFT JOIN f a ON a.x=x1 LEFT JOIN f b ON b.x=x2 WHERE u.date>DATE '{A}'"""))
 def _(t):
     d = scored(t)
     return LE.isotonic(d.filter("split = 'train'"), d.filter("split <> 'train'"), "prob", "y").select("date", "symbol", "prob", "calibrated")

@@ -68,11 +68,13 @@ def implied_candidates(ticker) -> Column:
 
 def match_name(name) -> Column:
     """Name for matching: bracketed parts and spaces dropped, upper case."""
+    # The pattern defines which names match.
     return F.upper(F.regexp_replace(col(name), r"\s+|\(.*?\)|\[.*?\]", ""))
 
 
 def search_name(name) -> Column:
     """Name for a search: leading markers, share class and repeated spaces dropped."""
+    # The markers that are dropped.
     q = F.trim(F.regexp_replace(col(name), r"(?i)^\((dup|선|합성|현물)\)\s*", ""))
     q = F.trim(F.regexp_replace(q, r"(?i)^\s*dup\s+", ""))
     q = F.trim(F.regexp_replace(q, r"\s+-[A-Z]$", ""))
@@ -95,6 +97,7 @@ def match_score(item, name, other=None) -> Column:
 
 def name_aliases(name) -> Column:
     """Sorted distinct spellings of a company name: class and legal form dropped or replaced."""
+    # Legal forms and the spellings made of a name.
     base = F.trim(F.regexp_replace(col(name), r"\s+", " "))
     plain = F.trim(F.regexp_replace(base, r"(?i)\s+Class\s+[A-Z]$", ""))
     bare = F.regexp_replace(plain, "[.,]", "")

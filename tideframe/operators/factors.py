@@ -1,6 +1,7 @@
 """Technical factors: daily columns as entity windows, then one row per symbol from the last
 bars.  ``daily`` costs one shuffle on the symbol; every last-row factor is a conditional
-aggregate over the last 260 bars, so all of them share one pass."""
+aggregate over the last ``keep`` bars, so all of them share one pass.  No factor looks back further
+than ``KEEP`` bars; one that would is an error rather than null."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from tideframe.functions import rolling as R
 from tideframe.functions.scalar import clip, col, flag, ratio
 from tideframe.operators import folds, panel as P, topk as T
 
+#: Bars kept per symbol; the longest look-back of the factors here is 252 bars.
 KEEP = 260
 
 
@@ -52,11 +54,13 @@ def daily(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return folds.obv(d, keys=keys)
 
 
-def last_bars(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return T.last_rows(daily(bars, keys), KEEP, keys)
+def last_bars(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), keep: int = KEEP) -> DataFrame:
+    return T.last_rows(daily(bars, keys), keep, keys)
 
 
 def enough(n: int, x: Column) -> Column:
+    if n > KEEP:
+        raise ValueError(f"a factor over {n} bars needs more than the {KEEP} bars kept")
     return F.when(F.max("rn") >= n, x)
 
 

@@ -162,7 +162,8 @@ def walkforward_thresholds(df: DataFrame, scores: list[str], targets: list[str],
     step, for a date-level table.  Returns date, score_name, target_name, score, target, threshold, signal.
 
     Each fold has its own grid (51 quantiles of its training scores); training rows are binned
-    against it and swept, so a fold costs its rows once.
+    against it and swept.  A training row is copied once per fold that holds it, so the work
+    grows with rows x folds: it is for series of one row per day.
     """
     from tideframe.operators import sweep as SW
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.lit(t).alias("target_name"), F.col(s).cast("double").alias("score"), F.col(t).cast("int").alias("target")) for s in scores for t in targets]))

@@ -2,7 +2,8 @@
 
 Windows partitioned by date hold one row per entity of the universe.  ``day_stats``
 is the alternative for very wide universes: a map-side combined aggregate per date
-that is joined back, so no task ever holds a whole date.
+that is joined back.  Its moments are a few numbers per date; its exact percentiles keep
+the values of a date in the task that sums it.
 """
 
 from __future__ import annotations
