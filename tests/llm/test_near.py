@@ -133,6 +133,25 @@ def test_near_vectors(spark, options):
     assert collisions.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_link(spark):
+    rows = [(1, [3e200, 4e200]), (2, [3e-200, 4e-200]), (3, [3.0, 4.0]), (4, [-3e300, -4e300]), (5, [5e-324, 0.0]), (6, [1e308, 0.0]), (7, [0.0, 0.0])]
+    got = {r.vec_id: tuple(r)[1:] for r in collisions.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True)}
+
+
+def test_op4_equals_sql(spark, tmp_path):
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((120, 16))
+    near = x[rnd.integers(0, 12, 150)] + 0.2 * rnd.standard_normal((150, 16))
+    rows = [(k, v.astype(np.float32).tolist(), 0) for k, v in enumerate(np.concatenate([x, near]))] + [(500, [0.0] * 16, 1), (501, None, 1), (502, [float("nan")] * 16, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op4_near_vectors"]).fetchall()
+    got = sorted(tuple(r) for r in queries.op4_near_vectors(spark, str(tmp_path)).collect())
+    assert got == sorted(want) and any(r[1] for r in got)
+
+
 def test_plan_is_calibrated():
     rnd = np.random.default_rng(5)
     plan = collisions.Plan(20_000, 0.9)
@@ -167,6 +186,93 @@ def votes(texts):
     return {name: (patterns // 3**k % 3).tolist() for k, name in enumerate(weak_labels.LABELLERS)}
 
 
+def plain_read(text):
+    """(votes by labeller, features) of one text, word by word."""
+    words = text.split()
+    n, chars = len(words), max(len(text), 1)
+    facts = [weak_labels.word_facts(w) for w in words]
+    symbols, capitals, ends, marks = (sum(f[k] for f in facts) for k in range(1, 5))
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    varied = weak_labels.variety(words, Counter(words))
+    enough, readable = n >= weak_labels.FEW, n > 0 and chars >= weak_labels.FEW
+    some = max(n, 1)
+    bounds = {  # value, good within, junk outside
+        "symbols": ((symbols - (0 if enough else ends)) / chars, 0, 0.045, 0, 0.075), "capitals": (capitals / chars, 0, 0.06, 0, 0.2), "variety": (varied, 0.55, 1, 0.4, 1),
+        "repeats": (same / some, 0, 0.02, 0, 0.1), "marks": (marks / some, 0, 0.03, 0, 0.15), "sentences": (ends / some, 0.06, 0.25, 0.03, 0.4), "word_length": (chars / some, 5, 7, 4.2, 8),
+    }
+    said = {}
+    for name, (v, a, b, c, d) in bounds.items():
+        votes_at = enough or (readable and name in weak_labels.PER_CHARACTER)
+        said[name] = 2 if not votes_at else 0 if a <= v <= b else 1 if v < c or v > d else 2
+    features = defaultdict(float, {0: 1.0, 1: 1 - varied if enough else 0.0, 2: (same / some) ** 0.5})
+    for shape, times in Counter(f[0] for f in facts).items():
+        features[shape] = (times / some) ** 0.5
+    return tuple(said[name] for name in weak_labels.LABELLERS), features
+
+
+def plain_posteriors(patterns, counts, rounds=50):
+    """P(junk) of each pattern by expectation-maximisation in loops."""
+    flagged = [frozenset(k for k, v in enumerate(p) if v == 1) for p in patterns]
+    total = sum(c for f, c in zip(flagged, counts) if f)
+    kinds = sorted((f for f in set(flagged) if f and sum(c for g, c in zip(flagged, counts) if g == f) >= 0.01 * total), key=lambda f: sum(1 << k for k in f))
+    states = []
+    for f in flagged:
+        if not f:
+            row = [1.0] + [0.0] * len(kinds)
+        elif f in kinds:
+            row = [0.0] + [float(f == k) for k in kinds]
+        else:
+            row = [0.0] + [len(f & k) / max(len(f), len(k)) for k in kinds]
+        states.append([x / sum(row) for x in row] if sum(row) else [1.0] + [0.0] * len(kinds))
+    for _ in range(rounds):
+        weight = [[s * c for s in row] for row, c in zip(states, counts)]
+        size = len(kinds) + 1
+        logs = [[np.log(sum(w[k] for w in weight) + weak_labels.FLOOR) for k in range(size)] for _ in patterns]
+        for j in range(len(patterns[0])):
+            voted = [sum(w[k] for w, p in zip(weight, patterns) if p[j] != 2) for k in range(size)]
+            for v in (0, 1):
+                same = [sum(w[k] for w, p in zip(weight, patterns) if p[j] == v) for k in range(size)]
+                for row, p in zip(logs, patterns):
+                    if p[j] == v:
+                        for k in range(size):
+                            row[k] += np.log((same[k] + weak_labels.FLOOR) / (voted[k] + 2 * weak_labels.FLOOR))
+        states = [(lambda e: [x / sum(e) for x in e])([np.exp(x - max(row)) for x in row]) for row in logs]
+    return [1 - row[0] for row in states]
+
+
+def test_votes_features_and_posteriors_equal_a_plain_version():
+    texts = [r[0] for r in duckdb.sql("select coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    texts += ["", " ", "a a a a", "word " * 400, "one. two, three " * 90, texts[3], texts[3], "$$$ !!! %%%", "x" * 50_000]
+    read = weak_labels.Read(texts, weak_labels.Facts())
+    rows = [plain_read(t) for t in texts]
+    assert [tuple(p // 3**k % 3 for k in range(7)) for p in read.patterns.tolist()] == [v for v, _ in rows]
+    got = [defaultdict(float) for _ in texts]
+    for t, f, v in zip(read.text.tolist(), read.feature.tolist(), read.value.tolist()):
+        got[t][f] += v
+    for mine, (_, want) in zip(got, rows):
+        assert {k: v for k, v in mine.items() if v} == pytest.approx({k: v for k, v in want.items() if v})
+    counts = Counter(v for v, _ in rows)
+    patterns = sorted(counts)
+    mine = weak_labels.estimate(np.array(patterns), np.array([counts[p] for p in patterns], dtype=float))
+    assert mine.tolist() == pytest.approx(plain_posteriors(patterns, [counts[p] for p in patterns]), abs=1e-4)
+
+
+def test_scores_are_those_of_the_features(spark):
+    """Same rows, scored from staged features and from the text alone; ties and repeated rows get one score."""
+    rows = [(k % 7, t) for k, t in enumerate(["fine words of a text, and more of them." * 4, "$$$ !!! %%%", "", None, "a a a a a a a a"] * 8)]
+    scored, score = weak_labels.judged(spark.createDataFrame(rows, "doc_id long, text string"), keep=["text"])
+    assert scored.columns == ["text", "junk_score"]
+    by = defaultdict(set)
+    for r in scored.collect():
+        by[r.text or ""].add(r.junk_score)
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 4
+    weights = np.linspace(-1, 1, weak_labels.SIZE)
+    f = spark.createDataFrame([(t,) for t in by], "text string").withColumn("f", weak_labels.features(spark)("text"))
+    for r in f.select("text", weak_labels.scorer(spark, weights)(F.col("f.at"), F.col("f.value")).alias("p")).collect():
+        z = sum(weights[k] * v for k, v in plain_read(r.text)[1].items())
+        assert r.p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def joined(lang, words, quality=1):
     """Labelled texts of one language end to end until they have ``words`` words."""
     rows = duckdb.sql(f"select text from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) where quality = {quality} and lang = '{lang}' order by doc_id").fetchall()

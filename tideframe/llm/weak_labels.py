@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideframe.llm.words import Memo, bounded_batches, kept
+from tideframe.session import staged
 
 LABELLERS = ("symbols", "capitals", "variety", "repeats", "marks", "sentences", "word_length")
 PER_CHARACTER = ("symbols", "capitals")
@@ -181,58 +182,63 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 500, rate: float = 0.1, ridg
     return w.astype(np.float64)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000) -> np.ndarray | None:
-    """Weights of the scorer (``SIZE`` numbers), or None for a table without rows."""
-    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast({})
-    run = reader(shared)
+def features(spark: SparkSession):
+    """A column function text -> (pattern of votes, numbers and values of the features), packed in 2 and 4 bytes."""
+    run = reader(bounded_batches(spark).sparkContext.broadcast({}))
+    kind = pa.struct([("pattern", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
 
-    @F.arrow_udf("int")
-    def pattern(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<pattern: int, at: binary, value: binary>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *(r.patterns for r in run(batch.to_pylist()))]).astype(np.int32))
-
-    @F.arrow_udf("struct<pattern: int, at: array<int>, value: array<double>>")
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("pattern", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
-        for batch in batches:
-            rows = [{"pattern": p, "at": r.feature[r.text == k].tolist(), "value": r.value[r.text == k].tolist()} for r in run(batch.to_pylist()) for k, p in enumerate(r.patterns.tolist())]
+            rows = []
+            for r in run(batch.to_pylist()):
+                order = np.argsort(r.text, kind="stable")
+                cuts = np.searchsorted(r.text[order], np.arange(len(r.patterns) + 1))
+                at, value = r.feature[order].astype("<u2"), r.value[order].astype("<f4")
+                rows += [{"pattern": p, "at": at[lo:hi].tobytes(), "value": value[lo:hi].tobytes()} for p, lo, hi in zip(r.patterns.tolist(), cuts, cuts[1:])]
             yield pa.array(rows, type=kind)
 
-    found = docs.select(pattern(F.col(text_col)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    return read
+
+
+def train(read: DataFrame, train_rows: int) -> np.ndarray | None:
+    """Weights of the scorer (``SIZE`` numbers) from rows of (draw, read), or None without rows."""
+    found = read.groupBy(F.col("read.pattern").alias("pattern")).agg(F.count("*").alias("n")).collect()  # at most 3^7 rows
     if not found:
         return None
     codes, counts = np.array([r["pattern"] for r in found]), np.array([r["n"] for r in found], dtype=float)
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
     junk = dict(zip(codes.tolist(), estimate(codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, counts)))
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
     share = min(1.0, 1.2 * train_rows / counts.sum())
-    sample = docs.where(draw <= F.lit(min(int(share * 2**63), 2**63 - 1))).select(draw.alias("draw"), F.col(text_col).alias("text")).orderBy("draw").limit(train_rows)
-    rows = sample.select(features("text").alias("f")).select("f.*").collect()
+    sample = read.where(F.col("draw") <= F.lit(min(int(share * 2**63), 2**63 - 1))).orderBy("draw").limit(train_rows)
+    rows = sample.select("read.*").collect()
     x, y = np.zeros((len(rows), SIZE), dtype=np.float32), np.zeros(len(rows), dtype=np.float32)
     for k, r in enumerate(rows):
-        x[k, r["at"]] = r["value"]
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
         y[k] = junk[r["pattern"]]
     return fit(x, y)
 
 
 def scorer(spark: SparkSession, weights: np.ndarray):
-    """A column function text -> double: probability that the text is junk."""
-    shared = bounded_batches(spark).sparkContext.broadcast({"weights": weights})  # SIZE numbers
-    run = reader(shared)
+    """A column function (numbers, values of features) -> double: probability that the text is junk."""
+    shared = spark.sparkContext.broadcast(weights)  # SIZE numbers
 
     @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w = shared.value["weights"]
-        for batch in batches:
-            sums = [np.bincount(r.text, weights=w[r.feature] * r.value, minlength=len(r.patterns)) for r in run(batch.to_pylist())]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *sums]), -500, 500))))
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for at, value in batches:
+            sums = [float(shared.value[np.frombuffer(a, "<u2")] @ np.frombuffer(v, "<f4")) for a, v in zip(at.to_pylist(), value.to_pylist())]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(sums), -500, 500))))
 
     return score
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000) -> tuple[DataFrame, Column]:
-    """``docs`` with a column junk_score (an input column of that name is replaced), and the score column."""
-    weights = train(docs, id_col, text_col, train_rows)
-    score = F.lit(None).cast("double") if weights is None else scorer(docs.sparkSession, weights)(F.col(text_col))
-    return docs.withColumn("junk_score", score), F.col("junk_score")
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000, keep: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """The columns ``keep`` (all without it) of ``docs`` with a column junk_score (an input column of that name is replaced), and
+    the score column.  Each text is read once: votes and features are staged beside the kept columns."""
+    columns = [c for c in docs.columns if c != "junk_score" and (keep is None or c in keep)]
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
+    rows = staged(docs.select(F.struct(*columns).alias("row"), draw.alias("draw"), features(docs.sparkSession)(F.col(text_col)).alias("read")))
+    weights = train(rows.select("draw", "read"), train_rows)
+    score = F.lit(None).cast("double") if weights is None else scorer(docs.sparkSession, weights)(F.col("read.at"), F.col("read.value"))
+    return rows.select("row.*", score.alias("junk_score")), F.col("junk_score")
