@@ -130,7 +130,7 @@ def test_elias_fano():
         values = np.sort(rnd.integers(0, top, n)).astype(np.uint64)
         packed = tokenfile.EliasFano.of(values).pack()
         back, end = tokenfile.EliasFano.unpack(memoryview(packed), 0)
-        assert end == len(packed) and (back.values() == values).all()
+        assert end == len(packed) and [v for k in range(0, n, tokenfile.STEP) for v in back.stretch(k).tolist()] == values.tolist()
         assert [back.select(k) for k in range(0, n, 37)] == values[::37].tolist()
 
 
@@ -155,7 +155,7 @@ def test_token_files(spark, docs, tmp_path):
 
 def test_library_words_equal_library_texts():
     definition = open(P.path("word_bpe_49k.json")).read()
-    library, texts = Tokenizer.from_str(definition), [*odd_texts(), "A<|endoftext|>b <|endoftext|> É é ΣΑΣ İ"]
+    library, texts = Tokenizer.from_str(definition), [*odd_texts(), *punctuated(), "one, two. three,, four., five,. ,six .seven 8, é, ǅ. ª,", "A<|endoftext|>b <|endoftext|> É é ΣΑΣ İ"]
     got = [np.frombuffer(p, "<u2").tolist() for p in tokenfile.LibraryEncoder(definition, 2).encode(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -195,6 +195,15 @@ def test_op5(spark, small):
     assert got == plain_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
 
 
+def test_op5_equals_sql(spark, tmp_path):
+    rows = [(1, 0, "user", "hi <|im_end|> <\\| <\\\\| ok"), (1, 1, "assistant", None), (1, 2, "assistant", "é<|x"), (2, 0, None, "x"), (2, 3, "assi\nstant\\", "\n\ny\n"), (3, 5, "assistant", "<|im_start|>assistant ok")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op5_chat_format"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op5_chat_format(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_op10(spark, small):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want, at = [], 0

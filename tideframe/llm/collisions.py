@@ -78,7 +78,9 @@ def arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.diff(offsets)
     for dim in np.unique(sizes):
         at = np.flatnonzero(sizes == dim)
-        yield at, values[offsets[at][:, None] + np.arange(dim)].astype(np.float64)
+        x = values[offsets[at][:, None] + np.arange(dim)].astype(np.float64)
+        # each vector times a power of 2, which changes no cosine: squares of very large or small components stay finite
+        yield at, np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -134,7 +136,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4,
     spark = bounded_batches(vectors.sparkSession)
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
     v = F.transform("embedding", lambda x: x.cast("double"))
-    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists(v, lambda x: x != 0), F.lit(False))
+    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     classes = staged(rows.where(fine).groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
     plan = Plan(classes.count(), threshold, miss, **options)
     shared = spark.sparkContext.broadcast(plan)  # a few numbers

@@ -36,7 +36,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, score = weak_labels.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored, score = weak_labels.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return scored.select("doc_id", score.alias("junk_score"), (score < weak_labels.JUNK_FROM).alias("kept"))
 
 
@@ -158,4 +158,21 @@ def collocation_oracle(longest: int = 5, least: int = 100, first: int = 2000) ->
     SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {first}"""
 
 
-ORACLES: dict[str, str] = {"op2_mixing": mix_oracle(), "op11_collocations": collocation_oracle()}
+#: Every pair of vectors compared, links followed to the end.
+VECTOR_ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    fine AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(e) = len(list_filter(e, lambda x: isfinite(x))) AND list_dot_product(e, e) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+    reach AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+    component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN component ON node = v.vec_id LEFT JOIN degree ON a = v.vec_id"""
+
+#: Digests of the turns themselves: what formatting and reading back must give.
+CHAT_ORACLE = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+    e AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS r FROM (SELECT conv_id, turn, text, role FROM t))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(length('<|im_start|>' || regexp_replace(r, '<(\\*)\|', '<\1\\|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op2_mixing": mix_oracle(), "op4_near_vectors": VECTOR_ORACLE, "op5_chat_format": CHAT_ORACLE, "op11_collocations": collocation_oracle()}
