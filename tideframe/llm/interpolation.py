@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideframe.llm import filters
-from tideframe.llm.shards import LETTERS, WORDS, Numbers, block_number, numbered, word_requests
+from tideframe.llm.shards import LETTERS, WORDS, Numbers, block_number, numbered, release, word_requests
 from tideframe.llm.words import bounded_batches
 from tideframe.session import STAGED, drop_folder, staged
 
@@ -167,8 +167,8 @@ class Block:
         k, c = self.corpus.k1, self.corpus
         return k * total / max(tokens, 1) + (1 - k) / (c.distinct + 1)
 
-    def held_out_cells(self) -> list[tuple[int, int, int]]:
-        """(bucket, cell, events) of the block's pairs with its own part deleted."""
+    def held_out_cells(self) -> np.ndarray:
+        """Events by bucket and cell of the block's pairs with its own part deleted."""
         c, part = self.corpus, self.row["part"]
         at = np.zeros(len(self.pairs), dtype=np.int64)
         at[self.pair_of] = self.pair_at
@@ -176,7 +176,7 @@ class Block:
         seen = context > 0
         low = self.first((self.sums - self.own)[self.ids[at]], c.tokens - c.part_tokens[part])
         ratio = (self.pair_sums - self.pair_own)[seen] / context[seen] / low[seen]
-        return counted(buckets(context[seen]), cells(ratio), self.pair_n[seen])
+        return np.bincount(buckets(context[seen]) * CELLS + cells(ratio), weights=self.pair_n[seen], minlength=64 * CELLS).astype(np.int64).reshape(64, CELLS)
 
     def scores(self) -> dict[str, np.ndarray]:
         c = self.corpus
@@ -202,9 +202,10 @@ def cells(ratio: np.ndarray) -> np.ndarray:
     return np.where(ratio > 0, np.clip(place, -CELLS // 2 + 1, CELLS // 2 - 1) + CELLS // 2, 0).astype(np.int64)
 
 
-def counted(bucket: np.ndarray, cell: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
-    key, at = np.unique(bucket * CELLS + cell, return_inverse=True)
-    return [(int(k // CELLS), int(k % CELLS), int(s)) for k, s in zip(key, np.bincount(at, weights=n, minlength=len(key)))]
+def cell_rows(events: np.ndarray) -> pa.RecordBatch:
+    """(bucket, cell, events) rows of a (buckets, cells) table."""
+    bucket, cell = np.nonzero(events)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(cell, pa.int64()), pa.array(events[bucket, cell], pa.int64())], ["bucket", "cell", "n"])
 
 
 def weight(cell: np.ndarray, events: np.ndarray, rounds: int = 500) -> float:
@@ -250,6 +251,7 @@ class Model:
         words = staged(word_counts(asked, slices, held_out))
         drop(folders.pop())
         folders.append(STAGED[-1])
+        release(words.sparkSession)
         distinct, = words.agg(F.coalesce(F.sum("known"), F.lit(0))).first()
         word_bits = (slices * (words.agg(F.max("known")).first()[0] or 0) + 2).bit_length()
         corpus = Corpus({r.part: r.tokens for r in sizes}, {r.part: r.docs for r in sizes}, distinct, held_out, word_bits)
@@ -267,9 +269,10 @@ class Model:
             b = Block(rows[0], right.to_pylist(), corpus, bits)
             return pa.Table.from_pylist([{"slice": k, "block": rows[0]["block"], "part": rows[0]["part"], "filter": f} for k, f in filters.slices(b.pairs, b.pair_n, bits, slice_bits)], schema=arrow_request)
 
-        columns = blocks.select("block", "part", "docs", "lengths", "ids")
+        columns, words = blocks.select("block", "part", "docs", "lengths", "ids"), words.drop("n", "known")
         pairs = staged(pair_counts(columns.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, request), bits, slice_bits, held_out))
         folders.append(STAGED[-1])
+        release(blocks.sparkSession)
         joined_schema = "block long, part int, docs array<long>, lengths array<int>, ids binary, replies array<struct<slice:long,round:int,own:binary,ids:binary,size:long,sums:binary,parts:binary>>"
         reply = pa.list_(pa.struct([("slice", pa.int64()), ("round", pa.int32()), ("own", pa.binary()), ("ids", pa.binary()), ("size", pa.int64()), ("sums", pa.binary()), ("parts", pa.binary())]))
         arrow_joined = pa.schema([*(ARROW_BLOCK.field(c) for c in ("block", "part", "docs", "lengths", "ids")), ("replies", reply)])
@@ -279,16 +282,18 @@ class Model:
                 return arrow_joined.empty_table()
             return left.append_column("replies", pa.array([right.select([f.name for f in reply.value_type]).to_pylist()], reply)).select(arrow_joined.names).cast(arrow_joined)
 
-        self.blocks = staged(columns.groupBy("block").cogroup(words.unionByName(pairs).groupBy("block")).applyInArrow(join, joined_schema))
+        self.blocks = staged(columns.groupBy("block").cogroup(words.unionByName(pairs.drop("n", "known")).groupBy("block")).applyInArrow(join, joined_schema))
         for folder in folders:
             drop(folder)
+        release(blocks.sparkSession)
         self.corpus, self.bits = corpus, bits
 
         def held_out_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            events = np.zeros((64, CELLS), dtype=np.int64)
             for batch in batches:
                 for row in batch.to_pylist():
-                    found = Block(row, row["replies"], corpus, bits).held_out_cells()
-                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["bucket", "cell", "n"])
+                    events += Block(row, row["replies"], corpus, bits).held_out_cells()
+            yield cell_rows(events)
 
         train = self.blocks.where(F.col("part") != held_out)
         # at most 64 buckets of CELLS rows
@@ -310,23 +315,23 @@ class Model:
 
 def first_cells(words: DataFrame, corpus: Corpus) -> DataFrame:
     """(bucket 0, cell, events) of single tokens: ratios of their estimate without the block's part to the uniform one."""
-    rows = words.where(F.col("part") != corpus.held_out).select("part", "n", "size", "sums", "parts")
+    rows = words.where(F.col("part") != corpus.held_out).select("part", "n", "sums", "parts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            found = []
-            for part, n, size, sums, parts in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for part, n, sums, parts in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 rest = corpus.tokens - corpus.part_tokens[part]
                 if rest:
                     ratio = (filters.unpack_numbers(sums) - filters.unpack_numbers(parts)) / rest * (corpus.distinct + 1)
-                    found += counted(np.zeros(size, dtype=np.int64), cells(ratio), filters.unpack_numbers(n))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["bucket", "cell", "n"])
+                    events += np.bincount(cells(ratio), weights=filters.unpack_numbers(n), minlength=CELLS).astype(np.int64)
+        yield cell_rows(events[None, :])
 
     ends = []
     for part, docs in corpus.part_docs.items():
         rest = corpus.tokens - corpus.part_tokens[part]
         if docs and rest:
-            ends += counted(np.zeros(1, dtype=np.int64), cells(np.array([(corpus.docs - docs) / rest * (corpus.distinct + 1)])), np.array([docs]))
+            ends.append((0, int(cells(np.array([(corpus.docs - docs) / rest * (corpus.distinct + 1)]))[0]), docs))
     out = rows.mapInArrow(count, "bucket long, cell long, n long")
     if ends:
         out = out.unionByName(words.sparkSession.createDataFrame(ends, "bucket long, cell long, n long"))

@@ -8,6 +8,7 @@ and a word that is everywhere is one entry per block.
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -46,8 +47,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now.
 
     Its cleaner follows the garbage collection of the driver, which may not come for long while a job has
-    round after round of shuffles."""
-    spark.sparkContext._jvm.System.gc()
+    round after round of shuffles.  What the first collection finalises, the second one frees."""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def word_requests(blocks: DataFrame) -> DataFrame:
