@@ -9,7 +9,7 @@ with little-endian numbers.  The sequences are the ascending doc_ids (as distanc
 and the documents' end offsets in the id array.  A monotone sequence of n numbers up to u keeps
 floor(log2(u / n)) low bits of each number packed, and the high parts as a bit vector with one 1 per
 number, about two bits each; the position of every ``STEP``-th 1 is stored, so ``select`` reads one
-sample and a short stretch of bits.
+sample and a short stretch of bits, and reading a run of documents scans from its sample to the next.
 
 Documents are dealt into ranges of doc_id once; each task encodes and writes its range in ascending
 order through Spark's committer, so a lost task leaves nothing behind.  A task holds one segment at
@@ -20,7 +20,6 @@ Null texts are empty; every document gets the end id.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from tokenizers import Tokenizer
 
 from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
-WORD_END, MARK_IN_RUN = "</w>", re.compile(r"(?:[^\w ]|_)[,.] ")
+WORD_END = "</w>"
 MAGIC, HEAD, STEP = b"TIDS1", "<BqqqqqQ", 512
 
 
@@ -70,11 +69,16 @@ class EliasFano:
         raw = np.unpackbits(self.low[bit // 8 : (bit + self.low_bits + 7) // 8], bitorder="little")[bit % 8 : bit % 8 + self.low_bits]
         return (at - k) << self.low_bits | sum(int(b) << i for i, b in enumerate(raw))
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        digits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (digits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
+    def stretch(self, k: int) -> np.ndarray:
+        """The ``STEP`` numbers from the k-th on (fewer at the end), for a k that has a sample: a scan from the sample to the next."""
+        n, first = min(STEP, self.n - k), int(self.samples[k // STEP])
+        last = int(self.samples[k // STEP + 1]) if k + STEP < self.n else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : -(-last // 8)], bitorder="little")) + first // 8 * 8
+        ones = ones[ones >= first][:n]
+        bit = k * self.low_bits
+        raw = np.unpackbits(self.low[bit // 8 : -(-(bit + n * self.low_bits) // 8)], bitorder="little")[bit % 8 : bit % 8 + n * self.low_bits]
+        low = (raw.reshape(n, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return ((ones - np.arange(k, k + n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
 
     def pack(self) -> bytes:
         return struct.pack("<qqqqq", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -117,7 +121,14 @@ class Segment:
         return self.array[self.ends.select(k - 1) if k else 0 : self.ends.select(k)]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.gaps.values() + np.uint64(self.first)).astype(np.int64).tolist()
+        known = (d for k in range(0, self.gaps.n, STEP) for d in (self.gaps.stretch(k) + np.uint64(self.first)).astype(np.int64).tolist())
+        return [*[None] * self.nulls, *known]
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first document, starts, ends) of runs of up to ``STEP`` documents, each from its sample."""
+        for lo in range(0, self.n, STEP):
+            ends = self.ends.stretch(lo).astype(np.int64)
+            yield lo, np.concatenate([[self.ends.select(lo - 1) if lo else 0], ends[:-1]]), ends
 
 
 def segments(data: bytes) -> Iterator[Segment]:
@@ -144,10 +155,14 @@ class LibraryEncoder:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Words of letters only are one match each, which the last token's word end shows: they are
-        encoded many to a text and cut apart there."""
+        encoded many to a text and cut apart there.  A comma or full stop after letters is a match of its own."""
         encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        letters = [w for w in words if w.isalpha()]
-        out: dict[str, bytes] = {}
+        packed_one = lambda ids: np.array(ids, dtype=f"<u{self.width}").tobytes()
+        marks = {m: packed_one(ids) for m, ids in zip(",.", encode([",", "."]))}
+        plain = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in words]
+        out = {w: self.memo.known[w] for w in plain if w in self.memo.known}
+        distinct = dict.fromkeys(w for w in plain if w not in out)
+        letters = [w for w in distinct if w.isalpha()]
         for lo in range(0, len(letters), 500):
             some = letters[lo : lo + 500]
             ids = np.array(encode([" ".join(some)])[0], dtype=f"<u{self.width}")
@@ -155,34 +170,28 @@ class LibraryEncoder:
             if len(at) == len(some) + 1:
                 packed = ids.tobytes()
                 out.update(zip(some, [packed[a:b] for a, b in zip(at, at[1:])]))
-        rest = [w for w in words if w not in out]
+        rest = [w for w in distinct if w not in out]
         for lo in range(0, len(rest), 20_000):
-            out.update(zip(rest[lo : lo + 20_000], [np.array(ids, dtype=f"<u{self.width}").tobytes() for ids in encode(rest[lo : lo + 20_000])]))
-        return [out[w] for w in words]
+            out.update(zip(rest[lo : lo + 20_000], map(packed_one, encode(rest[lo : lo + 20_000]))))
+        return [out[w] if len(w) == len(p) else out[p] + marks[w[-1]] for w, p in zip(words, plain)]
 
     def prepared(self, text: str) -> str:
-        """The text with fewer different words and the same ids: in lower case, and with commas and full stops
-        before a space set apart, where both are certain not to change an id."""
+        """The text with fewer different words and the same ids: in lower case where that is certain not to change an id."""
         text = text.replace("\n", " ")
         if "<|" in text:  # may be a control string, which is matched as it stands
             return text
         if text.isascii():
-            text = text.lower()
-        elif "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower := text.lower()):
-            text = lower
-        if not MARK_IN_RUN.search(text):  # a mark after another one is in one match with it
-            text = text.replace(", ", " , ").replace(". ", " . ")
+            return text.lower()
+        if "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower := text.lower()):
+            return lower
         return text
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for block in blocks(texts):
-            block = [self.prepared(t) for t in block]
-            keys: set[str] = set()
-            for text in block:
-                keys.update(text.split(" "))
-            known = self.memo.table(keys)
-            for text in block:
-                yield b"".join(map(known.__getitem__, text.split(" ")))
+            cut = [self.prepared(t).split(" ") for t in block]
+            known = self.memo.table(set().union(*cut))
+            for words in cut:
+                yield b"".join(map(known.__getitem__, words))
 
 
 def write_token_files(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, tokens_per_segment: int = 4_000_000) -> None:
@@ -231,16 +240,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 for s in segments(content.as_py()):
-                    ends = s.ends.values().astype(np.int64)
-                    starts = np.concatenate([[0], ends[:-1]])
-                    wide = s.array.astype("<u4")
-                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                     ids = s.doc_ids()
-                    for lo in range(0, s.n, 2_000):
-                        hi = min(lo + 2_000, s.n)
-                        base, top = int(starts[lo]), int(ends[hi - 1])
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(starts[lo:hi], top) - base, type=pa.int32()), pa.array(wide[base:top].astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], type=pa.int64()), pa.array([s.part] * (hi - lo), type=pa.int64()), pa.array([s.number] * (hi - lo), type=pa.int64()), pa.array(starts[lo:hi]), pa.array((ends - starts)[lo:hi]), pa.array(crc[lo:hi], type=pa.int64()), lists], ["doc_id", "part", "number", "at", "n_tokens", "ids_crc32", "ids"])
+                    for lo, starts, ends in s.runs():
+                        n, base = len(ends), int(starts[0])
+                        wide = s.array[base : ends[-1]].astype("<u4")
+                        crc = [zlib.crc32(wide[a:b]) for a, b in zip((starts - base).tolist(), (ends - base).tolist())]
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]) - base, type=pa.int32()), pa.array(wide.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + n], type=pa.int64()), pa.array([s.part] * n, type=pa.int64()), pa.array([s.number] * n, type=pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, type=pa.int64()), lists], ["doc_id", "part", "number", "at", "n_tokens", "ids_crc32", "ids"])
 
     files = read_files(bounded_batches(spark), path)
     # one row per segment
