@@ -160,6 +160,24 @@ def test_library_words_equal_library_texts():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    definition = open(P.path("word_bpe_49k.json")).read()
+    library, encoder, made = Tokenizer.from_str(definition), tokenfile.LibraryEncoder(definition, 2), []
+    encode_words = encoder.encode_words
+    encoder.memo.make = lambda words: (made.extend(words), encode_words(words))[1]
+    encoder.memo.limit = 12
+    texts = ["thorn thorn. Thorn### thorn2019", "thorn|\nthorn,' thorn", "", " ", "***"]
+    got = [np.frombuffer(p, "<u2").tolist() for p in encoder.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in made if "thorn" in w] == ["thorn"]
+    # letters by Python's or the library's tables only, letters that become two, control strings, quotes, combining marks
+    rnd = random.Random(7)
+    parts = ["a", "thorn", "\U0001e030", "\U00031350", "İ", "ª", "²", "e\u0301", "가", "\u1100\u1161", "Σ", "'s", "'", "<|endoftext|>", "<|", "|>", ".", "9", "###", "\u0301", "\x00", "\t", "\u2028", " ", " ", "\n"]
+    odd = ["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(2_000)]
+    got = [np.frombuffer(p, "<u2").tolist() for p in encoder.encode(odd)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def plain_chat(turns):
     out = {}
     for conv, turn, role, text in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or 0)):

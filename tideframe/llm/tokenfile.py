@@ -20,20 +20,23 @@ Null texts are empty; every document gets the end id.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from tideframe.llm.words import Memo, blocks, bounded_batches, kept
 
-WORD_END = "</w>"
+WORD_END, TAIL = "</w>", string.punctuation + string.digits
 MAGIC, HEAD, STEP = b"TIDS1", "<BqqqqqQ", 512
 
 
@@ -140,10 +143,12 @@ def segments(data: bytes) -> Iterator[Segment]:
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word of a block once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct word once while it is known.
 
     The library's own rules are applied to the words: its pattern never matches white space, and its
-    normalisation does not reach over a space, so a text's ids are those of its words in turn."""
+    normalisation does not reach over a space, so a text's ids are those of its words in turn.  That
+    holds for definitions like the public one, which lower-case and whose runs of letters, digits and
+    other marks are matches of their own."""
 
     def __init__(self, definition: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -151,29 +156,45 @@ class LibraryEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.memo = Memo(self.encode_words, limit=500_000)
+        self.memo = Memo(self.encode_words, limit=800_000)
+        self.parts = cache(self.parts_after)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts_after(self, letter: str) -> bool:
+        """Whether a match of the library ends between ``letter`` and a mark: so it does after all letters
+        that its pattern knows as such and that stay one when normalised."""
+        both, alone, mark = self.library([f"{letter}.", letter, "."])
+        return both == alone + mark
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  ASCII marks and digits after letters are matches of their own, so a word is known by
+        what stands before them."""
+        stems = [s if len(s := w.rstrip(TAIL)) == len(w) or s.isalpha() and self.parts(s[-1]) else w for w in words]
+        tails = [(k, w[len(s) :]) for k, (w, s) in enumerate(zip(words, stems)) if len(s) < len(w)]
+        known = self.memo.table({*stems, *(tail for _, tail in tails)})
+        out = list(map(known.__getitem__, stems))
+        for k, tail in tails:
+            out[k] += known[tail]
+        return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Words of letters only are one match each, which the last token's word end shows: they are
-        encoded many to a text and cut apart there.  A comma or full stop after letters is a match of its own."""
-        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        packed_one = lambda ids: np.array(ids, dtype=f"<u{self.width}").tobytes()
-        marks = {m: packed_one(ids) for m, ids in zip(",.", encode([",", "."]))}
-        plain = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in words]
-        out = {w: self.memo.known[w] for w in plain if w in self.memo.known}
-        distinct = dict.fromkeys(w for w in plain if w not in out)
-        letters = [w for w in distinct if w.isalpha()]
+        encoded many to a text and cut apart there."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
         for lo in range(0, len(letters), 500):
             some = letters[lo : lo + 500]
-            ids = np.array(encode([" ".join(some)])[0], dtype=f"<u{self.width}")
+            ids = np.array(self.library([" ".join(some)])[0], dtype=f"<u{self.width}")
             at = [0, *((np.flatnonzero(self.word_end[ids]) + 1) * self.width).tolist()]
             if len(at) == len(some) + 1:
                 packed = ids.tobytes()
                 out.update(zip(some, [packed[a:b] for a, b in zip(at, at[1:])]))
-        rest = [w for w in distinct if w not in out]
+        rest = [w for w in words if w not in out]
         for lo in range(0, len(rest), 20_000):
-            out.update(zip(rest[lo : lo + 20_000], map(packed_one, encode(rest[lo : lo + 20_000]))))
-        return [out[w] if len(w) == len(p) else out[p] + marks[w[-1]] for w, p in zip(words, plain)]
+            out.update(zip(rest[lo : lo + 20_000], [np.array(ids, dtype=f"<u{self.width}").tobytes() for ids in self.library(rest[lo : lo + 20_000])]))
+        return [out[w] for w in words]
 
     def prepared(self, text: str) -> str:
         """The text with fewer different words and the same ids: in lower case where that is certain not to change an id."""
@@ -187,11 +208,17 @@ class LibraryEncoder:
         return text
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Arrow numbers a block's distinct words and puts their ids back in the order of the texts."""
         for block in blocks(texts):
-            cut = [self.prepared(t).split(" ") for t in block]
-            known = self.memo.table(set().union(*cut))
-            for words in cut:
-                yield b"".join(map(known.__getitem__, words))
+            cut = pc.split_pattern(pa.array(map(self.prepared, block), type=pa.large_string(), size=len(block)), " ")
+            numbered = cut.values.dictionary_encode()
+            # no word holds a space, and to_pylist would take as long as the rest
+            words = pc.binary_join(pa.LargeListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+            ids = pa.array(self.packed(words), type=pa.large_binary()).take(numbered.indices)
+            _, places, packed = ids.buffers()
+            at = np.frombuffer(places, dtype=np.int64)[cut.offsets.to_numpy()].tolist()
+            for a, b in zip(at, at[1:]):
+                yield packed[a:b].to_pybytes() if b > a else b""
 
 
 def write_token_files(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, tokens_per_segment: int = 4_000_000) -> None:

@@ -34,7 +34,7 @@ class Memo:
         self.make, self.limit, self.known = make, limit, {}
 
     def table(self, keys: set) -> dict:
-        new = keys - self.known.keys()
+        new = keys.difference(self.known)  # walks the keys, where - walks all that is known
         if len(self.known) + len(new) > self.limit and self.known:
             self.known, new = {}, keys
         new = list(new)
